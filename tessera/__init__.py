@@ -1,0 +1,8 @@
+"""Analytics over document collections as Spark jobs: cleaning, chunks, retrieval, grounding, evaluation."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to Python workers by value, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
