@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact, shards
+from tessera.llm import exact, packing, shards, simhash
 
-MODULES = (exact, shards)
+MODULES = (simhash, packing, exact, shards)
 
 
 def queries() -> dict:
