@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact, packing, shards, simhash
+from tessera.llm import exact, packing, shards, simhash, sketches, toxicity
 
-MODULES = (simhash, packing, exact, shards)
+MODULES = (simhash, toxicity, sketches, packing, exact, shards)
 
 
 def queries() -> dict:
