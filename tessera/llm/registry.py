@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact, packing, shards, simhash, sketches, toxicity
+from tessera.llm import bpe, exact, packing, pii, shards, simhash, sketches, toxicity
 
-MODULES = (simhash, toxicity, bpe, sketches, packing, exact, shards)
+MODULES = (simhash, pii, toxicity, bpe, sketches, packing, exact, shards)
 
 
 def queries() -> dict:

@@ -9,6 +9,7 @@ longer chains, then the whole distance, are checked inside the join, so only lin
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -91,10 +92,12 @@ class Ring:
 def links(prints: DataFrame, distance: int = 2, segments: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """prints(fp), distinct -> (a, b): links that connect all fingerprints at the distance or less.
 
-    Small buckets give every linked pair. In a bucket of more than `bucket` fingerprints, at distance
-    2, those that share a neighbour one bit away (or are one) are tied to the least of them; two
-    fingerprints are 2 or fewer bits apart exactly when they share one, so nothing is lost and a
-    bucket of n gives n times 39 rows, not n squared. For other distances all buckets go by pairs.
+    Small buckets give every linked pair. In a bucket of more than `bucket` fingerprints, at distances
+    2 and 3, each meets its neighbours: all values in reach of half the distance. Two fingerprints are
+    linked exactly when one is within the lower half of a value and the other within the upper half,
+    so all in reach of a value are tied to the least of those nearest it. Nothing is lost, and n
+    fingerprints give n times a fixed number of rows, not n squared. At other distances all
+    buckets go by pairs.
     """
     ring = Ring(distance, segments)
     heads = [ring.chain(i, ring.first) for i in range(ring.segments)]
@@ -103,7 +106,7 @@ def links(prints: DataFrame, distance: int = 2, segments: int | None = None, buc
     ).select("fp", "k.turn", "k.head")
     sizes = keys.groupBy("turn", "head").agg(F.count("*").alias("n")).where("n > 1")
     keys = materialise(keys.join(sizes, ["turn", "head"]), "buckets")
-    star = distance == 2
+    star = distance in (2, 3)
     cold = keys.where(F.col("n") <= bucket) if star else keys
     a, b = cold.alias("a"), cold.alias("b")
     near = F.lit(False)
@@ -113,17 +116,31 @@ def links(prints: DataFrame, distance: int = 2, segments: int | None = None, buc
         b, (F.col("a.turn") == F.col("b.turn")) & (F.col("a.head") == F.col("b.head")) & (F.col("a.fp") < F.col("b.fp")) & near
     ).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     if star:
-        flips = F.lit(None).cast("array<long>")
-        for i, mask in enumerate(heads):
-            free = [F.col("fp").bitwiseXOR(F.lit(_signed(1 << bit))) for bit in range(BITS) if not mask >> bit & 1]
-            flips = F.when(F.col("turn") == i, F.array(F.col("fp"), *free)).otherwise(flips)
-        hot = keys.where(F.col("n") > bucket).select("turn", "fp", F.explode(flips).alias("centre"))
-        tied = hot.groupBy("turn", "centre").agg(F.collect_list("fp").alias("near")).where(F.size("near") > 1)
-        tied = tied.select(F.array_min("near").alias("a"), F.explode("near").alias("b")).where("a <> b")
+        low, high = distance // 2, distance - distance // 2
+        balls = []
+        for turn, mask in enumerate(heads):
+            free = [1 << bit for bit in range(BITS) if not mask >> bit & 1]
+            for radius in range(high + 1):
+                balls += [(turn, _signed(sum(flip)), radius <= low) for flip in combinations(free, radius)]
+        masks = prints.sparkSession.createDataFrame(balls, "turn int, mask long, inner boolean")  # a fixed table
+        hot = keys.where(F.col("n") > bucket).join(F.broadcast(masks), "turn")
+        met = hot.groupBy("turn", F.col("fp").bitwiseXOR(F.col("mask")).alias("centre")).agg(
+            F.min(F.when(F.col("inner"), F.col("fp"))).alias("a"), F.collect_list("fp").alias("near")
+        )
+        tied = met.where(F.col("a").isNotNull() & (F.size("near") > 1)).select("a", F.explode("near").alias("b")).where("a <> b")
         found = found.unionByName(tied)
     return found.distinct()
 
 
+def _components(prints: DataFrame, distance: int, bucket: int) -> DataFrame:
+    """(fp, component_id) of prints(doc_id, fp)."""
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    parts = connected_components(links(nodes.select("fp"), distance, bucket=bucket))
+    homes = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    least = homes.groupBy("component").agg(F.min("first").alias("component_id"))
+    return homes.join(least, "component").select("fp", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET
 ) -> DataFrame:
@@ -134,14 +151,23 @@ def near_duplicates(
     Repeated rows and ids are kept. Empty table: empty result. Other columns are ignored.
     """
     prints = materialise(fingerprints(docs, words, id_col, text_col), "prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    parts = connected_components(links(nodes.select("fp"), distance, bucket=bucket))
-    homes = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = homes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = homes.join(least, "component").select("fp", "component_id")
+    named = _components(prints, distance, bucket)
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, words: int, distance: int, bucket: int = BUCKET) -> DataFrame:
+    """The rows of docs that are the first of their component, with all their columns.
+
+    Only ids and fingerprints take part; of the rows of a repeated doc_id all stay. Null ids form
+    no group of their own: such a row goes if a row with an id is in its component.
+    """
+    prints = materialise(fingerprints(docs, words), "prints")
+    named = _components(prints, distance, bucket)
+    gone = prints.join(named, "fp").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"))
+    gone = materialise(gone.distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
