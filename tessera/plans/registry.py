@@ -2,10 +2,512 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.functions import rulesets as R
+from tessera.functions import text as T
+from tessera.operators import chunking, cleaning, dialogue, evaluation, gates, grounding, retrieval
+from tessera.plans import answers
+from tessera.sources import sessions, sinks
+from tessera.sources.tables import table
+from tessera.streaming import telemetry
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _registered(sql: str | None = None):
+    def keep(query):
+        _QUERIES[query.__name__] = query
+        if sql:
+            _SQL[query.__name__] = sql
+        return query
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- SQL building blocks --------------------------------------------------------------------------
+
+
+def _tok(column: str) -> str:
+    return f"list_filter(regexp_extract_all(lower(coalesce({column}, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]+'))"
+
+
+def _any(column: str, patterns: list[str]) -> str:
+    joined = "|".join(patterns).replace("'", "''")
+    return f"regexp_matches({column}, '(?i)(?:{joined})')"
+
+
+def _has(column: str, terms: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower({column}), '{t.replace(chr(39), chr(39) * 2)}')" for t in terms) + ")"
+
+
+def _prefix(column: str, terms: list[str]) -> str:
+    # RE2's \b knows ASCII only, so the place before an Arabic term is written out
+    return f"regexp_matches(lower({column}), '(?:^|[^\\p{{L}}\\p{{N}}_])(?:{'|'.join(t.replace('-', chr(92) + '-') for t in terms)})')"
+
+
+_STRIP = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_COLLAPSE = lambda c: f"regexp_replace({_STRIP(c)}, '\\s+', ' ', 'g')"
+_BM25 = f"""
+tok AS (SELECT doc_id, {_tok('text')} AS t FROM documents),
+post AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok),
+tf AS (SELECT doc_id, term, dl, count(*) AS tf FROM post GROUP BY ALL),
+qt AS (SELECT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark),
+qtf AS (SELECT query_id, term, count(*) AS qtf FROM qt GROUP BY ALL),
+corpus AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tok),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+scored AS (
+  SELECT query_id, doc_id, round(sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(mean, 1.0))))), 6) AS score
+  FROM qtf JOIN tf USING (term) JOIN df USING (term), corpus GROUP BY ALL),
+bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0),
+dn AS (SELECT doc_id, sqrt(sum(tf * tf)) AS dn FROM tf GROUP BY ALL),
+qn AS (SELECT query_id, sqrt(sum(qtf * qtf)) AS qn FROM qtf GROUP BY ALL),
+cosined AS (SELECT query_id, doc_id, round(sum(tf * qtf) / (any_value(dn) * any_value(qn)), 6) AS score
+  FROM qtf JOIN tf USING (term) JOIN dn USING (doc_id) JOIN qn USING (query_id) GROUP BY query_id, doc_id),
+co AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cosined),
+runs AS (SELECT query_id, doc_id, rank, 0 AS run FROM co WHERE rank <= 15 UNION ALL SELECT query_id, doc_id, rank, 1 FROM bm WHERE rank <= 15),
+fused AS (SELECT query_id, doc_id, round(least(sum(1.0::DOUBLE / (60 + rank)) / (2 / 61.0::DOUBLE), 1.0), 6) AS score, min(run * 1000 + rank) AS first FROM runs GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, doc_id) AS rank FROM fused),
+reranked AS (
+  SELECT f.query_id, f.doc_id, f.rank AS before,
+    round(0.55::DOUBLE * len(list_intersect(list_distinct({_tok('b.text')}), list_distinct({_tok('d.text')}))) / greatest(len(list_distinct({_tok('b.text')})), 1)
+      + 0.25::DOUBLE * greatest(0.0, least(1.0, f.score)) + CASE WHEN contains(lower(d.text), lower(trim(b.text))) THEN 0.35::DOUBLE ELSE 0 END, 6) AS score
+  FROM fr f JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = f.query_id WHERE f.rank <= 15),
+hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, doc_id) AS rank FROM reranked)
+"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+# --- retrieval ------------------------------------------------------------------------------------
+
+
+@_registered(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {_tok('text')} AS t FROM documents)")
+def tokenize_counts(spark, sf_dir):
+    t = T.tokens(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", t.alias("t")).select(
+        "doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct")
+    )
+
+
+@_registered(f"WITH p AS (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY ALL")
+def term_df(spark, sf_dir):
+    found = retrieval.postings(_documents(spark, sf_dir))
+    return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@_registered(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 5")
+def bm25_topk(spark, sf_dir):
+    return retrieval.search(_documents(spark, sf_dir), _items(spark, sf_dir), "bm25").select("query_id", "doc_id", "score", "rank")
+
+
+@_registered(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM co WHERE rank <= 5")
+def cosine_topk(spark, sf_dir):
+    return retrieval.search(_documents(spark, sf_dir), _items(spark, sf_dir), "dense")
+
+
+@_registered(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM fr WHERE rank <= 5")
+def hybrid_topk(spark, sf_dir):
+    return retrieval.search(_documents(spark, sf_dir), _items(spark, sf_dir), "hybrid").select("query_id", "doc_id", "score", "rank")
+
+
+@_registered(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM hr WHERE rank <= 5")
+def hybrid_rerank_topk(spark, sf_dir):
+    return retrieval.search(_documents(spark, sf_dir), _items(spark, sf_dir), "hybrid_rerank").select("query_id", "doc_id", "score", "rank")
+
+
+_DENSE = """
+p AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p)
+"""
+
+
+def _vectors(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return rows, rows.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")  # the stated query set
+
+
+@_registered(f"WITH {_DENSE} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 5")
+def dense_topk(spark, sf_dir):
+    return retrieval.dense(*_vectors(spark, sf_dir))
+
+
+@_registered(f"WITH {_DENSE} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10 AND score >= 0.3")
+def dense_threshold(spark, sf_dir):
+    return retrieval.dense(*_vectors(spark, sf_dir), 10, 0.3)
+
+
+@_registered(f"""WITH {_BM25}, both_ AS (SELECT query_id, 0 AS question, doc_id, score, rank FROM bm WHERE rank <= 5 UNION ALL SELECT query_id, 1, doc_id, score, rank FROM co WHERE rank <= 5),
+o AS (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank, question) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, question, doc_id) AS position FROM o)
+SELECT query_id, doc_id, score, position AS rank FROM n WHERE position <= 5""")
+def round_robin_merge(spark, sf_dir):
+    docs, items = _documents(spark, sf_dir), _items(spark, sf_dir)
+    runs = retrieval.bm25(docs, items).withColumn("question", F.lit(0)).unionByName(retrieval.term_cosine(docs, items).withColumn("question", F.lit(1)))
+    return retrieval.round_robin(runs)
+
+
+# --- cleaning and corpus --------------------------------------------------------------------------
+
+_LINES = """
+l AS (SELECT source AS document, doc_id AS page, string_split_regex(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS ls FROM documents),
+u AS (SELECT document, page, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM l),
+f AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY line_no) AS up, row_number() OVER (PARTITION BY page ORDER BY line_no DESC) AS down FROM u WHERE NOT regexp_full_match(line, '\\s*')),
+z AS (SELECT u.*, coalesce(f.up <= 3 OR f.down <= 3, false) AS zone FROM u LEFT JOIN f USING (document, page, line_no)),
+""" + f"""
+k AS (SELECT *, regexp_replace(lower({_COLLAPSE('line')}), '\\b\\d+\\b', '#', 'g') AS key, regexp_matches({_STRIP('line')}, '(?i){R.PROTECTED}') AS kept FROM z),
+n AS (SELECT document, count(DISTINCT page) AS pages FROM k GROUP BY ALL),
+rec AS (SELECT document, key, count(DISTINCT page) AS n_pages FROM k WHERE zone AND NOT kept AND length({_STRIP('line')}) <= 140 GROUP BY ALL),
+"""
+
+
+def _rec(ratio: float) -> str:
+    return f"rr AS (SELECT document, key, n_pages FROM rec JOIN n USING (document) WHERE pages >= 4 AND n_pages >= greatest(3, round_even(pages * {ratio}::DOUBLE, 0)))"
+
+
+@_registered(f"WITH {_LINES} {_rec(0.04)} SELECT document, key, n_pages FROM rr")
+def recurring_lines(spark, sf_dir):
+    return cleaning.recurring_lines(cleaning.page_lines(_documents(spark, sf_dir)), 0.04)
+
+
+_REASON = f"""CASE WHEN zone AND regexp_matches(t, '(?i){R.PAGE_NUMBER}') THEN 'page_number'
+ WHEN zone AND recurs AND NOT regexp_matches(t, '(?i){R.PROTECTED}') THEN 'recurring_header_or_footer'
+ WHEN regexp_matches(t, '(?i){R.TOC_LEADER}') THEN 'table_of_contents_leader'
+ WHEN regexp_matches(t, '(?i){R.BIBLIOGRAPHY}') AND regexp_matches(t, '{R.BIBLIOGRAPHY_PROOF}') THEN 'bibliography_citation_reference'
+ WHEN lower(t) IN ({", ".join(f"'{x}'" for x in R.NAVIGATION)}) THEN 'navigation' END"""
+
+
+@_registered(f"""WITH {_LINES} {_rec(0.04)},
+c AS (SELECT k.*, rr.key IS NOT NULL AS recurs, regexp_replace({_STRIP('line')}, '[ \\t]+', ' ', 'g') AS t FROM k LEFT JOIN rr USING (document, key)),
+r AS (SELECT *, {_REASON} AS reason FROM c)
+SELECT document, page, line_no, reason, t AS text FROM r WHERE reason IS NOT NULL AND t <> ''""")
+def removal_audit(spark, sf_dir):
+    lined = cleaning.page_lines(_documents(spark, sf_dir))
+    marked = cleaning.classified(lined, cleaning.recurring_lines(lined, 0.04))
+    return cleaning.removal_audit(marked).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@_registered()
+def cleaned_pages(spark, sf_dir):
+    lined = cleaning.page_lines(_documents(spark, sf_dir))
+    return cleaning.cleaned_pages(cleaning.classified(lined, cleaning.recurring_lines(lined, 0.04)))
+
+
+_HEAD = f"""CASE WHEN t = '' OR length(t) > 120 OR regexp_matches(t, '(?i){R.TOC_LEADER}') OR regexp_matches(t, '^[•\\-–—]')
+  OR (regexp_matches(t, '[.;!?]$') AND len(string_split(t, ' ')) > 6) OR len(string_split(t, ' ')) > 12 THEN false
+ ELSE regexp_matches(t, '(?i){R.NUMBERED_HEADING}') OR regexp_matches(t, '(?i){R.NAMED_HEADING}') OR (upper(t) = t AND lower(t) <> t AND length(t) BETWEEN 4 AND 80)
+  OR (regexp_matches(t, '^\\p{{Lu}}') AND len(string_split(t, ' ')) <= 10 AND regexp_matches(t, '(?i){R.TOPIC_HEADING}')) END"""
+
+
+@_registered(f"WITH {_LINES} h AS (SELECT page, {_COLLAPSE('line')} AS t FROM z) SELECT page AS doc_id, count(*) AS n_lines, count(*) FILTER ({_HEAD}) AS n_headings FROM h GROUP BY ALL")
+def heading_counts(spark, sf_dir):
+    lined = cleaning.page_lines(_documents(spark, sf_dir))
+    return lined.groupBy(F.col("page").alias("doc_id")).agg(F.count("*").alias("n_lines"), F.count_if(cleaning.is_heading(F.col("line"))).alias("n_headings"))
+
+
+@_registered(f"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace({_STRIP("coalesce(text, '')")}, '([.!?])\\s+', concat('\\1', chr(1)), 'g'), chr(1)), lambda x: {_STRIP('x')} <> '') AS s FROM documents)
+SELECT doc_id, len(s) AS n_sentences, coalesce(list_max(list_transform(s, lambda x: length({_STRIP('x')}))), 0) AS longest FROM s""")
+def sentence_counts(spark, sf_dir):
+    rows = _documents(spark, sf_dir).select("doc_id", T.sentences(F.coalesce("text", F.lit(""))).alias("s"))
+    longest = F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), longest.cast("long").alias("longest"))
+
+
+@_registered(f"""SELECT doc_id, length(t) < 100 OR regexp_matches(t, '(?i){"|".join(R.ADMINISTRATIVE)}') OR length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) / greatest(length(t), 1) < 0.4 AS administrative
+FROM (SELECT doc_id, {_STRIP("coalesce(text, '')")} AS t FROM documents)""")
+def administrative_flags(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", cleaning.is_administrative(F.coalesce("text", F.lit(""))).alias("administrative"))
+
+
+@_registered()
+def section_chunks(spark, sf_dir):
+    rows = _documents(spark, sf_dir).withColumn("document", F.concat_ws("-", "source", "doc_id"))
+    return chunking.chunk(cleaning.page_lines(rows, "document"))
+
+
+@_registered(f"""WITH k AS (SELECT doc_id, source, lower(upper({_COLLAPSE("coalesce(text, '')")})) AS key FROM documents)
+SELECT doc_id, source FROM k QUALIFY row_number() OVER (PARTITION BY source, key ORDER BY doc_id) = 1""")
+def dedup_by_source(spark, sf_dir):
+    key = F.sha2(T.folded(F.coalesce("text", F.lit(""))), 256)
+    return _documents(spark, sf_dir).groupBy("source", key.alias("key")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source")
+
+
+@_registered("""WITH b AS (SELECT source, doc_id // 1024 AS block, sha1(string_agg(doc_id::VARCHAR, '|' ORDER BY doc_id)) AS h FROM documents GROUP BY ALL)
+SELECT source, substr(sha1(string_agg(h, '|' ORDER BY block)), 1, 10) AS fingerprint FROM b GROUP BY ALL""")
+def corpus_fingerprint(spark, sf_dir):
+    """Hash of hashes: ids in order within blocks of 1024, then the blocks in order, so no task gathers all ids."""
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["v"]), "|")
+    ids = F.struct(F.col("doc_id").alias("k"), F.col("doc_id").cast("string").alias("v"))
+    blocks = _documents(spark, sf_dir).groupBy("source", F.floor(F.col("doc_id") / 1024).alias("block")).agg(F.sha1(joined(ids)).alias("v"))
+    return blocks.groupBy("source").agg(F.substring(F.sha1(joined(F.struct(F.col("block").alias("k"), "v"))), 1, 10).alias("fingerprint"))
+
+
+@_registered("""SELECT 'blank_text' AS rule, count(*) AS n FROM documents WHERE regexp_full_match(coalesce(text, ''), '\\s*')
+UNION ALL SELECT 'repeated_id', count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)
+UNION ALL SELECT 'missing_key', count(*) FROM documents WHERE doc_id IS NULL OR source IS NULL OR lang IS NULL
+UNION ALL SELECT 'wrong_length', count(*) FROM documents WHERE n_chars <> length(text)""")
+def corpus_violations(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    once = docs.agg(
+        F.count_if(T.stripped(F.coalesce("text", F.lit(""))) == "").alias("blank_text"),
+        F.count_if(F.col("doc_id").isNull() | F.col("source").isNull() | F.col("lang").isNull()).alias("missing_key"),
+        F.count_if(F.col("n_chars") != F.length("text")).alias("wrong_length"),
+    ).unpivot([], ["blank_text", "missing_key", "wrong_length"], "rule", "n")
+    repeated = docs.groupBy("doc_id").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("repeated_id").alias("rule"), "n")
+    return once.unionByName(repeated)
+
+
+# --- dialogue -------------------------------------------------------------------------------------
+
+
+@_registered("""SELECT conv_id, turn, role, len(h) AS n_history, array_to_string(h, '|') AS roles FROM (
+SELECT conv_id, turn, role, coalesce(list(role || turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), []) AS h FROM conversations)""")
+def history_window(spark, sf_dir):
+    rows = dialogue.history(table(spark, sf_dir, "conversations"))
+    roles = F.array_join(F.transform("history", lambda m: F.concat(m["role"], m["seq"].cast("string"))), "|")
+    return rows.select("conv_id", "turn", "role", F.size("history").cast("long").alias("n_history"), roles.alias("roles"))
+
+
+@_registered("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' AND trim(text) <> '' THEN text END IGNORE NULLS)
+OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM conversations""")
+def last_user_turn(spark, sf_dir):
+    return dialogue.last_user_turn(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "previous")
+
+
+@_registered(f"""SELECT conv_id, turn, CASE WHEN turn = first THEN true WHEN {_has('text', R.NEW_TOPICS)} THEN true WHEN {_any('text', R.FOLLOW_UP_EN)} THEN false
+ELSE {_has('text', R.SUBJECTS)} AND len(string_split_regex({_STRIP('text')}, '\\s+')) >= 4 END AS shifts
+FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations WHERE role = 'user')""")
+def topic_shifts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
+    rows = rows.withColumn("first", F.min("turn").over(Window.partitionBy("conv_id")))
+    return rows.select("conv_id", "turn", dialogue.topic_shift(F.col("text"), F.col("turn") != F.col("first")).alias("shifts"))
+
+
+@_registered()
+def followup_rewrites(spark, sf_dir):
+    rows = dialogue.history(table(spark, sf_dir, "conversations")).where("role = 'user'")
+    return rows.select("conv_id", "turn", dialogue.rewritten(F.col("text"), F.col("history")).alias("query"))
+
+
+@_registered()
+def sub_questions(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
+    asked = dialogue.sub_questions(dialogue.expanded(dialogue.spelled(F.coalesce("text", F.lit("")))))
+    return rows.select("conv_id", "turn", F.posexplode(asked).alias("question", "query"))
+
+
+@_registered("""SELECT conv_id, count(*) AS n_messages, count(*) FILTER (role = 'user') AS n_user, substr(arg_min(text, turn) FILTER (role = 'user'), 1, 26) AS title FROM conversations GROUP BY ALL""")
+def session_overview(spark, sf_dir):
+    return sessions.overview(table(spark, sf_dir, "conversations"))
+
+
+# --- gates ----------------------------------------------------------------------------------------
+
+_GATE = f"""CASE WHEN {_any('text', R.EMERGENCY)} OR {_any('text', R.RED_FLAGS)} THEN 'EMERGENCY' WHEN {_any('text', R.INJECTION)} THEN 'INJECTION'
+WHEN text <> '' AND ({_any('text', R.OFF_TOPIC)} OR NOT {_has('text', R.TOPIC_TERMS)}) THEN 'OUT_OF_SCOPE' WHEN {_any('text', R.PATIENT_SCENARIO)} THEN 'PATIENT_SCENARIO' ELSE 'NONE' END"""
+_AMBIGUITY = f"""CASE WHEN {_STRIP('text')} = '' THEN 'empty' WHEN {_any(_STRIP('text'), R.VAGUE)} THEN 'vague'
+WHEN {_prefix('text', R.POPULATION_DEPENDENT)} AND NOT {_prefix('text', R.POPULATION_CONTEXT)} THEN 'population'
+WHEN len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) <= 2 AND NOT {_prefix('text', R.SHORT_QUERY_TOPICS)} THEN 'short' END"""
+
+
+def _texts(spark, sf_dir):
+    """All texts that can be asked: items, user messages and documents, as (kind, id, text)."""
+    items = table(spark, sf_dir, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), "text")
+    said = table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    docs = _documents(spark, sf_dir).select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text")
+    return items.unionByName(said).unionByName(docs).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+_TEXTS = "x AS (SELECT kind, id, coalesce(text, '') AS text FROM (SELECT 'item' AS kind, item_id AS id, text FROM benchmark UNION ALL SELECT 'turn', conv_id * 1000 + turn, text FROM conversations UNION ALL SELECT 'doc', doc_id, text FROM documents))"
+
+
+@_registered(f"""WITH {_TEXTS}, g AS (SELECT *, {_GATE} AS category, {_AMBIGUITY} AS ambiguity FROM x)
+SELECT kind, id, category, ambiguity, CASE WHEN category <> 'NONE' THEN 'BLOCKED' WHEN ambiguity IS NOT NULL THEN 'CLARIFY' ELSE 'PROCEED' END AS route FROM g""")
+def gate_and_route(spark, sf_dir):
+    q = F.col("text")
+    rows = _texts(spark, sf_dir).select("kind", "id", gates.gate(q)["category"].alias("category"), gates.ambiguity(q).alias("ambiguity"))
+    route = F.when(F.col("category") != "NONE", "BLOCKED").when(F.col("ambiguity").isNotNull(), "CLARIFY").otherwise("PROCEED")
+    return rows.withColumn("route", route)
+
+
+_KEYWORD = f"""CASE WHEN {_has('text', R.OUT_OF_SCOPE_WORDS)} THEN 'OUT_OF_SCOPE' {" ".join(f"WHEN {_has('text', w)} THEN '{n}'" for n, w in R.KEYWORD_INTENTS.items())} ELSE 'GENERAL' END"""
+
+
+@_registered(f"""WITH {_TEXTS} SELECT kind, id, {_KEYWORD} AS keyword_intent,
+CASE WHEN contains(lower(text), 'bronchiolitis') THEN 'BRONCHIOLITIS' WHEN contains(lower(text), 'asthma') THEN 'ASTHMA' ELSE 'OTHER' END AS condition,
+CASE {" ".join(f"WHEN {_any('text', p)} THEN '{n}'" for n, p in R.VIDEOS.items())} END AS video,
+CASE WHEN regexp_matches(text, '[؀-ۿ]') THEN 'ar' ELSE 'en' END AS language FROM x""")
+def query_classes(spark, sf_dir):
+    q = F.col("text")
+    return _texts(spark, sf_dir).select(
+        "kind", "id", gates.keyword_intent(q).alias("keyword_intent"), gates.condition(q).alias("condition"), gates.video(q).alias("video"), T.language(q).alias("language")
+    )
+
+
+@_registered()
+def intents(spark, sf_dir):
+    q = F.col("text")
+    return gates.with_rules(_texts(spark, sf_dir), "text").select(
+        "kind", "id", "intent", gates.classifier_age(q).alias("classifier_age"), gates.implied_age(q).alias("implied_age"),
+        F.size(gates.questions(q, F.col("intent"))).alias("n_questions"),
+    )
+
+
+# --- grounding and evaluation ---------------------------------------------------------------------
+
+
+def _content(column: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in R.STOPWORDS_EN + R.STOPWORDS_AR)
+    return f"list_filter(list_distinct(regexp_extract_all(lower({column}), '[A-Za-z؀-ۿ]+')), lambda w: length(w) > 1 AND NOT list_contains([{stop}], w))"
+
+
+@_registered(f"""WITH {_BM25}, h AS (SELECT query_id, doc_id, {_content('b.text')} AS w, {_content('d.text')} AS dw FROM bm JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) WHERE rank <= 5)
+SELECT query_id, doc_id, len(w) > 0 AND len(list_intersect(w, dw)) / len(w) >= 0.25 AND len(list_intersect(w, dw)) >= 1 AS supported,
+round(CASE WHEN len(w) > 0 THEN len(list_intersect(w, dw)) / len(w) ELSE 0 END, 6) AS ratio, len(list_intersect(w, dw)) AS n_matched FROM h""")
+def claim_support(spark, sf_dir):
+    docs, items = _documents(spark, sf_dir), _items(spark, sf_dir)
+    hits = retrieval.bm25(docs, items).join(docs.select("doc_id", "text"), "doc_id").join(items, "query_id")
+    s = grounding.claim_support(F.col("query"), F.col("text"))
+    return hits.select("query_id", "doc_id", s.alias("s")).select("query_id", "doc_id", "s.supported", "s.ratio", F.size("s.matched").cast("long").alias("n_matched"))
+
+
+@_registered(f"""WITH {_BM25}, t AS (SELECT query_id, max(score) AS top, count(*) AS n FROM hr WHERE rank <= 5 GROUP BY ALL)
+SELECT query_id, round(top, 6) AS top, CASE WHEN top > 0.8 THEN 'High' WHEN top >= 0.6 THEN 'Moderate' ELSE 'Low / Not Grounded' END AS confidence,
+CASE WHEN {_any('b.text', R.PATIENT_SCENARIO)} THEN 'patient_specific' WHEN top < 0.55 THEN 'weak_evidence' WHEN top < 0.6 THEN 'low_confidence' END AS refusal
+FROM t JOIN benchmark b ON b.item_id = query_id""")
+def confidence_and_refusal(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    hits = retrieval.search(_documents(spark, sf_dir), items, "hybrid_rerank")
+    top = hits.groupBy("query_id").agg(F.max("score").alias("top"), F.count("*").alias("n")).join(items, "query_id")
+    return top.select("query_id", "top", grounding.confidence(F.col("top")).alias("confidence"), grounding.refused(F.col("query"), F.col("top"), F.col("n")).alias("refusal"))
+
+
+@_registered(f"""WITH {_BM25}, h AS (SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS best FROM hr WHERE rank <= 5)
+SELECT query_id, doc_id, score, rank FROM h WHERE score >= 0.32 AND round(best - score, 9) <= 0.18""")
+def evidence_block(spark, sf_dir):
+    hits = retrieval.search(_documents(spark, sf_dir), _items(spark, sf_dir), "hybrid_rerank")
+    return grounding.evidence(hits).select("query_id", "doc_id", "score", "rank")
+
+
+@_registered(f"""WITH {_BM25}, h AS (SELECT query_id, rank, coalesce(quality = 1, false) AS relevant FROM bm LEFT JOIN labels USING (doc_id) WHERE rank <= 5),
+p AS (SELECT query_id, count(*) FILTER (relevant) AS n, min(rank) FILTER (relevant) AS first FROM h GROUP BY ALL)
+SELECT item_id AS query_id, round(coalesce(n / 5, 0), 6) AS precision, round(coalesce(1 / first, 0), 6) AS reciprocal_rank FROM benchmark LEFT JOIN p ON query_id = item_id""")
+def precision_and_mrr(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    good = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
+    hits = retrieval.bm25(_documents(spark, sf_dir), items).join(good, "doc_id", "left").withColumn("relevant", F.coalesce("good", F.lit(False)))
+    return evaluation.precision_and_mrr(items, hits, 5)
+
+
+@_registered("""SELECT round(coalesce(count(*) FILTER (quality = 0 AND toxic = 1) / nullif(count(*) FILTER (toxic = 1), 0), 1), 6) AS correct_refusal,
+round(coalesce(count(*) FILTER (quality = 0 AND toxic <> 1) / nullif(count(*) FILTER (toxic <> 1), 0), 0), 6) AS false_refusal,
+round(coalesce(count(*) FILTER (quality <> 0 AND toxic = 1 AND doc_id % 2 = 0) / nullif(count(*) FILTER (toxic = 1 AND doc_id % 2 = 0), 0), 0), 6) AS injection_success FROM labels""")
+def refusal_rates(spark, sf_dir):
+    cases = table(spark, sf_dir, "labels").select(
+        (F.col("toxic") == 1).alias("should_refuse"), (F.col("quality") == 0).alias("was_refused"), ((F.col("toxic") == 1) & (F.col("doc_id") % 2 == 0)).alias("is_injection")
+    )
+    return evaluation.refusal_rates(cases)
+
+
+@_registered(f"""WITH {_BM25}, h AS (SELECT query_id, doc_id, rank, list_distinct({_tok('text')}) AS t FROM bm JOIN documents USING (doc_id) WHERE rank <= 5)
+SELECT a.query_id, a.rank AS rank, b.rank AS other, round(CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0 ELSE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END, 6) AS similarity
+FROM h a JOIN h b ON a.query_id = b.query_id AND a.rank > b.rank""")
+def result_similarity(spark, sf_dir):
+    """Jaccard of the hits of one query with each other: at most ten pairs a query."""
+    docs = _documents(spark, sf_dir)
+    hits = retrieval.bm25(docs, _items(spark, sf_dir)).join(docs.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("t")), "doc_id")
+    per = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "t"))).alias("h"))
+    a = per.select("query_id", "h", F.explode("h").alias("a"))
+    pairs = a.select("query_id", "a", F.explode(F.filter("h", lambda x: x["rank"] < F.col("a.rank"))).alias("b"))
+    return pairs.select("query_id", F.col("a.rank").alias("rank"), F.col("b.rank").alias("other"), F.round(evaluation.jaccard(F.col("a.t"), F.col("b.t")), 6).alias("similarity"))
+
+
+@_registered(f"""WITH {_BM25}, q AS (SELECT item_id AS query_id, list_sort({_content('text')})[1:3] AS kw FROM benchmark),
+h AS (SELECT query_id, rank, len(list_filter(kw, lambda w: contains(lower(text), w))) AS m, len(kw) AS n FROM q JOIN bm USING (query_id) JOIN documents USING (doc_id) WHERE rank <= 5),
+c AS (SELECT query_id, count(*) AS hits, bool_or(m >= greatest(1, least(2, n))) AS good, bool_or(m > 0) AS seen FROM h GROUP BY ALL)
+SELECT CASE WHEN hits IS NULL THEN 'EMBEDDING_FAILURE' WHEN good THEN 'NONE' WHEN NOT seen THEN 'VOCABULARY_MISMATCH' ELSE 'BAD_CHUNK_BOUNDARY' END AS failure, count(*) AS n FROM q LEFT JOIN c USING (query_id) GROUP BY ALL""")
+def failure_classes(spark, sf_dir):
+    docs, items = _documents(spark, sf_dir), _items(spark, sf_dir)
+    cases = items.select("query_id", F.slice(F.array_sort(T.content_words(F.col("query"))), 1, 3).alias("kw"))
+    hits = retrieval.bm25(docs, items).join(docs.select("doc_id", "text"), "doc_id").join(cases, "query_id")
+    one = F.size(F.filter("kw", lambda k: F.contains(F.lower("text"), k))) > 0
+    per = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.bool_or(evaluation.relevant(F.col("kw"), F.col("text"))).alias("good"), F.bool_or(one).alias("seen"))
+    failure = F.when(F.col("hits").isNull(), "EMBEDDING_FAILURE").when(F.col("good"), "NONE").when(~F.col("seen"), "VOCABULARY_MISMATCH").otherwise("BAD_CHUNK_BOUNDARY")
+    return cases.join(per, "query_id", "left").groupBy(failure.alias("failure")).agg(F.count("*").alias("n"))
+
+
+@_registered(f"""WITH {_BM25}, h AS (SELECT 'bm25' AS configuration, 0 AS pos, query_id, doc_id FROM bm WHERE rank <= 5 UNION ALL SELECT 'dense', 1, query_id, doc_id FROM co WHERE rank <= 5
+UNION ALL SELECT 'hybrid', 2, query_id, doc_id FROM fr WHERE rank <= 5 UNION ALL SELECT 'hybrid_rerank', 3, query_id, doc_id FROM hr WHERE rank <= 5),
+p AS (SELECT configuration, pos, count(*) FILTER (quality = 1) / (5.0 * (SELECT count(*) FROM benchmark)) AS precision FROM h LEFT JOIN labels USING (doc_id) GROUP BY ALL)
+SELECT configuration, round(precision, 6) AS precision, round(precision - first_value(precision) OVER (ORDER BY pos), 6) AS delta FROM p""")
+def strategy_deltas(spark, sf_dir):
+    docs, items = _documents(spark, sf_dir), _items(spark, sf_dir)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(1))
+    runs = None
+    for pos, name in enumerate(("bm25", "dense", "hybrid", "hybrid_rerank")):
+        run = retrieval.search(docs, items, name).select(F.lit(name).alias("configuration"), F.lit(pos).alias("pos"), "doc_id")
+        runs = run if runs is None else runs.unionByName(run)
+    n = items.agg(F.count("*").alias("n"))
+    per = runs.join(good, "doc_id", "left").groupBy("configuration", "pos").agg(F.count("good").alias("hits")).crossJoin(n)
+    per = per.withColumn("precision", F.col("hits") / (5 * F.col("n")))
+    first = F.first("precision").over(Window.partitionBy(F.lit(0)).orderBy("pos"))  # four rows
+    return per.select("configuration", F.round("precision", 6).alias("precision"), F.round(F.col("precision") - first, 6).alias("delta"))
+
+
+@_registered(f"""WITH {_BM25} SELECT query_id, count(*) AS n_results, round(max(score), 4) AS top_score, array_to_string(list_sort(list_distinct(list(source))), ', ') AS documents,
+'' AS relevant, '' AS correct_source, '' AS duplicate, '' AS missing_context, '' AS notes FROM bm JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id""")
+def audit_template(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return sinks.audit_template(retrieval.bm25(docs, _items(spark, sf_dir)).join(docs.select("doc_id", "source"), "doc_id"))
+
+
+@_registered()
+def evidence_panels(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return grounding.panel(retrieval.bm25(docs, _items(spark, sf_dir)).join(docs.select("doc_id", "text"), "doc_id"))
+
+
+@_registered()
+def answers_ungated(spark, sf_dir):
+    """The whole path for every item; the gate is left open, since the tables' words are none of its topic's."""
+    return answers.answer(_items(spark, sf_dir), _documents(spark, sf_dir), gated=False)
+
+
+@_registered()
+def answers_gated(spark, sf_dir):
+    return answers.answer(_items(spark, sf_dir), _documents(spark, sf_dir))
+
+
+# --- telemetry ------------------------------------------------------------------------------------
+
+
+@_registered("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
+def request_windows(spark, sf_dir):
+    return telemetry.request_windows(table(spark, sf_dir, "events"))
+
+
+@_registered("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS starts FROM events),
+s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS n FROM s GROUP BY user_id, session""")
+def user_sessions(spark, sf_dir):
+    return telemetry.user_sessions(table(spark, sf_dir, "events"))
