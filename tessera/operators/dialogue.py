@@ -62,7 +62,7 @@ def expanded(query: Column) -> Column:
     words = F.split(F.lower(query), r"(?U)\W+")
     full = F.create_map(*[F.lit(x) for pair in R.ACRONYMS.items() for x in pair])
     forms = F.filter(F.transform(F.array_distinct(words), lambda w: F.try_element_at(full, w)), lambda f: f.isNotNull())
-    return F.concat_ws(" ", query, F.array_join(forms, " ")) if forms is not None else query
+    return F.when(F.size(forms) > 0, F.concat_ws(" ", query, F.array_join(forms, " "))).otherwise(query)
 
 
 def spelled(query: Column, known: list[str] | None = None) -> Column:
@@ -89,12 +89,16 @@ def is_compound(query: Column) -> Column:
     return (word_count(query) >= R.COMPOUND_WORDS) & query.rlike("(?i)" + R.CONJUNCTIONS) & (starters >= 2)
 
 
+def _splitter(pattern: str):
+    return lambda s: F.transform(F.split(s, pattern), stripped)
+
+
 def sub_questions(query: Column) -> Column:
     """Questions of a compound query in order; one that doesn't split is its only question."""
     q = stripped(query)
     parts = F.array(q)
     for pattern in R.SPLITS:
-        cut = F.filter(F.flatten(F.transform(parts, lambda s, p=pattern: F.transform(F.split(s, p), stripped))), lambda s: s != "")
+        cut = F.filter(F.flatten(F.transform(parts, _splitter(pattern))), lambda s: s != "")
         parts = F.when(F.size(cut) > F.size(parts), cut).otherwise(parts)
     long = F.filter(parts, lambda s: F.length(s) >= R.SHORTEST_QUESTION)
     asked = F.transform(long, lambda s: F.concat(F.regexp_replace(s, r"^[ .,;?]+|[ .,;?]+$", ""), F.lit("?")))
