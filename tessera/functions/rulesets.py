@@ -224,6 +224,11 @@ SPLITS = [
     r"(?i)\band\s+(?=(?:what|when|how|why|which|who|where|is|are|does|do|should|can)\b)",
 ]
 SHORTEST_QUESTION, COMPOUND_WORDS = 12, 8
+NUMBERED_ITEM = r"(?:\r?\n|\s+)(?=(?:\d+|[\x{0660}-\x{0669}]+)[\.\)]\s+)"
+NUMBER_PREFIX = r"^(?:\d+|[\x{0660}-\x{0669}]+)[\.\)]\s*"
+SPLIT_AR = r",\s*|\s+(?=و\s*كيف|و\s*ما\s*هي|و\s*ما\s*هو|بالإضافة\s+إلى|بالاضافة\s+الى)"
+SPLIT_EN = r"(?i),\s*(?=(?:and\s+)?(?:what|how|why|when|which|is|are|should|can)\b)|\band\s+(?=(?:what|how|why|when)\b)"
+SHORTEST_PART = 8
 
 # --- video ----------------------------------------------------------------------------------------
 VIDEOS = {

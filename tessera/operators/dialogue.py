@@ -105,3 +105,18 @@ def sub_questions(query: Column) -> Column:
     lower = F.transform(asked, F.lower)
     unique = F.filter(asked, lambda s, i: F.array_position(lower, F.lower(s)) == i + 1)
     return F.when(is_compound(q) & (F.size(unique) >= 2), unique).otherwise(F.array(q))
+
+
+def listed_questions(query: Column) -> Column:
+    """Questions of a list: numbered items, or else several question marks, or else joined clauses; in English and Arabic."""
+    q = stripped(F.coalesce(query, F.lit("")))
+    filled = lambda parts, least: F.filter(F.transform(parts, stripped), lambda s: F.length(s) >= least)
+    items = filled(F.transform(filled(F.split(q, R.NUMBERED_ITEM), 1), lambda s: F.regexp_replace(s, R.NUMBER_PREFIX, "")), 1)
+    mark = F.when(language(q) == "ar", "\u061f").otherwise("?")
+    marked = F.transform(filled(F.split(q, r"[?\x{061F}]"), 1), lambda s: F.concat(s, mark))
+    clauses = F.when(language(q) == "ar", filled(F.split(q, R.SPLIT_AR), R.SHORTEST_PART)).otherwise(filled(F.split(q, R.SPLIT_EN), R.SHORTEST_PART))
+    several = F.length(q) - F.length(F.replace(q, mark, F.lit(""))) > 1
+    return (
+        F.when(q == "", F.array().cast("array<string>")).when(F.size(items) > 1, items).when(several & (F.size(marked) > 1), marked)
+        .when(F.size(clauses) > 1, clauses).otherwise(F.array(q))
+    )

@@ -81,6 +81,12 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = -1.
     return top_k(scored.where(F.col("score") >= least), k).select("query_id", "doc_id", "score", "rank")
 
 
+def upsert(stored: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
+    """stored with the rows of new, which replace those of the same key; of repeated keys in new one stays."""
+    latest = new.dropDuplicates([key])
+    return stored.join(latest.select(key), key, "left_anti").unionByName(latest)
+
+
 def fuse(runs: list[DataFrame], k: int = 5, constant: int = R.RRF_K) -> DataFrame:
     """Reciprocal-rank fusion; scores are shares of the best possible one. Ties: earlier run, then rank."""
     merged = None

@@ -316,6 +316,12 @@ def sub_questions(spark, sf_dir):
     return rows.select("conv_id", "turn", F.posexplode(asked).alias("question", "query"))
 
 
+@_registered()
+def listed_questions(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return rows.select("conv_id", "turn", F.posexplode(dialogue.listed_questions(F.col("text"))).alias("question", "query"))
+
+
 @_registered("""SELECT conv_id, count(*) AS n_messages, count(*) FILTER (role = 'user') AS n_user, substr(arg_min(text, turn) FILTER (role = 'user'), 1, 26) AS title FROM conversations GROUP BY ALL""")
 def session_overview(spark, sf_dir):
     return sessions.overview(table(spark, sf_dir, "conversations"))

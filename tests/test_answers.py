@@ -125,3 +125,21 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     query = telemetry.request_windows(stream).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, telemetry.request_windows(events).collect()))
+
+
+@pytest.mark.parametrize(
+    ("text", "parts"),
+    [
+        ("1. What is asthma 2) How is it treated", ["What is asthma", "How is it treated"]), ("What is it? How so?", ["What is it?", "How so?"]),
+        ("asthma signs, and how to treat them", ["asthma signs", "how to treat them"]), ("ما هو الربو؟ كيف نعالجه؟", ["ما هو الربو؟", "كيف نعالجه؟"]),
+        ("one thing", ["one thing"]), ("", []), (None, []),
+    ],
+)
+def test_listed_questions(spark, text, parts):
+    assert spark.createDataFrame([(text,)], "t string").select(dialogue.listed_questions(F.col("t"))).first()[0] == parts
+
+
+def test_upsert(spark):
+    vectors = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, embedding array<float>")
+    rows = retrieval.upsert(vectors((1, [1.0]), (2, [2.0])), vectors((2, [5.0]), (3, [3.0]), (3, [3.0]))).collect()
+    assert sorted((r.doc_id, r.embedding[0]) for r in rows) == [(1, 1.0), (2, 5.0), (3, 3.0)]
