@@ -91,10 +91,13 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     n = max(1, min(MAX_RANGES, -(-rows.count() // range_rows)))
     bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
     splits = [-float("inf"), *sorted({float(b) for b in bounds}), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="__at", outputCol="__rng", handleInvalid="keep")
-    dealt = cut.transform(rows.withColumn("__at", F.col("doc_id").cast("double"))).select(
-        F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("__rng")).cast("int").alias("rng"), "doc_id", "text"
-    )
+    if len(splits) == 2:  # one range: there are no ids, or one
+        dealt = rows.select(F.lit(0).alias("rng"), "doc_id", "text")
+    else:
+        cut = Bucketizer(splits=splits, inputCol="__at", outputCol="__rng", handleInvalid="keep")
+        dealt = cut.transform(rows.withColumn("__at", F.col("doc_id").cast("double"))).select(
+            F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("__rng")).cast("int").alias("rng"), "doc_id", "text"
+        )
     heads = sorted((tuple(r) for r in dealt.groupBy("rng").agg(F.max("doc_id")).collect()), reverse=True)
     after = [(rng, head, heads[i - 1][0]) for i, (rng, head) in enumerate(heads)]  # the first range's head follows the last range
     heads_df = docs.sparkSession.createDataFrame(after, "rng int, head long, target int")
