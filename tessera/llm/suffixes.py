@@ -23,6 +23,10 @@ from tessera.llm.common import documents
 SPAN, K = 50, 20
 #: Bits of the filter of repeated grams (a power of two: its size is fixed); bytes worked on at once; bytes of one suffix array.
 FILTER_BITS, _PIECE, _SHARD = 1 << 26, 1 << 20, 1 << 22
+#: Bits that the length of a span takes when start and length are one number.
+_BITS = 22
+#: The filter travels in blocks of 2 to the power of so many bits.
+_BLOCK = 16
 _C = 0x9E3779B97F4A7C15
 
 
@@ -253,12 +257,23 @@ def repeated_grams(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[piece])], ["h", "doc_id"])
 
     found = rows.mapInArrow(work, "h long, doc_id long").groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = np.sort(batch.column(0).to_numpy())
+            for part in np.split(place, np.flatnonzero(np.diff(place >> _BLOCK)) + 1) if len(place) else []:
+                bits = blocks.setdefault(int(part[0]) >> _BLOCK, np.zeros(1 << _BLOCK, bool))
+                bits[part & ((1 << _BLOCK) - 1)] = True
+        packed = [np.packbits(bits, bitorder="little").tobytes() for bits in blocks.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(packed, pa.binary())], ["block", "bits"])
+
     places = found.select(F.explode(F.array(*_probes(F.col("h")))).alias("place"))
-    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("bits"))
-    bits = np.zeros(FILTER_BITS >> 6, np.int64)
-    kept = words.toPandas()  # at most FILTER_BITS / 64 rows
-    bits[kept["word"].to_numpy(np.int64)] = kept["bits"].to_numpy(np.int64)
-    return bits
+    marked = places.repartition(F.shiftright("place", _BLOCK)).select("place").mapInArrow(mark, "block int, bits binary")
+    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
+    for row in marked.toLocalIterator():  # FILTER_BITS bits in all
+        at = row.block << _BLOCK - 3
+        bits[at : at + (1 << _BLOCK - 3)] = np.frombuffer(row.bits, np.uint8)
+    return bits.view(np.int64)
 
 
 def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -272,63 +287,68 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 # --- shards ---------------------------------------------------------------------------------------
 
 
-def earliest(segs: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For each segment, the least owner of each SPAN-byte string in it, over all segments given."""
-    size = np.array([len(x) for x in segs])
+def earliest(segs: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, from, to, low): runs of SPAN-byte strings of a segment whose least owner, over all segments given, is low."""
+    size = np.fromiter(map(len, segs), np.int64, len(segs))
     text = np.frombuffer(b"".join(segs), np.uint8)
     begin = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(segs)), size)
-    room = (begin + size)[owner] - np.arange(len(text))
+    whole_at = np.arange(len(text)) <= (begin + size - SPAN)[owner]  # a string that runs over its segment's end is none
     sa = suffix_array(text)
-    joined = common_prefixes(text, sa, SPAN)
-    whole = room[sa] >= SPAN  # a string that runs over its segment's end is none
-    chain = np.cumsum(~joined)  # suffixes that share SPAN bytes with their neighbour
+    chain = np.cumsum(~common_prefixes(text, sa, SPAN))  # suffixes that share SPAN bytes with their neighbour
+    whole = whole_at[sa]
     sa, chain = sa[whole], chain[whole]
-    first = np.flatnonzero(np.append(True, chain[1:] != chain[:-1])) if len(sa) else np.zeros(0, np.int64)
-    least = np.minimum.reduceat(owners[owner[sa]], first) if len(sa) else np.zeros(0, np.int64)
-    at = np.zeros(len(text), np.int64)
-    at[sa] = np.repeat(least, np.diff(np.append(first, len(sa))))
-    return [at[b : b + n - SPAN + 1] for b, n in zip(begin.tolist(), size.tolist(), strict=True)]
+    first = np.flatnonzero(np.append(True, chain[1:] != chain[:-1]))
+    low = np.zeros(len(text), np.int64)
+    low[sa] = np.repeat(np.minimum.reduceat(owners[owner[sa]], first), np.diff(np.append(first, len(sa))))
+    at = np.flatnonzero(whole_at)
+    cut = np.flatnonzero(np.append(True, (low[at[1:]] != low[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])))
+    last = np.append(cut[1:], len(at)) - 1
+    seg = owner[at[cut]]
+    return seg, at[cut] - begin[seg], at[last] - begin[seg] + 1, low[at[cut]]
+
+
+def _digests(segs: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, segs), np.uint64, len(segs)).view(np.int64)
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, seg, low) of whole grams, by h -> (seg_key, from, to, low): runs of strings with one earliest doc_id."""
-
-    def out(segs: list[bytes], lows: list[np.ndarray]) -> pa.RecordBatch:
-        keys, froms, tos, mins = [], [], [], []
-        for seg, low in zip(segs, lows, strict=True):
-            cut = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-            keys += [xxhash.xxh64_intdigest(seg) - (1 << 63)] * len(cut)
-            froms += cut.tolist()
-            tos += [*cut[1:].tolist(), len(low)]
-            mins += low[cut].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(froms, pa.int32()), pa.array(tos, pa.int32()), pa.array(mins, pa.int64())], ["seg_key", "from", "to", "low"])
-
-    group, group_h, shard, held = [], None, [], 0
-
-    def close() -> Iterator[pa.RecordBatch]:
-        nonlocal shard, held, group
-        if len(group) == 1:  # one surrounding only: all its strings begin with its own first document
-            yield out([group[0][0]], [np.full(len(group[0][0]) - SPAN + 1, group[0][1])])
-        else:
-            shard += group
-            held += sum(len(s) for s, _ in group)
-        group = []
-        if held >= _SHARD:
-            yield out([s for s, _ in shard], earliest([s for s, _ in shard], np.array([d for _, d in shard], np.int64)))
-            shard, held = [], 0
+    """Rows (h, seg, low), all of a gram together -> (seg_key, from, to, low): runs of strings with one earliest doc_id."""
+
+    def out(keys: np.ndarray, start: np.ndarray, stop: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(keys), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(low)]
+        return pa.RecordBatch.from_arrays(columns, ["seg_key", "from", "to", "low"])
+
+    def sort(segs: list[bytes], lows: list[int]) -> pa.RecordBatch:
+        seg, start, stop, low = earliest(segs, np.array(lows, np.int64))
+        return out(_digests(segs)[seg], start, stop, low)
 
+    kept_h, kept_segs, kept_lows = np.zeros(0, np.int64), [], []  # of the gram that the next batch may go on with
+    shard, shard_lows, held = [], [], 0
     for batch in batches:
-        for h, seg, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if h != group_h:
-                if group:
-                    yield from close()
-                group_h = h
-            group.append((seg, low))
-    if group:
-        yield from close()
-    if shard:
-        yield out([s for s, _ in shard], earliest([s for s, _ in shard], np.array([d for _, d in shard], np.int64)))
+        h = np.concatenate([kept_h, batch.column(0).to_numpy()])
+        segs = kept_segs + batch.column(1).to_pylist()
+        lows = kept_lows + batch.column(2).to_pylist()
+        new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        if not len(new):
+            continue
+        done = int(new[-1])
+        kept_h, kept_segs, kept_lows = h[done:], segs[done:], lows[done:]
+        sizes = np.diff(new)
+        alone = new[:-1][sizes == 1]  # one surrounding only: all its strings begin with its own first document
+        if len(alone):
+            own = [segs[i] for i in alone.tolist()]
+            n = np.fromiter(map(len, own), np.int64, len(own)) - SPAN + 1
+            yield out(_digests(own), np.zeros(len(own)), n, np.array([lows[i] for i in alone.tolist()], np.int64))
+        for i, size in zip(new[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            shard += segs[i : i + size]
+            shard_lows += lows[i : i + size]
+            held += sum(map(len, segs[i : i + size]))
+            if held >= _SHARD:
+                yield sort(shard, shard_lows)
+                shard, shard_lows, held = [], [], 0
+    if kept_segs or shard:
+        yield sort(shard + kept_segs, shard_lows + kept_lows)
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,10 +368,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for keys, ids, offsets, sizes, (piece, start, end, h, data) in _scan(batches):
             ok = _passes(shared.value, h)
             raw, piece, start, end = data.tobytes(), piece[ok], start[ok], end[ok]
-            digest = [xxhash.xxh64_intdigest(raw[a:b]) - (1 << 63) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            digest = _digests([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
             begin = np.cumsum(sizes) - sizes
             at = start - begin[piece] + offsets[piece]
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.int64()), pa.array(keys[piece]), pa.array(ids[piece]), pa.array(at)], ["seg_key", "key", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(keys[piece]), pa.array(ids[piece]), pa.array(at)], ["seg_key", "key", "doc_id", "at"])
 
     distinct = rows.mapInArrow(segs, "h long, seg binary, doc_id long").groupBy("h", "seg").agg(F.min("doc_id").alias("low"))
     settled = distinct.repartition("h").sortWithinPartitions("h").mapInArrow(_settle, "seg_key long, from int, to int, low long")
@@ -366,33 +386,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a null id is larger than all others; rows of one id aren't smaller than each other, and repeated
     rows lose the same. Empty table: empty result. Other columns are ignored.
     """
-    spans = removed_spans(docs, id_col, text_col).distinct()
-    lists = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    packed = F.shiftleft("start", _BITS).bitwiseOR(F.col("end") - F.col("start")).alias("span")  # a span is shorter than a piece
+    spans = removed_spans(docs, id_col, text_col).select("key", packed)
+    lists = spans.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("doc_id"), text.alias("text"))
     joined = rows.join(lists, "key", "left").select("doc_id", "text", "spans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, removed, counts, kept = batch.column(0), [], [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw, at, gone, n, parts = text.encode(), 0, 0, 0, []
-                start = end = -1
-                for x in [*(found or []), {"start": len(raw) + 1, "end": len(raw) + 1}]:
-                    if x["start"] <= end:
-                        end = max(end, x["end"])
-                        continue
-                    if end > 0:
-                        parts.append(raw[at:start])
-                        at, gone, n = end, gone + end - start, n + 1
-                    start, end = x["start"], x["end"]
-                parts.append(raw[at:])
-                sizes.append(len(raw))
-                removed.append(gone)
-                counts.append(n)
-                kept.append(b"".join(parts))
+            texts = [t.encode() for t in batch.column(1).to_pylist()]
+            found = batch.column(2)
+            counts = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(texts)), counts)
+            far = np.int64(1) << 40  # rows side by side on one line
+            start = (flat >> _BITS) + row * far
+            end = start + (flat & ((1 << _BITS) - 1))
+            reach = np.maximum.accumulate(end) if len(end) else end
+            new = np.append(True, start[1:] > reach[:-1]) if len(end) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            a, b, of = start[first] - row[first] * far, reach[np.append(first[1:], len(new))[: len(first)] - 1] - row[first] * far, row[first]
+            edges = np.searchsorted(of, np.arange(len(texts) + 1))
+            gone = np.bincount(of, b - a, len(texts)).astype(np.int64)
+            kept = []
+            for raw, x, y in zip(texts, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if x == y:
+                    kept.append(raw)
+                    continue
+                froms, tos = [0, *b[x:y].tolist()], [*a[x:y].tolist(), len(raw)]
+                kept.append(b"".join([raw[p:q] for p, q in zip(froms, tos, strict=True)]))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())],
+                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(gone), pa.array(np.diff(edges).astype(np.int64)), pa.array(kept, pa.binary())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
