@@ -480,6 +480,42 @@ def strategy_deltas(spark, sf_dir):
     return per.select("configuration", F.round("precision", 6).alias("precision"), F.round(F.col("precision") - first, 6).alias("delta"))
 
 
+_MATRIX = " UNION ALL ".join(
+    f"SELECT '{name}' AS configuration, {k} AS k, query_id, doc_id, rank FROM {run} WHERE rank <= {k}"
+    for name, run in (("bm25", "bm"), ("dense", "co"), ("hybrid", "fr")) for k in (3, 5, 10)
+)
+
+
+@_registered(f"""WITH {_BM25}, g AS (SELECT doc_id FROM labels WHERE quality = 1 GROUP BY doc_id), h AS ({_MATRIX}),
+p AS (SELECT configuration, k, query_id, count(g.doc_id) / k AS p, coalesce(1 / min(rank) FILTER (g.doc_id IS NOT NULL), 0) AS r FROM h LEFT JOIN g USING (doc_id) GROUP BY configuration, k, query_id)
+SELECT configuration, k, round(sum(p) / (SELECT count(*) FROM benchmark), 6) AS precision, round(sum(r) / (SELECT count(*) FROM benchmark), 6) AS reciprocal_rank FROM p GROUP BY configuration, k""")
+def benchmark_matrix(spark, sf_dir):
+    """Strategies by cut-offs: each strategy is searched once, to the deepest cut-off, and read at all of them."""
+    docs, items = _documents(spark, sf_dir), _items(spark, sf_dir)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(1))
+    runs = None
+    for name in ("bm25", "dense", "hybrid"):
+        run = retrieval.search(docs, items, name, 10).select(F.lit(name).alias("configuration"), "query_id", "doc_id", "rank")
+        runs = run if runs is None else runs.unionByName(run)
+    cuts = runs.select("*", F.explode(F.array(*map(F.lit, (3, 5, 10)))).alias("k")).where(F.col("rank") <= F.col("k")).join(good, "doc_id", "left")
+    per = cuts.groupBy("configuration", "k", "query_id").agg(
+        (F.count("good") / F.col("k")).alias("p"), F.coalesce(1 / F.min(F.when(F.col("good") == 1, F.col("rank"))), F.lit(0.0)).alias("r")
+    )
+    n = items.agg(F.count("*").alias("n"))
+    return per.groupBy("configuration", "k").agg(F.sum("p").alias("p"), F.sum("r").alias("r")).crossJoin(n).select(
+        "configuration", "k", F.round(F.col("p") / F.col("n"), 6).alias("precision"), F.round(F.col("r") / F.col("n"), 6).alias("reciprocal_rank")
+    )
+
+
+@_registered()
+def failure_modes(spark, sf_dir):
+    docs, items = _documents(spark, sf_dir), _items(spark, sf_dir)
+    cases = items.select("query_id", F.slice(F.array_sort(T.content_words(F.col("query"))), 1, 3).alias("kw"))
+    hits = retrieval.bm25(docs, items).join(docs.select("doc_id", "text"), "doc_id").join(cases, "query_id")
+    flagged = hits.withColumn("relevant", evaluation.relevant_to_case(F.lit(-1), F.col("kw"), F.col("doc_id"), F.col("text"))).withColumn("out_of_scope", F.lit(False))
+    return evaluation.failure_modes(flagged)
+
+
 @_registered(f"""WITH {_BM25} SELECT query_id, count(*) AS n_results, round(max(score), 4) AS top_score, array_to_string(list_sort(list_distinct(list(source))), ', ') AS documents,
 '' AS relevant, '' AS correct_source, '' AS duplicate, '' AS missing_context, '' AS notes FROM bm JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id""")
 def audit_template(spark, sf_dir):

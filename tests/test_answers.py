@@ -143,3 +143,21 @@ def test_upsert(spark):
     vectors = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, embedding array<float>")
     rows = retrieval.upsert(vectors((1, [1.0]), (2, [2.0])), vectors((2, [5.0]), (3, [3.0]), (3, [3.0]))).collect()
     assert sorted((r.doc_id, r.embedding[0]) for r in rows) == [(1, 1.0), (2, 5.0), (3, 3.0)]
+
+
+def test_failure_modes_and_scores(spark):
+    long, short = "word " * 40, "tiny text"
+    rows = [(1, 1, 5, long, True, False), (1, 2, 5, long, False, False), (2, 1, 6, short, True, False), (3, 1, 7, long, False, False), (4, 1, 8, short, False, True)]
+    hits = spark.createDataFrame(rows, "query_id long, rank int, doc_id long, text string, relevant boolean, out_of_scope boolean")
+    got = {r.query_id: r.modes for r in evaluation.failure_modes(hits).collect()}
+    assert got == {1: ["duplicate_chunks"], 2: ["missing_context"], 3: ["wrong_topic"], 4: ["unrefused_out_of_scope"]}
+    cases = spark.createDataFrame([(0.5, False, False), (None, True, True), (None, True, False)], "precision double, out_of_scope boolean, refused boolean")
+    assert evaluation.out_of_scope_score(cases, True).first()[0] == 0.5 and evaluation.out_of_scope_score(cases, False).first()[0] == 0.5
+
+
+def test_response_fields(spark):
+    cited = "citations array<struct<claim:string,doc_id:long,section:string,score:double,verified:boolean>>"
+    rows = [("SUCCESS", "High", [("c", 1, None, 0.125, True)]), ("SUCCESS", "High", [("c", 1, "s", 0.5, False)]), ("SUCCESS", "High", None), ("REFUSAL", None, None)]
+    got = grounding.response(spark.createDataFrame(rows, f"status string, confidence string, {cited}")).collect()
+    assert [r.is_verified for r in got] == [True, False, True, False]
+    assert got[0].citations_payload[0].asDict() == {"claim": "c", "chunk_id": 1, "source": "Guideline evidence", "score": 0.125, "is_verified": True}
