@@ -169,23 +169,31 @@ def keep_first(docs: DataFrame, words: int, distance: int, bucket: int = BUCKET)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
 
 
-# --- wide fingerprints: groups of a given similarity ------------------------------------------------
+# --- groups of a given similarity: keys of least hashes, wide fingerprints, exact sets ------------------
 
-#: Lanes of 64 bits, and bits of a segment, of the fingerprints that similar_groups compares.
-LANES, SEGMENT = 6, 16
+#: Lanes of 64 bits of a wide fingerprint; keys of a text, and least hashes in a key.
+LANES, KEYS, ROWS = 6, 25, 5
 _ODD = 0x9E3779B97F4A7C15
+_SEEDS = np.random.default_rng(42).integers(0, 1 << 64, (2, KEYS * ROWS, 1), dtype=np.uint64)
+_MIX = _SEEDS[1] | np.uint64(1)
 
 
-def wide_fingerprint(text: str | None, words: int, lanes: int = LANES) -> list[int]:
-    """Signed lanes of a SimHash of 64 bits each: every lane mixes the shingles' hashes anew. All 0 without words."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return [0] * lanes
+def _hashes(parts: list[bytes], words: int) -> np.ndarray:
+    """A 64-bit hash of every shingle; a shorter text is one shingle."""
     codes = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
-    span, found = min(words, len(codes)), []
+    span = min(words, len(codes))
     hashes = np.full(len(codes) - span + 1, span, np.uint64)
     for k in range(span):
         hashes = hashes * np.uint64(_ODD) + codes[k : len(codes) - span + 1 + k]
+    return hashes
+
+
+def _parts(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def _fingerprint_of(hashes: np.ndarray, lanes: int) -> list[int]:
+    found = []
     for lane in range(lanes):
         mixed = (hashes ^ (hashes >> np.uint64(30))) * np.uint64((0xBF58476D1CE4E5B9 + 2 * lane * _ODD) % (1 << 64))
         mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -198,86 +206,136 @@ def wide_fingerprint(text: str | None, words: int, lanes: int = LANES) -> list[i
     return found
 
 
+def wide_fingerprint(text: str | None, words: int, lanes: int = LANES) -> list[int]:
+    """Signed lanes of a SimHash of 64 bits each: every lane mixes the shingles' hashes anew. All 0 without words."""
+    parts = _parts(text)
+    return _fingerprint_of(_hashes(parts, words), lanes) if parts else [0] * lanes
+
+
 def distance_of(similarity: float, bits: int) -> int:
     """Expected number of differing bits of two shingle sets of the Jaccard similarity."""
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def _forest(block: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that connect all of a block's fingerprints in reach of each other: fewer than there are fingerprints."""
-    left, a, b = np.arange(len(ids)), [], []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            near = np.bitwise_count(block[left] ^ block[at]).sum(1, dtype=np.int64) <= distance
-            reached = left[near]
-            left = left[~near]
-            queue += reached.tolist()
-            a.append(np.full(len(reached), ids[at]))
-            b.append(ids[reached])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
-
-
-def wide_links(prints: DataFrame, distance: int, lanes: int = LANES, segment: int = SEGMENT, bucket: int = BUCKET, tile: int = 2048) -> DataFrame:
-    """prints(node, fp array), distinct -> (a, b) links between nodes at the distance or less.
-
-    Chains start at a segment without a difference, are checked link by link against their share of the distance and
-    three deviations more, and then as a whole. Of pairs within the distance a few have no equal segment and stay
-    unlinked: 1 in 6 at a similarity of 0.8, 1 in 100 at 0.9. In a bucket of more than `bucket`
-    nodes, tiles of about `tile` by `tile` nodes each give a forest of links instead of all pairs.
+def reach_of(similarity: float, bits: int) -> int:
+    """distance_of and four deviations: of pairs of the similarity, 1 in 30,000 differs in more bits."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
+
+
+def join_keys(hashes: np.ndarray) -> np.ndarray:
+    """KEYS keys of ROWS least hashes each: two sets of Jaccard similarity s have a key in common but for (1 - s^ROWS)^KEYS."""
+    least = np.full(KEYS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, ((hashes[at : at + 4096] ^ _SEEDS[0]) * _MIX).min(1), out=least)
+    keys = np.zeros(KEYS, np.uint64)
+    for row in least.reshape(KEYS, ROWS).T:
+        keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(_ODD) + row
+    return keys.view(np.int64)
+
+
+def _described(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, seen (hash of the text), node (hash of its words), size of the shingle set, fp and keys for every row."""
+
+    def one(text: str | None) -> tuple:
+        parts = _parts(text)
+        if not parts:
+            return 0, 0, [0] * LANES, []
+        every = _hashes(parts, words)
+        unique = np.unique(every)
+        node = xxhash.xxh3_64_intdigest(b" ".join(parts))
+        return _signed(node), len(unique), _fingerprint_of(every, LANES), join_keys(unique)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = pd.DataFrame([one(t) for t in batch["text"]], columns=["node", "size", "fp", "keys"])
+            yield pd.concat([batch[["doc_id", "seen"]].reset_index(drop=True), found], axis=1)
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("seen"))
+    return rows.mapInPandas(work, "doc_id long, seen long, node long, size long, fp array<long>, keys array<long>")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of wanted(node, seen)."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "shingles": [np.unique(_hashes(_parts(t), words)).view(np.int64) for t in batch["text"]]})
+
+    rows = docs.select("text", F.xxhash64("text").alias("seen")).join(wanted, "seen").select("node", "text")
+    return rows.mapInPandas(work, "node long, shingles array<long>")
+
+
+def _apart(x: str, y: str) -> Column:
+    """Differing bits of two wide fingerprints."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(LANES)), F.lit(0))
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, bucket: int = BUCKET, tile: int = 1024) -> DataFrame:
+    """Links (a, b) that connect all nodes of the similarity or more; every one is checked on the two shingle sets.
+
+    nodes(node, seen, size, fp, keys). Candidates have a key in common. Each node of a key is first compared with the
+    least one, then with the nearest that isn't connected to it yet, and then with all that still aren't: what is
+    connected needs no comparison, so large groups don't cost all their pairs. Keys of more than `bucket` nodes are
+    cut into tiles of `tile` by `tile`. Fingerprints only rule out pairs four deviations beyond the similarity.
     """
-    bits = lanes * BITS
-    per, n = BITS // segment, bits // segment
-    cut = lambda f, i: F.shiftrightunsigned(F.get(f, F.lit(i // per)), segment * (i % per)).bitwiseAND(F.lit((1 << segment) - 1))
-    keys = prints.select("node", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), cut("fp", i).alias("head")) for i in range(n)])).alias("k"))
-    keys = keys.select("node", "fp", "k.turn", "k.head")
-    sizes = keys.groupBy("turn", "head").agg(F.count("*").alias("n")).where("n > 1")
-    keys = materialise(keys.join(sizes, ["turn", "head"]), "wide")
-    cold, hot = keys.where(F.col("n") <= bucket), keys.where(F.col("n") > bucket)
-    x, y = cold.alias("x"), cold.alias("y")
-    differ = lambda lane: F.bit_count(F.get("x.fp", lane).bitwiseXOR(F.get("y.fp", lane)))
-    chain, near, share = F.lit(0), F.lit(True), distance / lanes
-    for k in range(lanes):  # lane by lane, from the lane of the equal segment round the ring
-        chain = chain + differ((F.floor(F.col("x.turn") / per).cast("int") + k) % lanes)
-        near = near & (chain <= min(distance, math.ceil((k + 1) * share + 3 * math.sqrt((k + 1) * share))))
-    pairs = x.join(
-        y, (F.col("x.turn") == F.col("y.turn")) & (F.col("x.head") == F.col("y.head")) & (F.col("x.node") < F.col("y.node")) & near
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        block = np.array(frame["fp"].tolist(), np.int64).view(np.uint64)
-        a, b = _forest(block, frame["node"].to_numpy(), distance)
-        return pd.DataFrame({"a": a, "b": b})
-
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    hot = hot.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    hot = hot.select("turn", "head", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "fp")
-    forests = hot.groupBy("turn", "head", "low", "high").applyInPandas(work, "a long, b long")
-    return pairs.unionByName(forests).distinct()
+    keys = nodes.select("node", F.posexplode("keys").alias("turn", "head"))
+    shared = keys.groupBy("turn", "head").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
+    shared = materialise(keys.join(shared, ["turn", "head"]), "shared")
+    slim = nodes.select("node", "size", "fp")
+    sets = materialise(_sets(docs, shared.select("node").distinct().join(nodes.select("node", "seen"), "node"), words), "sets")
+    reach = reach_of(similarity, LANES * BITS)
+
+    def near() -> Column:
+        shorter, longer = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+        return (shorter / longer >= similarity) & (_apart("x.fp", "y.fp") <= reach)
+
+    def checked(pairs: DataFrame, label: str) -> DataFrame:
+        x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+        both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+        alike = F.col("common") / (F.size("sa") + F.size("sb") - F.col("common")) >= similarity
+        return materialise(both.where(alike).select("a", "b").distinct(), label)
+
+    def open_pairs(links: DataFrame) -> DataFrame:
+        """Candidates (a, b, apart) that the links don't connect."""
+        parts = connected_components(links)
+        placed = shared.drop("centre").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        mixed = placed.groupBy("turn", "head").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("turn", "head")
+        rest = placed.join(mixed, ["turn", "head"]).join(slim, "node")
+        tiles = F.when(F.col("n") > bucket, F.ceil(F.col("n") / tile)).otherwise(1).cast("int")
+        rest = rest.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        rest = rest.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+        rest = materialise(rest.select("turn", "head", "low", "high", "node", "part", "size", "fp"), "rest")
+        x, y = rest.alias("x"), rest.alias("y")
+        same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("turn", "head", "low", "high")]
+        other = (F.col("x.part") != F.col("y.part")) & (F.col("x.node") < F.col("y.node"))
+        found = x.join(y, same[0] & same[1] & same[2] & same[3] & other & near())
+        return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), _apart("x.fp", "y.fp").alias("apart"))
+
+    stars = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    x, y = slim.alias("x"), slim.alias("y")
+    stars = stars.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(near()).select("a", "b")
+    links = checked(stars, "stars")
+    nearest = open_pairs(links).groupBy("a").agg(F.min_by("b", "apart").alias("b"))
+    links = links.unionByName(checked(nearest, "nearest"))
+    return links.unionByName(checked(open_pairs(links).select("a", "b").distinct(), "others"))
 
 
 def keep_first_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
     """The rows of docs that have the smallest doc_id of their group, with all their columns.
 
-    A group is connected by pairs whose fingerprints of LANES lanes show the similarity or more. Null and empty
+    A group is connected by pairs whose sets of shingles have the Jaccard similarity or more. Null and empty
     texts are one group. Of the rows of a repeated doc_id all stay or go; a null id goes if its group has another.
     """
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [wide_fingerprint(t, words) for t in batch["text"]]})
-
-    prints = docs.select("doc_id", "text").mapInPandas(work, "doc_id long, fp array<long>")
-    prints = materialise(prints.withColumn("node", F.xxhash64("fp")), "prints")
-    nodes = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fp").alias("fp")), "nodes")
-    parts = connected_components(wide_links(nodes.select("node", "fp"), distance_of(similarity, LANES * BITS), bucket=bucket))
-    homes = nodes.drop("fp").join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    prints = materialise(_described(docs, words), "prints")
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value(F.struct("seen", "size", "fp", "keys")).alias("of"))
+    nodes = materialise(nodes.select("node", "first", "of.*"), "nodes")
+    parts = connected_components(similar_links(docs, nodes, words, similarity, bucket))
+    homes = nodes.select("node", "first").join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = homes.groupBy("component").agg(F.min("first").alias("keep"))
     named = homes.join(least, "component").select("node", "keep")
-    gone = prints.drop("fp").join(named, "node").where(~F.col("doc_id").eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias("__gone"))
+    gone = prints.select("doc_id", "node").join(named, "node").where(~F.col("doc_id").eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias("__gone"))
     gone = materialise(gone.distinct(), "gone")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
 

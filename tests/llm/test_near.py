@@ -175,3 +175,42 @@ def test_wide_distance_estimates_similarity():
     changed = [w if i % 40 else "other" + w for i, w in enumerate(text)]  # one word in 40: 5 shingles of 40 on either side
     a, b = (np.array(simhash.wide_fingerprint(" ".join(t), 5), np.int64).view(np.uint64) for t in (text, changed))
     assert abs(int(np.bitwise_count(a ^ b).sum()) - simhash.distance_of(35 / 45, 384)) < 25
+
+
+@pytest.mark.parametrize("bucket", [0, 64])
+def test_similar_groups_equal_brute_force(spark, bucket):
+    """Pairs just over and just under the similarity, by the exact sets: all of the first are groups, none of the second."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    alike = lambda a, b: len(a & b) / len(a | b)
+    texts, over, under = [], 0, 0
+    while over < 80 or under < 80:
+        text = [word() for _ in range(200)]
+        copy = list(text)
+        for _ in range(rnd.randrange(4, 9)):
+            copy[rnd.randrange(200)] = word()
+        s = alike(shingles(text), shingles(copy))
+        if 0.8 <= s < 0.85 and over < 80:
+            over += 1
+        elif 0.65 <= s < 0.8 and under < 80:
+            under += 1
+        else:
+            continue
+        texts += [text, copy]
+    chain = [[word() for _ in range(200)]]
+    for _ in range(70):  # one large group, connected step by step
+        step = list(chain[-1])
+        for _ in range(3):
+            step[rnd.randrange(200)] = word()
+        chain.append(step)
+    texts += chain
+    sets = [shingles(t) for t in texts]
+    first = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if sets[i] & sets[j] and alike(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((first[i], first[j]))
+                first = [a if f == b else f for f in first]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_first_similar(docs, bucket=bucket).collect()} == set(first)
