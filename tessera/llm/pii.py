@@ -1,8 +1,8 @@
 """Personal data: base patterns, and information-theoretic sanitisation of what reveals them.
 
 DataFrame functions only. The protected entities are the values that the base patterns find. From
-co-occurrence over the whole corpus, a word t beside an entity e discloses the share
-PMI(t, e) / IC(e) of e's information; words that disclose too much are generalised or removed.
+co-occurrence in whole documents of the whole corpus, a word t discloses the share PMI(t, e) / IC(e)
+of an entity e's information; words that disclose too much are generalised or removed in every text.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ PATTERNS = {
 }
 #: A character without which a kind can't occur.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-#: Characters on either side of an entity that are its surroundings; least letters of a term.
-REACH, LETTERS = 48, 3
-#: Distinct texts that must show a term beside an entity; disclosure from which a term is generalised, and removed.
+#: Least letters of a term.
+LETTERS = 3
+#: Distinct texts that must show a term together with an entity; disclosure from which a term is generalised, and removed.
 SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.95
 
+_TERM = rf"\p{{L}}{{{LETTERS},}}"
 SPAN = "array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
 
 
@@ -82,79 +83,96 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[_found(text, kind, i) for i, kind in enumerate(PATTERNS)]))
 
 
-def _words_at(context: Column, offset: Column) -> Column:
-    """Terms of a context with their places: array of (term, start, end)."""
-    pattern = rf"\p{{L}}{{{LETTERS},}}"
-    terms = F.regexp_extract_all(context, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(F.split(context, pattern, -1), terms, lambda p, t: F.struct(F.length(p).alias("skip"), t.alias("term")))
-    kind = "array<struct<term:string,start:int,end:int>>"
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, in small letters."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
+
+
+def _places(text: Column, effects: Column) -> Column:
+    """Spans of all occurrences of the terms that are keys of effects, a map from term to what is done with it."""
+    found = F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
+    parts = F.zip_with(F.split(text, _TERM, -1), found, lambda p, t: F.struct(F.length(p).alias("skip"), t.alias("term"), F.try_element_at(effects, F.lower(t)).alias("effect")))
 
     def step(acc: Column, part: Column) -> Column:
         start = acc["pos"] + part["skip"]
         end = start + F.length(part["term"])
-        word = F.struct(F.lower(part["term"]).alias("term"), start.alias("start"), end.alias("end"))
-        return F.struct(F.coalesce(end, start).alias("pos"), F.when(end.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(word))).alias("out"))
+        span = F.struct(start.alias("start"), F.lit(len(PATTERNS)).alias("ord"), F.lit("term").alias("kind"), end.alias("end"), part["effect"].alias("value"))
+        out = F.when(part["effect"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span)))
+        return F.struct(F.coalesce(end, start).alias("pos"), out.alias("out"))
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+
+
+def _stretches(spans: Column) -> Column:
+    """Spans with overlapping ones merged, each with its first one's label and the end of the stretch before it."""
+    label = lambda s: F.when(s["kind"] != "term", F.concat(F.lit("["), s["kind"], F.lit("]"))).when(s["value"] == "removed", "").otherwise("[word]")
+    kind = "array<struct<before:int,start:int,end:int,label:string>>"
+
+    def fold(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        grown = F.struct(last["before"].alias("before"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["label"].alias("label"))
+        added = F.struct(F.coalesce(last["end"], F.lit(0)).alias("before"), s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label"))
+        inside = F.coalesce(s["start"] < last["end"], F.lit(False))
+        return F.when(inside, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(added)))
+
+    return F.aggregate(spans, F.array().cast(kind), fold)
+
 
-    return F.aggregate(parts, F.struct(offset.alias("pos"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+def _replaced(text: Column, spans: Column, by) -> Column:
+    """The text with by(stretch) in the place of each stretch of spans."""
+    stretches = _stretches(spans)
+    part = lambda s: F.concat(F.substr(text, s["before"] + 1, s["start"] - s["before"]), by(s))
+    tail = F.substr(text, F.try_element_at(stretches, F.lit(-1))["end"] + 1, F.length(text))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(F.transform(stretches, part), ""), tail))
 
 
-def _surroundings(text: Column, span: Column) -> Column:
-    """Terms within REACH characters of a span, without words that the reach or the span cuts."""
-    left_from = F.greatest(span["start"] - REACH, F.lit(0))
-    left, right = F.substr(text, left_from + 1, span["start"] - left_from), F.substr(text, span["end"] + 1, F.lit(REACH))
-    words = F.concat(_words_at(left, left_from), _words_at(right, span["end"]))
-    whole = lambda w: (
-        ~F.coalesce(F.substr(text, w["start"], F.lit(1)), F.lit("")).rlike(r"\p{L}") | (w["start"] == 0)
-    ) & ~F.coalesce(F.substr(text, w["end"] + 1, F.lit(1)), F.lit("")).rlike(r"\p{L}")
-    return F.filter(words, whole)
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with line feeds in the place of its entities: their own letters are no terms, and places stay."""
+    return _replaced(text, base, lambda s: F.repeat(F.lit("\n"), s["end"] - s["start"]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, base (spans) and near (an array of terms for each span): all that later steps need of a text."""
+    """doc_id, text_hash, base (spans) and terms (the distinct ones outside of the spans), for every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("base", base_spans(F.col("text")))
-    near = F.transform("base", lambda s: _surroundings(F.col("text"), s))
-    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", near.alias("near"))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", _terms(_blanked(F.col("text"), F.col("base"))).alias("terms"))
 
 
-def disclosing_terms(
-    docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, text_col: str = "text"
-) -> DataFrame:
+def disclosing_terms(scanned: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """(kind, value, term, disclosure) of the terms that disclose an entity by `generalise` or more.
 
-    Counted over all documents: those with the term, with the entity, and with the term in the
-    entity's surroundings. A term needs `support` different texts, so copies of one text prove nothing.
+    Counted over all rows, in whole texts: those with the term, with the entity, and with both. A term
+    needs `support` different texts, so copies of one text prove nothing.
     """
-    total = docs.count()
-    pairs = scanned.select("doc_id", "text_hash", F.explode(F.arrays_zip("base", "near")).alias("z")).select(
-        "doc_id", "text_hash", F.col("z.base.kind").alias("kind"), F.col("z.base.value").alias("value"), F.col("z.near.term").alias("terms")
-    )
-    holders = pairs.select("kind", "value", "doc_id", "text_hash").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
-    beside = pairs.select("kind", "value", "doc_id", "text_hash", F.explode("terms").alias("term")).distinct()
-    beside = beside.groupBy("kind", "value", "term", "text_hash").agg(F.count("*").alias("rows"))
-    joint = beside.groupBy("kind", "value", "term").agg(F.sum("rows").alias("n_joint"), F.count("*").alias("n_texts")).where(F.col("n_texts") >= support)
-    joint = materialise(joint.drop("n_texts"), "joint")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(rf"\p{{L}}{{{LETTERS},}}"), F.lit(0)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    total = scanned.count()
+    entities = F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    held = scanned.where(F.size("base") > 0).select("text_hash", "terms", F.explode(entities).alias("e")).select("text_hash", "terms", "e.kind", "e.value")
+    holders = held.groupBy("kind", "value").agg(F.count("*").alias("n_entity"), F.count_distinct("text_hash").alias("n_texts"))
+    holders = materialise(holders.where(F.col("n_texts") >= support).drop("n_texts"), "holders")
+    both = held.join(holders, ["kind", "value"], "left_semi").select("kind", "value", "text_hash", F.explode("terms").alias("term"))
+    both = both.groupBy("kind", "value", "term", "text_hash").agg(F.count("*").alias("rows"))
+    joint = both.groupBy("kind", "value", "term").agg(F.sum("rows").alias("n_joint"), F.count("*").alias("n_texts")).where(F.col("n_texts") >= support)
+    counts = scanned.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     pmi = F.log2(F.col("n_joint") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
     return (
-        joint.join(holders, ["kind", "value"]).join(counts, "term")
+        joint.drop("n_texts").join(holders, ["kind", "value"]).join(counts, "term")
         .withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)))
         .where(F.col("disclosure") >= generalise)
         .select("kind", "value", "term", "disclosure")
     )
 
 
-def term_spans(scanned: DataFrame, terms: DataFrame, remove: float = REMOVE) -> DataFrame:
-    """doc_id, text_hash and extra, the spans of disclosing terms beside their entities, for texts that have any."""
-    places = scanned.select("doc_id", "text_hash", F.explode(F.arrays_zip("base", "near")).alias("z")).select(
-        "doc_id", "text_hash", F.col("z.base.kind").alias("kind"), F.col("z.base.value").alias("value"), F.explode("z.near").alias("w")
-    ).select("doc_id", "text_hash", "kind", "value", "w.term", "w.start", "w.end")
-    hits = places.join(terms, ["kind", "value", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    span = F.struct(
-        "start", F.lit(4).alias("ord"), F.lit("term").alias("kind"), "end", F.when(F.col("disclosure") >= remove, "removed").otherwise("generalised").alias("value")
-    )
-    return hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("extra"))
+def term_spans(docs: DataFrame, scanned: DataFrame, terms: DataFrame, remove: float = REMOVE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash and extra, the spans of all occurrences of disclosing terms, for texts that have any."""
+    effect = F.when(F.max("disclosure") >= remove, "removed").otherwise("generalised")
+    effects = materialise(terms.groupBy("term").agg(effect.alias("effect")), "effects")
+    hits = scanned.select("doc_id", "text_hash", "base", F.explode("terms").alias("term")).join(effects, "term").groupBy("doc_id", "text_hash").agg(
+        F.any_value("base").alias("base"), F.map_from_entries(F.collect_set(F.struct("term", "effect"))).alias("effects")
+    ).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    hit = rows.join(hits, rows["doc_id"].eqNullSafe(hits["__id"]) & (rows["text_hash"] == hits["__hash"]))
+    places = _places(_blanked(F.col("text"), F.col("base")), F.col("effects"))
+    return hit.select("doc_id", "text_hash", places.alias("extra")).dropDuplicates(["doc_id", "text_hash"])
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
@@ -165,7 +183,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **th
     """
     remove = thresholds.pop("remove", REMOVE)
     scanned = materialise(scan(docs, id_col, text_col), "scan")
-    extra = materialise(term_spans(scanned, disclosing_terms(docs, scanned, text_col=text_col, **thresholds), remove), "terms")
+    extra = materialise(term_spans(docs, scanned, disclosing_terms(scanned, **thresholds), remove, id_col, text_col), "terms")
     e = extra.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "extra")
     joined = scanned.join(e, scanned["doc_id"].eqNullSafe(e["__id"]) & (scanned["text_hash"] == e["__hash"]), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(SPAN))))
@@ -191,23 +209,7 @@ def rewritten(text: Column, spans: Column) -> Column:
 
     Where spans overlap they are one stretch, which takes the replacement of the first.
     """
-    label = lambda s: F.when(s["kind"] != "term", F.concat(F.lit("["), s["kind"], F.lit("]"))).when(s["value"] == "removed", "").otherwise("[word]")
-    kind = "array<struct<start:int,end:int,label:string>>"
-
-    def fold(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["label"].alias("label"))))
-        added = F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label"))))
-        return F.when(F.size(acc) == 0, added).when(s["start"] < last["end"], grown).otherwise(added)
-
-    stretches = F.aggregate(spans, F.array().cast(kind), fold)
-
-    def part(s: Column, i: Column) -> Column:
-        before = F.when(i == 0, 0).otherwise(F.get(stretches, i - 1)["end"])
-        return F.concat(F.substr(text, before + 1, s["start"] - before), s["label"])
-
-    tail = F.substr(text, F.element_at(stretches, -1)["end"] + 1, F.length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(F.transform(stretches, part), ""), tail))
+    return _replaced(text, spans, lambda s: s["label"])
 
 
 def sanitise(docs: DataFrame, **settings) -> DataFrame:

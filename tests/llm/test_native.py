@@ -122,3 +122,17 @@ def test_rewriting_merges_overlaps(spark):
     docs = spark.createDataFrame([(1, "x +30569309025904 y", 19), (1, "x +30569309025904 y", 19)], "doc_id long, text string, n_chars long")
     rows = pii.sanitise(docs).collect()
     assert [r.text.count("[") for r in rows] == [1, 1] and all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_terms_disclose_far_from_the_entity_and_without_it(spark):
+    far = "plain words that stand in between and lead on and on and on until the end of it "
+    named = [(i, f"Zorblax wrote note {chr(97 + i)}x {far} to zorblax@mail.org today") for i in range(6)]
+    alone = [(50, "a letter about zorblax and nothing else"), (51, "Zorblax Zorblax")]
+    others = [(100 + i, f"wrote note to desk {far} letter about nothing else today w{chr(97 + i % 26)}") for i in range(600)]
+    docs = spark.createDataFrame(named + alone + others, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    assert all(spans[i].split(",")[0] == "term:0:7" and spans[i].count("term") == 1 for i in range(6))
+    assert spans[50] == "term:15:22" and spans[51] == "term:0:7,term:8:15" and all(spans[i] == "" for i, _ in others)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("zorblax" not in clean[i].lower() for i in [*range(6), 50, 51]) and clean[100] == others[0][1]
+    assert all("to [email] today" in clean[i] for i in range(6))
