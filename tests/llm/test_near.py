@@ -1,6 +1,7 @@
 """SimHash, sketches and repeated strings against brute force."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -35,6 +36,20 @@ def test_fingerprints_equal_the_definition():
 
 
 @pytest.mark.parametrize("distance", [1, 2, 3, 5])
+def test_repeats_in_long_texts_and_of_one_gram(monkeypatch, spark):
+    rnd = random.Random(8)
+    phrase = "".join(rnd.choice("uvwxyz") for _ in range(30))
+    noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    long = noise(2_500_000)  # several pieces
+    rows = [(i, noise(rnd.randrange(60)) + phrase + noise(rnd.randrange(60))) for i in range(60)]
+    rows += [(70, long), (71, noise(40) + long[1_048_500:1_048_700] + phrase), (72, long[2_400_000:] + "é" + phrase * 4), (None, rows[3][1]), (None, "z" + rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [r[1:] for r in removed([((1 << 63) - 1 if i is None else i, t) for i, t in rows])]
+    for settings in ({}, {"hot": 10}):
+        got = sorted(((1 << 63) - 1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(docs, **settings).collect())
+        assert [r[1:] for r in got] == want
+
+
 @pytest.mark.parametrize("bucket", [0, 64])
 def test_links_connect_all_in_reach(spark, distance, bucket):
     rng = np.random.default_rng(distance)
@@ -102,8 +117,8 @@ def test_suffix_array(text):
     data = np.frombuffer(text, np.uint8)
     order = suffixes.suffix_array(data)
     assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
-    shared = suffixes.common_prefixes(data, order, 8)
-    assert shared.tolist() == [False] + [len(text) >= max(i, j) + 8 and text[i : i + 8] == text[j : j + 8] for i, j in zip(order[1:].tolist(), order[:-1].tolist(), strict=True)]
+    shared = suffixes.common_prefixes(data, order, 11)
+    assert shared[order].tolist() == [0] + [min(11, len(os.path.commonprefix([text[i:], text[j:]]))) for i, j in zip(order[1:].tolist(), order[:-1].tolist(), strict=True)]
 
 
 def removed(rows):
@@ -124,7 +139,8 @@ def removed(rows):
     return sorted(out)
 
 
-def test_repeats_against_brute_force(spark):
+@pytest.mark.parametrize("settings", [{}, {"hot": 2}, {"hot": 20, "shard_text": 500}])
+def test_repeats_against_brute_force(spark, settings):
     rnd = random.Random(5)
     base = ["".join(rnd.choice("abcdé ") for _ in range(300)) for _ in range(8)]
     rows = []
@@ -133,7 +149,7 @@ def test_repeats_against_brute_force(spark):
         rows.append((i, a[:p] + b[q : q + rnd.randrange(40, 90)] + a[p:]))
     rows += [(100, None), (101, ""), (102, "a" * 400), (103, "b" + "a" * 200), (104, "x" * 49), (105, "x" * 49), (106, "y" * 50), (107, "y" * 50), (7, base[0])]
     docs = spark.createDataFrame([(i, t, b"k") for i, t in rows], "doc_id long, text string, key binary")
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(docs).collect())
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(docs.repartition(3, "text"), **settings).collect())
     assert got == removed(rows)
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
 
@@ -147,6 +163,20 @@ def test_pieces_of_long_texts_overlap(monkeypatch, spark):
     assert all(text.encode()[at : at + len(p)] == p for at, p in pieces)
 
 
+def test_repeats_in_long_texts_and_of_one_gram(monkeypatch, spark):
+    rnd = random.Random(8)
+    phrase = "".join(rnd.choice("uvwxyz") for _ in range(30))
+    noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    long = noise(2_500_000)  # several pieces
+    rows = [(i, noise(rnd.randrange(60)) + phrase + noise(rnd.randrange(60))) for i in range(60)]
+    rows += [(70, long), (71, noise(40) + long[1_048_500:1_048_700] + phrase), (72, long[2_400_000:] + "é" + phrase * 4), (None, rows[3][1]), (None, "z" + rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [r[1:] for r in removed([((1 << 63) - 1 if i is None else i, t) for i, t in rows])]
+    for settings in ({}, {"hot": 10}):
+        got = sorted(((1 << 63) - 1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(docs, **settings).collect())
+        assert [r[1:] for r in got] == want
+
+
 @pytest.mark.parametrize("bucket", [0, 64])
 def test_groups_of_a_similarity(spark, bucket):
     rnd = random.Random(8)
@@ -177,6 +207,20 @@ def test_wide_distance_estimates_similarity():
     assert abs(int(np.bitwise_count(a ^ b).sum()) - simhash.distance_of(35 / 45, 384)) < 25
 
 
+def test_repeats_in_long_texts_and_of_one_gram(monkeypatch, spark):
+    rnd = random.Random(8)
+    phrase = "".join(rnd.choice("uvwxyz") for _ in range(30))
+    noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    long = noise(2_500_000)  # several pieces
+    rows = [(i, noise(rnd.randrange(60)) + phrase + noise(rnd.randrange(60))) for i in range(60)]
+    rows += [(70, long), (71, noise(40) + long[1_048_500:1_048_700] + phrase), (72, long[2_400_000:] + "é" + phrase * 4), (None, rows[3][1]), (None, "z" + rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [r[1:] for r in removed([((1 << 63) - 1 if i is None else i, t) for i, t in rows])]
+    for settings in ({}, {"hot": 10}):
+        got = sorted(((1 << 63) - 1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(docs, **settings).collect())
+        assert [r[1:] for r in got] == want
+
+
 @pytest.mark.parametrize("bucket", [0, 64])
 def test_similar_groups_equal_brute_force(spark, bucket):
     """Pairs just over and just under the similarity, by the exact sets: all of the first are groups, none of the second."""
