@@ -24,7 +24,7 @@ from tessera.llm.common import documents
 
 SPAN, K = 50, 20
 #: Bytes of text for which there is one shard, least number of shards, bytes of one suffix array.
-SHARD_TEXT, LEAST_SHARDS, _SHARD = 32 << 20, 16, 1 << 22
+SHARD_TEXT, LEAST_SHARDS, _SHARD = 16 << 20, 16, 1 << 20
 #: Occurrences from which a gram's surroundings are dealt by their own strings.
 HOT = 100_000
 #: Most bits of the filter of repeated grams, which is broadcast: 128 MB.
@@ -110,26 +110,25 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.ndarr
 
 def _induce_many(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """As _induce, symbol by symbol: for strings of names, whose buckets are many and small."""
-    text, small = s.tolist(), smaller.tolist()
     ends = np.cumsum(sizes)
     heads, tails = (ends - sizes).tolist(), (ends - 1).tolist()
-    sa = [-1] * len(text)
-    for i in reversed(lms.tolist()):
-        c = text[i]
+    before = np.append(-1, s[:-1])  # the symbol before each suffix, if that suffix is to be induced from this one
+    larger = np.append(np.where(np.append(True, smaller[:-1]), -1, before), -1).tolist()  # [-1] is for empty places
+    less = np.where(np.append(False, smaller[:-1]), before, -1).tolist()
+    sa = [-1] * len(s)
+    for i, c in zip(lms[::-1].tolist(), s[lms[::-1]].tolist(), strict=True):
         sa[tails[c]] = i
         tails[c] -= 1
-    for at in range(len(sa)):
-        j = sa[at] - 1
-        if j >= 0 and not small[j]:
-            c = text[j]
-            sa[heads[c]] = j
+    for i in sa:  # sees what is put in further on
+        c = larger[i]
+        if c >= 0:
+            sa[heads[c]] = i - 1
             heads[c] += 1
     tails = (ends - 1).tolist()
-    for at in range(len(sa) - 1, -1, -1):
-        j = sa[at] - 1
-        if j >= 0 and small[j]:
-            c = text[j]
-            sa[tails[c]] = j
+    for i in reversed(sa):
+        c = less[i]
+        if c >= 0:
+            sa[tails[c]] = i - 1
             tails[c] -= 1
     return np.array(sa, np.int64)
 
@@ -244,7 +243,10 @@ def segments(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(windows)) - 1
     start, end = windows[first], windows[last] + SPAN
-    return np.searchsorted(ends, start, side="right"), start, end, spots[first], h[spots[first]].view(np.int64), data
+    least = h[spots[first]]  # least hashes aren't spread evenly: mixed once more
+    least = (least ^ (least >> np.uint64(32))) * np.uint64(_C)
+    least ^= least >> np.uint64(32)
+    return np.searchsorted(ends, start, side="right"), start, end, spots[first], least.view(np.int64), data
 
 
 def _pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
