@@ -16,12 +16,12 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, forget, materialise, text_or_empty
+from tessera.llm.common import documents, forget, materialise, received, send_out, text_or_empty
 
 #: Least share of all letter runs that makes a word frequent: so at most 1/FREQUENT words are compiled.
 FREQUENT = 1e-5
@@ -297,10 +297,10 @@ def _codecs(docs: DataFrame, path: str, share: float, text_col: str):
     merges = Merges(path)
     words = [w.encode() for w in frequent_words(docs, share, text_col)]
     compiled = compile_lexicon([v for w in words for v in (w, b" " + w)], merges)
-    shared = docs.sparkSession.sparkContext.broadcast((merges, compiled))
+    sent = send_out(docs.sparkSession, (merges, compiled))
 
     def codec() -> Codec:
-        own, file = shared.value
+        own, file = received(sent)
         return Codec(own, Lexicon(file))
 
     return codec
@@ -327,47 +327,50 @@ def encode(docs: DataFrame, path: str | None = None, share: float = FREQUENT, id
     """
     codec = _codecs(docs, path or vocabulary_path(), share, text_col)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec()
         for batch in batches:
             at = 0
-            for texts in _batches(batch["text"]):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : at + len(texts)].array, "ids": own.encode(texts)})
+            for texts in _batches(batch.column(1).to_pylist()):
+                ids = pa.array(own.encode(texts), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), ids], ["doc_id", "ids"])
                 at += len(texts)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(work, "doc_id long, ids array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(work, "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and text of rows with ids; null ids give an empty text, unknown ids fail."""
-    merges = tokens.sparkSession.sparkContext.broadcast(Merges(path or vocabulary_path()))
+    sent = send_out(tokens.sparkSession, Merges(path or vocabulary_path()))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Codec(merges.value, None)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Codec(received(sent), None)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [own.decode([] if ids is None else ids) for ids in batch["ids"]]})
+            texts = pa.array([own.decode(ids or []) for ids in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInPandas(work, "doc_id long, text string")
+    return tokens.select(F.col("doc_id").cast("long"), "ids").mapInArrow(work, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None, share: float = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: encode() and decode() in one pass, so that no ids move."""
     codec = _codecs(docs, path or vocabulary_path(), share, text_col)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec()
         names = [str(i) for i in range(len(own.merges.token_bytes))]
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             out = []
-            for texts in _batches(batch["text"]):
+            for texts in _batches(batch.column(1).to_pylist()):
                 out += [(len(ids), sha(",".join(map(names.__getitem__, ids))), sha(own.decode(ids))) for ids in own.encode(texts)]
-            frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).astype({"n_tokens": "int64"})
-            yield frame.assign(doc_id=batch["doc_id"].array)[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
+            counts, ids, texts = zip(*out, strict=True) if out else ((), (), ())
+            found = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(found, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

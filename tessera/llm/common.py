@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and \x09-\x0D.
@@ -17,9 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary folder only where the setting is absent."""
+    """The shared folder of spark.checkpoint.dir; without the setting, a temporary folder on a local master and an error on others."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -44,5 +47,29 @@ def forget(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def send_out(spark: SparkSession, value) -> Broadcast:
+    """Broadcast value for received(), with the code of this package's classes, so that workers need no copy of it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast):
+    return cloudpickle.loads(sent.value)
+
+
+#: Shares into which the rows of one key are split where a key may be hot.
+SALTS = 32
+
+
+def salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows, with a column salt, and the row of table for their key. A key of very many rows is dealt out by salt; table,
+    which has one row for a key, is copied for those salts only that its key's rows have."""
+    have = rows.select(key, "salt").distinct()
+    return rows.join(have.join(table, key), [key, "salt"]).drop("salt")
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

@@ -65,7 +65,8 @@ def pack(
     Tokens are words. A document longer than the capacity fills bins of its own with its full
     pieces; only its last piece is packed with others, so no token is lost. A bin holds at most
     per_source documents of one source (null is a source) and one document of each
-    duplicate cluster (equal text but for white space). Null and empty texts are pieces of no
+    duplicate cluster (equal text but for white space). Documents of one size go by their ids (null ones
+    last), then by their texts' hashes. Null and empty texts are pieces of no
     tokens. Repeated rows are packed each. Empty table: empty result. Other columns are ignored.
     A hot source or cluster is spread over all blocks; each block leaves one slack bin or so.
     """
@@ -76,14 +77,16 @@ def pack(
     )
     blocks = max(1, -(-docs.count() // block_rows))
     items = rows.select(
-        "doc_id", "source", F.xxhash64("norm").alias("cluster"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "source", F.xxhash64("norm").alias("cluster"),
         F.when(F.col("norm") == "", 0).otherwise(F.size(F.split("norm", " "))).alias("words"),
-        F.pmod(F.xxhash64("doc_id", "norm"), F.lit(blocks)).alias("block"),
     )
+    alike = items.groupBy(*items.columns).agg(F.count("*").alias("n"))  # repeated rows are told apart by a number, so they can be spread
+    items = alike.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
+    items = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "no_id", "cluster", "copy"), F.lit(blocks))).drop("copy")
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         block = int(frame["block"].iloc[0])
-        frame = frame.sort_values(["doc_id", "cluster"], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values(["no_id", "doc_id", "cluster", "source"], kind="stable").reset_index(drop=True)
         full, rest = frame["words"] // capacity, frame["words"] % capacity
         rest = rest.where((rest > 0) | (full == 0), -1)  # no last piece where full pieces are all
         last = frame[rest >= 0].assign(size=rest[rest >= 0]).sort_values("size", ascending=False, kind="stable")
@@ -96,11 +99,12 @@ def pack(
         out["bin_offset"] = out.groupby("bin")["n_tokens"].cumsum() - out["n_tokens"]
         out["bin_fill"] = out.groupby("bin")["n_tokens"].transform("sum")
         out["bin_id"] = out["bin"] + (block << 32)
-        return out[["doc_id", "piece", "n_tokens", "bin_id", "bin_offset", "bin_fill", "source"]]
+        return out[["doc_id", "no_id", "piece", "n_tokens", "bin_id", "bin_offset", "bin_fill", "source"]]
 
-    return items.groupBy("block").applyInPandas(
-        work, "doc_id long, piece int, n_tokens long, bin_id long, bin_offset long, bin_fill long, source string"
+    packed = items.groupBy("block").applyInPandas(
+        work, "doc_id long, no_id boolean, piece int, n_tokens long, bin_id long, bin_offset long, bin_fill long, source string"
     )
+    return packed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

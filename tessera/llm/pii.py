@@ -27,6 +27,8 @@ LETTERS = 3
 #: Distinct texts that must show a term together with an entity; disclosure from which a term is generalised, and removed.
 SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.95
 
+#: Numbers of a block of a running sum.
+_BLOCK = 512
 _TERM = rf"\p{{L}}{{{LETTERS},}}"
 SPAN = "array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
 
@@ -57,25 +59,54 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, add) -> Column:
+    """For each of the numbers what add makes of 0 and those before it; add is associative.
+
+    Arrays grow by copies, so the walk goes in blocks of _BLOCK: the cost stays near the length of values.
+    """
+
+    def walk(block: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(block, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    def blocks(v: Column) -> Column:
+        last = F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(v, i * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def from_blocks(bs: Column) -> Column:
+        totals = F.transform(bs, lambda block: F.aggregate(block, F.lit(0), lambda x, y: add(x, y)))
+        return F.flatten(F.zip_with(bs, walk(totals, F.lit(0)), walk))
+
+    return _let(values, lambda v: _let(blocks(v), from_blocks))
+
+
+def _matches(text: Column, pattern: str, span) -> Column:
+    """span(match, start, end), where it isn't null, of all matches; the pieces between matches and the matches give the places."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    sized = lambda p, m: F.struct(F.length(p).alias("skip"), (F.length(p) + F.coalesce(F.length(m), F.lit(0))).alias("size"), m.alias("match"))
+    parts = F.zip_with(F.split(text, pattern, -1), found, sized)
+
+    def placed(ps: Column) -> Column:
+        before = running(F.transform(ps, lambda p: p["size"]), lambda x, y: x + y)
+        return F.zip_with(ps, before, lambda p, at: F.when(p["match"].isNotNull(), span(p["match"], at + p["skip"], at + p["size"])))  # behind the last piece is no match
+
+    return F.filter(_let(parts, placed), lambda x: x.isNotNull())
+
+
 def _found(text: Column, kind: str, ordinal: int) -> Column:
-    """Spans of one kind: the pieces between matches and the matches give the places, in code points."""
-    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    parts = F.zip_with(F.split(text, PATTERNS[kind], -1), matches, lambda p, m: F.struct(F.length(p).alias("skip"), m.alias("match")))
-
-    def step(acc: Column, part: Column) -> Column:
-        m = part["match"]
-        start = acc["pos"] + part["skip"]
-        end = start + F.length(m)
-        span = F.struct(
-            start.alias("start"), F.lit(ordinal).alias("ord"), F.lit(kind).alias("kind"), end.alias("end"),
-            (F.lower(m) if kind in ("email", "ip") else _digits(m)).alias("value"),
-        )
-        keep = m.isNotNull() & _valid(kind, m)  # behind the last piece there is no match
-        return F.struct(F.coalesce(end, start).alias("pos"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    none = F.array().cast(SPAN)
-    walk = F.aggregate(parts, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.instr(text, _NEEDS[kind]) > 0, walk).otherwise(none) if kind in _NEEDS else walk
+    """Spans of one kind, in code points."""
+
+    def span(m: Column, start: Column, end: Column) -> Column:
+        value = F.lower(m) if kind in ("email", "ip") else _digits(m)
+        return F.when(_valid(kind, m), F.struct(start.alias("start"), F.lit(ordinal).alias("ord"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value")))
+
+    walk = _matches(text, PATTERNS[kind], span)
+    return F.when(F.instr(text, _NEEDS[kind]) > 0, walk).otherwise(F.array().cast(SPAN)) if kind in _NEEDS else walk
 
 
 def base_spans(text: Column) -> Column:
@@ -90,40 +121,32 @@ def _terms(text: Column) -> Column:
 
 def _places(text: Column, effects: Column) -> Column:
     """Spans of all occurrences of the terms that are keys of effects, a map from term to what is done with it."""
-    found = F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
-    parts = F.zip_with(F.split(text, _TERM, -1), found, lambda p, t: F.struct(F.length(p).alias("skip"), t.alias("term"), F.try_element_at(effects, F.lower(t)).alias("effect")))
 
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["pos"] + part["skip"]
-        end = start + F.length(part["term"])
-        span = F.struct(start.alias("start"), F.lit(len(PATTERNS)).alias("ord"), F.lit("term").alias("kind"), end.alias("end"), part["effect"].alias("value"))
-        out = F.when(part["effect"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span)))
-        return F.struct(F.coalesce(end, start).alias("pos"), out.alias("out"))
+    def span(term: Column, start: Column, end: Column) -> Column:
+        effect = F.try_element_at(effects, F.lower(term))
+        return F.when(effect.isNotNull(), F.struct(start.alias("start"), F.lit(len(PATTERNS)).alias("ord"), F.lit("term").alias("kind"), end.alias("end"), effect.alias("value")))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+    return _matches(text, _TERM, span)
 
 
-def _stretches(spans: Column) -> Column:
-    """Spans with overlapping ones merged, each with its first one's label and the end of the stretch before it."""
+def _replaced(text: Column, spans: Column, by) -> Column:
+    """The text with by(stretch) in the place of each stretch of spans: overlapping spans are one, with its first one's label."""
     label = lambda s: F.when(s["kind"] != "term", F.concat(F.lit("["), s["kind"], F.lit("]"))).when(s["value"] == "removed", "").otherwise("[word]")
-    kind = "array<struct<before:int,start:int,end:int,label:string>>"
 
-    def fold(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.struct(last["before"].alias("before"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["label"].alias("label"))
-        added = F.struct(F.coalesce(last["end"], F.lit(0)).alias("before"), s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label"))
-        inside = F.coalesce(s["start"] < last["end"], F.lit(False))
-        return F.when(inside, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(added)))
+    def opened(v: Column) -> Column:
+        """The first span of each stretch, with the end of the stretch before it."""
+        reach = running(F.transform(v, lambda s: s["end"]), F.greatest)
+        first = F.zip_with(v, reach, lambda s, r: F.when(s["start"] >= r, F.struct(r.alias("before"), s["start"].alias("start"), label(s).alias("label"))))
+        return F.filter(first, lambda x: x.isNotNull())
 
-    return F.aggregate(spans, F.array().cast(kind), fold)
+    def joined(firsts: Column, whole_end: Column) -> Column:
+        ends = F.concat(F.transform(F.slice(firsts, 2, F.size(firsts)), lambda x: x["before"]), F.array(whole_end))
+        stretches = F.zip_with(firsts, ends, lambda x, e: F.struct(x["before"].alias("before"), x["start"].alias("start"), e.alias("end"), x["label"].alias("label")))
+        part = lambda s: F.concat(F.substr(text, s["before"] + 1, s["start"] - s["before"]), by(s))
+        return F.concat(F.array_join(F.transform(stretches, part), ""), F.substr(text, whole_end + 1, F.length(text)))
 
-
-def _replaced(text: Column, spans: Column, by) -> Column:
-    """The text with by(stretch) in the place of each stretch of spans."""
-    stretches = _stretches(spans)
-    part = lambda s: F.concat(F.substr(text, s["before"] + 1, s["start"] - s["before"]), by(s))
-    tail = F.substr(text, F.try_element_at(stretches, F.lit(-1))["end"] + 1, F.length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(F.transform(stretches, part), ""), tail))
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(opened(spans), lambda firsts: joined(firsts, end)))
 
 
 def _blanked(text: Column, base: Column) -> Column:
@@ -179,7 +202,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **th
     """doc_id, text_hash, spans (base and term), base, for every row; null text is empty and has none.
 
     Rows are found again by (doc_id, hash of the text), so repeated rows get the same spans each. Empty
-    table: empty result. Other columns are ignored. A text's matches are walked one after another.
+    table: empty result. Other columns are ignored.
     """
     remove = thresholds.pop("remove", REMOVE)
     scanned = materialise(scan(docs, id_col, text_col), "scan")
@@ -215,13 +238,12 @@ def rewritten(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, **settings) -> DataFrame:
     """docs with personal data and disclosing terms taken out of text; n_chars, if there, follows. Null texts stay null."""
     found = detect(docs, **settings).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "spans").distinct()
-    marked = docs.withColumn("__text", text_or_empty())
-    out = marked.join(found, marked["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64("__text") == found["__hash"]), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(rewritten(F.col("__text"), F.col("spans")))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    rows, f = docs.select(F.struct(*docs.columns).alias("row")), found.select(F.struct("*").alias("found"))  # so no names clash
+    text, spans = F.coalesce("row.text", F.lit("")), F.col("found.spans")
+    out = rows.join(f, F.col("row.doc_id").eqNullSafe(F.col("found.__id")) & (F.xxhash64(text) == F.col("found.__hash")), "left")
+    out = out.select("row", spans.alias("spans"), F.when(spans.isNull(), F.col("row.text")).otherwise(rewritten(text, spans)).alias("new"))
+    length = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("new").cast("long")) if "n_chars" in docs.columns else None
+    return out.select(*[F.col("new").alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:

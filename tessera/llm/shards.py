@@ -55,14 +55,15 @@ def shard_records(
         raise ValueError("one positive weight for each shard is needed")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     groups = max(1, min(MAX_GROUPS, -(-docs.count() // (ROWS_PER_GROUP * n_shards))))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    key_of_id = F.col("doc_id").cast("string")
+    key = F.coalesce(key_of_id, F.lit("null"))
     placed = rows.select(
         "doc_id",
         (F.octet_length("text") + 1).cast("long").alias("size"),
         F.crc32("text").alias("text_crc32"),
         rendezvous(key, weights).alias("shard"),
         rendezvous(key, [*weights, new_weight]).alias("grown_shard"),
-        (_draw(key, "slot") % groups).cast("int").alias("grp"),
+        (_draw(F.coalesce(key_of_id, F.concat(F.lit("null"), F.crc32("text").cast("string"))), "slot") % groups).cast("int").alias("grp"),
     )
     sizes = placed.groupBy("shard", "grp").count()
     before = Window.partitionBy("shard").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,11 +14,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, materialise
+from tessera.llm.common import documents, forget, materialise, salt, salted_join
 from tessera.llm.graph import connected_components
 
 BITS = 64
@@ -50,12 +51,13 @@ def fingerprint(text: str | None, words: int) -> int:
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp for every row; null text counts as empty."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array([fingerprint(t, words) for t in batch["text"]], np.int64)})
+            prints = pa.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(work, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(work, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -137,9 +139,9 @@ def _components(prints: DataFrame, distance: int, bucket: int) -> DataFrame:
     """(fp, component_id) of prints(doc_id, fp)."""
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     parts = connected_components(links(nodes.select("fp"), distance, bucket=bucket))
-    homes = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    homes = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"), salt("fp"))
     least = homes.groupBy("component").agg(F.min("first").alias("component_id"))
-    return homes.join(least, "component").select("fp", "component_id")
+    return salted_join(homes, least, "component").select("fp", "component_id")
 
 
 def near_duplicates(
@@ -153,7 +155,7 @@ def near_duplicates(
     """
     prints = materialise(fingerprints(docs, words, id_col, text_col), "prints")
     named = _components(prints, distance, bucket)
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return salted_join(prints.withColumn("salt", salt("doc_id")), named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, words: int, distance: int, bucket: int = BUCKET) -> DataFrame:
@@ -240,19 +242,21 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
     def one(text: str | None) -> tuple:
         parts = _parts(text)
         if not parts:
-            return 0, 0, [0] * LANES, []
+            return 0, 0, [0] * LANES, np.zeros(0, np.int64)
         every = _hashes(parts, words)
         unique = np.unique(every)
         node = xxhash.xxh3_64_intdigest(b" ".join(parts))
         return _signed(node), len(unique), _fingerprint_of(every, LANES), join_keys(unique)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long, longs = pa.int64(), pa.list_(pa.int64())
         for batch in batches:
-            found = pd.DataFrame([one(t) for t in batch["text"]], columns=["node", "size", "fp", "keys"])
-            yield pd.concat([batch[["doc_id", "seen"]].reset_index(drop=True), found], axis=1)
+            node, size, fp, keys = zip(*[one(t) for t in batch.column(1).to_pylist()], strict=True) if batch.num_rows else ((), (), (), ())
+            found = [pa.array(node, long), pa.array(size, long), pa.array(fp, longs), pa.array(keys, longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *found], ["doc_id", "seen", "node", "size", "fp", "keys"])
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("seen"))
-    return rows.mapInPandas(work, "doc_id long, seen long, node long, size long, fp array<long>, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("seen"))
+    return rows.mapInArrow(work, "doc_id long, seen long, node long, size long, fp array<long>, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -319,7 +323,10 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: flo
     links = checked(stars, "stars")
     nearest = open_pairs(links).groupBy("a").agg(F.min_by("b", "apart").alias("b"))
     links = links.unionByName(checked(nearest, "nearest"))
-    return links.unionByName(checked(open_pairs(links).select("a", "b").distinct(), "others"))
+    links = links.unionByName(checked(open_pairs(links).select("a", "b").distinct(), "others"))
+    forget(shared)
+    forget(sets)
+    return links
 
 
 def keep_first_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
@@ -332,11 +339,13 @@ def keep_first_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value(F.struct("seen", "size", "fp", "keys")).alias("of"))
     nodes = materialise(nodes.select("node", "first", "of.*"), "nodes")
     parts = connected_components(similar_links(docs, nodes, words, similarity, bucket))
-    homes = nodes.select("node", "first").join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    homes = nodes.select("node", "first").join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"), salt("node"))
     least = homes.groupBy("component").agg(F.min("first").alias("keep"))
-    named = homes.join(least, "component").select("node", "keep")
-    gone = prints.select("doc_id", "node").join(named, "node").where(~F.col("doc_id").eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias("__gone"))
+    named = salted_join(homes, least, "component").select("node", "keep")
+    gone = salted_join(prints.select("doc_id", "node", salt("doc_id")), named, "node").where(~F.col("doc_id").eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias("__gone"))
     gone = materialise(gone.distinct(), "gone")
+    forget(prints)
+    forget(nodes)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
 
 

@@ -2,16 +2,18 @@
 
 All hashes below a fixed fraction of the hash range are kept, however long the text. So the sketch
 of a union is the union of sketches, and what two sketches share estimates containment even where
-one text is many times the other.
+one text is many times the other. Where that fraction holds very few hashes of a short text it is
+doubled until it holds enough, and the sketch says so.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +21,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, text_or_empty
 
-#: Words of a shingle, share of all hashes that is kept, rows that a range of ids is meant to hold, most ranges.
-WORDS, FRACTION, RANGE_ROWS, MAX_RANGES = 5, 1 / 8, 1024, 16384
+#: Words of a shingle, halvings of the hash range below which hashes are kept (an eighth), least number kept where there are more.
+WORDS, HALVINGS, LEAST = 5, 3, 16
+#: Rows that a range of ids is meant to hold, most ranges.
+RANGE_ROWS, MAX_RANGES = 1024, 16384
+_RANGE = 1 << 40
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
 
@@ -30,54 +35,85 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(text: str | None, words: int = WORDS, fraction: float = FRACTION) -> np.ndarray:
-    """Sorted 40-bit hashes of the text's shingles: those in the lowest fraction, and the least of all.
+@dataclass
+class Sketch:
+    """Hashes of a text's shingles, sorted and unique, and the power of a half below which share of the range they are kept."""
 
-    The least hash is kept whatever it is, so only a text without words has an empty sketch. A text of
-    fewer words is one shingle.
-    """
+    every: np.ndarray
+    halvings: int
+
+    @property
+    def kept(self) -> np.ndarray:
+        return self.every[: np.searchsorted(self.every, np.uint64(_RANGE >> self.halvings))]
+
+    def written(self) -> str:
+        """The halvings, a colon, and 10 hex digits a kept hash, ascending; '' for a text without words."""
+        return f"{self.halvings}:" + "".join(f"{h:010x}" for h in self.kept.tolist()) if len(self.every) else ""
+
+
+def _scaled(every: np.ndarray, halvings: int) -> Sketch:
+    """The fixed fraction, or for a text of few shingles the first of its doubles that keeps LEAST of them, and in the end all."""
+    for h in range(halvings, 0, -1):
+        if np.searchsorted(every, np.uint64(_RANGE >> h)) >= LEAST:
+            return Sketch(every, h)
+    return Sketch(every, 0)
+
+
+def sketch(text: str | None, words: int = WORDS, halvings: int = HALVINGS) -> Sketch:
+    """The text's 40-bit shingle hashes. A text of fewer words is one shingle; only a text without words has none."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return np.zeros(0, np.uint64)
+        return Sketch(np.zeros(0, np.uint64), 0)
     codes = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
     span = min(words, len(codes))
     rolled = np.full(len(codes) - span + 1, span, np.uint64)
     for k in range(span):
         rolled = rolled * np.uint64(_MIX[2]) + codes[k : len(codes) - span + 1 + k]
-    hashes = _mixed(rolled) >> np.uint64(24)
-    kept = hashes[hashes < np.uint64(int(fraction * (1 << 40)))]
-    return np.unique(kept) if len(kept) else hashes.min(keepdims=True)
+    return _scaled(np.unique(_mixed(rolled) >> np.uint64(24)), halvings)
 
 
-def merged(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
-    """The sketch of both texts' shingles together."""
-    both = np.union1d(a, b)
-    below = both[both < np.uint64(int(fraction * (1 << 40)))]
-    return below if len(below) else both[:1]
+def read(written: str) -> Sketch:
+    """A sketch from its written form: it holds the kept hashes only."""
+    if not written:
+        return Sketch(np.zeros(0, np.uint64), 0)
+    halvings, digits = written.split(":")
+    return Sketch(np.array([int(digits[i : i + 10], 16) for i in range(0, len(digits), 10)], np.uint64), int(halvings))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the smaller sketch that the other contains; 1 for two empty ones, 0 if one is empty."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+def merged(a: Sketch, b: Sketch) -> Sketch:
+    """The sketch of both texts' shingles together, at the narrower of their fractions."""
+    if not len(a.every) or not len(b.every):
+        return a if len(a.every) else b
+    halvings = max(a.halvings, b.halvings)
+    both = np.union1d(a.every, b.every)
+    return Sketch(both[: np.searchsorted(both, np.uint64(_RANGE >> halvings))], halvings)
 
 
-def written(hashes: np.ndarray) -> str:
-    """10 hex digits a hash, ascending."""
-    return "".join(f"{h:010x}" for h in hashes.tolist())
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Share of the sketch of fewer hashes that the other text contains; 1 for two empty ones, 0 if one is empty.
+
+    It is taken at the fraction of that sketch, so a short text that lies in a long one is found there. Sketches that
+    were read back hold no more than they kept: then it is taken at the narrower fraction.
+    """
+    if not len(a.every) or not len(b.every):
+        return float(len(a.every) == len(b.every))
+    few, other = (a, b) if len(a.kept) <= len(b.kept) else (b, a)
+    own = few.kept
+    there = other.every[: np.searchsorted(other.every, np.uint64(_RANGE >> few.halvings))]
+    return len(np.intersect1d(own, there, assume_unique=True)) / len(own)
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = WORDS, halvings: int = HALVINGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles kept and fingerprint for every row; null text counts as empty, whose fingerprint is ''."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t, words, fraction) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_kept": [len(s) for s in found], "fingerprint": [written(s) for s in found]})
+            found = [sketch(t, words, halvings) for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([len(s.kept) for s in found], pa.int64()), pa.array([s.written() for s in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_kept", "fingerprint"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(work, "doc_id long, n_kept long, fingerprint string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(work, "doc_id long, n_kept long, fingerprint string")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -87,7 +123,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     The bounds are quantiles of the ids, at most MAX_RANGES; only they and one id per range reach the driver.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     n = max(1, min(MAX_RANGES, -(-rows.count() // range_rows)))
     bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
     splits = [-float("inf"), *sorted({float(b) for b in bounds}), float("inf")]
@@ -107,7 +143,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     )
 
 
-def against_edits(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def against_edits(docs: DataFrame, words: int = WORDS, halvings: int = HALVINGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every row's text and of its edited text, and their likeness to each other and the next row's.
 
     The edited text: the last third of its code points (rounded down) replaced by the first as many of
@@ -116,33 +155,33 @@ def against_edits(docs: DataFrame, words: int = WORDS, fraction: float = FRACTIO
     is its own next. Empty table: empty result. Other columns are ignored.
     """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = _EDITED.replace(" long", "").replace(" string", "").replace(" double", "").split(", ")
+    kinds = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[c.split()[1]] for c in _EDITED.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None  # (range, id, text, sketch) whose next row is still to come
         for batch in batches:
             out = []
-            for rng, doc_id, text, follows in batch[["rng", "doc_id", "text", "follows"]].itertuples(index=False, name=None):
-                own = sketch(text, words, fraction)
+            for rng, doc_id, text, follows in zip(*[batch.column(c).to_pylist() for c in ("rng", "doc_id", "text", "follows")], strict=True):
+                own = sketch(text, words, halvings)
                 if waiting is not None and waiting[0] == rng:
                     _, before_id, before, before_sketch = waiting
                     third = len(before) // 3
                     edited = before[: len(before) - third] + text[:third]
-                    changed = sketch(edited, words, fraction)
+                    changed = sketch(edited, words, halvings)
                     out.append((
-                        before_id, len(before), hashlib.sha256(edited.encode()).hexdigest(), written(before_sketch), written(changed),
+                        before_id, len(before), hashlib.sha256(edited.encode()).hexdigest(), before_sketch.written(), changed.written(),
                         likeness(before_sketch, changed), likeness(before_sketch, own),
                     ))
                 waiting = None if follows else (rng, doc_id, text, own)
-            frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            yield frame.astype({"doc_id": "Int64", "n_chars": "int64", "near_edited": "float64", "near_next": "float64"})
+            columns = list(zip(*out, strict=True)) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     ranged = with_next(docs, id_col, text_col)
     return (
         ranged.repartition("rng")
         .sortWithinPartitions("rng", "follows", F.col("doc_id").desc_nulls_last(), "text")
-        .mapInPandas(
-            work,
-            "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
-        )
+        .mapInArrow(work, _EDITED)
     )
 
 

@@ -46,53 +46,115 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(docs, model).first().predicted == 0
 
 
-def test_suffix_tree_and_base(spark):
+def words_of(t):
+    return (t or "").encode().lower().split()
+
+
+class PlainTree:
+    """The same model from dictionaries, one symbol at a time."""
+
+    def __init__(self, texts, frequent, common, seen=2, prior=0.5, divergence=0.05):
+        count = collections.Counter(w for t in texts for w in words_of(t))
+        self.n = sum(count.values()) + len(texts)
+        self.count, self.many = count, {w for w, c in count.items() if c >= frequent * self.n}
+        self.rare = {w: c for w, c in count.items() if w not in self.many}
+        seqs = [self.symbols(t) for t in texts]
+        root = collections.Counter(x for s in seqs for x in s[2:])
+        self.root = {x: math.log10((root[x] + 0.5) / (self.n + 0.5 * (len(self.many) + 2))) for x in [*self.many, "END", "RARE"]}
+        often = {x: c for x, c in [*root.items(), ("START", len(texts))] if c >= max(1, common * self.n)}
+        self.nodes = {}
+        for length in (1, 2):
+            follow = collections.defaultdict(collections.Counter)
+            for s in seqs:
+                for i in range(2, len(s)):
+                    follow[tuple(s[i - length : i])][s[i]] += 1
+            for context, next_ in follow.items():
+                if length == 1 and context[0] in often:
+                    continue
+                total, edges = sum(next_.values()), {x: c for x, c in next_.items() if c >= seen}
+                rest = math.log10(1 - sum(edges.values()) / (total + prior))
+                logs = {x: math.log10(c / (total + prior)) for x, c in edges.items()}
+                gain = sum(c * (logs[x] - self.log(context[1:], x)) for x, c in edges.items()) + (total - sum(edges.values())) * rest
+                if gain * math.log(10) >= divergence * total:
+                    self.nodes[context] = (logs, rest)
+        self.bytes = collections.Counter()
+        for w, c in count.items():
+            past = [257, 257]
+            for x in [*w, 256]:
+                self.bytes[past[-2], past[-1], x] += c
+                past.append(x)
+
+    def symbols(self, t):
+        return ["START", "START", *[w if w in self.many else "RARE" for w in words_of(t)], "END"]
+
+    def log(self, context, x):
+        if not context:
+            return self.root[x]
+        logs, rest = self.nodes.get(context, ({}, 0.0))
+        return logs[x] if x in logs else rest + self.log(context[1:], x)
+
+    def spelt(self, w):
+        past, total = [257, 257], 0.0
+        own, every = collections.Counter(), sum(self.bytes.values())
+        for (_, _, x), c in self.bytes.items():
+            own[x] += c
+        for x in [*w, 256]:
+            n = sum(c for (i, j, _), c in self.bytes.items() if (i, j) == (past[-2], past[-1]))
+            total += math.log10((self.bytes[past[-2], past[-1], x] + 4 * (own[x] + 0.5) / (every + 0.5 * 257)) / (n + 4))
+            past.append(x)
+        return total
+
+    def score(self, t):
+        s = self.symbols(t)
+        total = sum(self.log(tuple(s[i - 2 : i]), s[i]) for i in range(2, len(s)))
+        n = sum(self.rare.values())
+        for w in words_of(t):
+            if w in self.rare:
+                total += math.log10((self.rare[w] - 0.5) / (n + 1))
+            elif w not in self.many:
+                total += math.log10((0.5 * len(self.rare) + 1) / (n + 1)) + self.spelt(w)
+        return total
+
+
+@pytest.mark.parametrize("settings", [{}, {"frequent": 0.004, "common": 0.1}, {"frequent": 0.001, "shard_text": 100}])
+def test_suffix_tree_equals_a_plain_one(spark, settings):
     rnd = random.Random(4)
-    text = lambda: " ".join(rnd.choice(["the", "cat", "Dog", "runs", "é" * 3]) for _ in range(rnd.randrange(1, 30)))
-    rows = [(i, text()) for i in range(300)] + [(300, None), (301, ""), (302, "zzz qqq"), (303, "the cat"), (303, "the cat")]
+    pair = {"the": ["cat", "Dog", "sun"], "cat": ["runs", "sleeps"], "dog": ["runs"]}
+
+    def text():
+        found = [rnd.choice(["the", "cat", "Dog", "runs", "é" * 3])]
+        for _ in range(rnd.randrange(30)):
+            found.append(rnd.choice(pair.get(found[-1].lower(), ["the", "a", "and", "odd" + str(rnd.randrange(200))])))
+        return " ".join(found)
+
+    rows = [(i, text()) for i in range(300)] + [(300, None), (301, ""), (302, "zzz qqq"), (303, "the cat"), (303, "the cat"), (None, "the cat"), ((1 << 60) + 1, "the dog runs " * 50)]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, key int")
-    training = docs.where(~suffix_tree.is_held_out())
-    got = suffix_tree.score_texts(docs, training).collect()
-    words = lambda t: (t or "").encode().lower().split()
-    counts = collections.Counter()
+    learnt = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    tree = PlainTree(learnt, settings.get("frequent", suffix_tree.FREQUENT), settings.get("common", suffix_tree.COMMON))
+    assert len([c for c in tree.nodes if len(c) == 2]) > 20
+    counts = collections.Counter(w for t in learnt for w in [*words_of(t), "end"])
+    below = tree.n + 0.5 * (len(counts) + 1)
+    want = {}
     for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            counts.update([*words(t), "end"])
-    n, below = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
-    assert len(got) == len(rows) and {r.train_tokens for r in got} == {n}
-    by_id = {i: t for i, t in rows}
-    for r in got:
-        tokens = [*words(by_id[r.doc_id]), "end"]
-        assert r.n_tokens == len(tokens) and r.n_known == sum(counts[w] > 0 for w in tokens)
-        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 0.5) / below) for w in tokens), rel_tol=1e-9)
-        assert r.score < 0
-    assert suffix_tree.score_texts(docs.limit(0), training).count() == 0
-    assert suffix_tree.score_texts(docs, docs.limit(0)).count() == len(rows)
-
-
-def test_suffix_tree_is_a_distribution(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["abra cadabra abra", "abra abra", "cad abra"] * 20)], "doc_id long, text string")
-    tree = suffix_tree.grow(suffix_tree.gather(docs).where("NOT word"), common=0.001, edge=1e-4, divergence=1.0)
-    chances = 10.0 ** tree.logp[:-1].astype(float)
-    seen = tree.logp.shape[1] - 2
-    assert len(chances) > 5
-    assert np.allclose(chances[:, :seen].sum(1) + (257 - seen) * chances[:, seen], 1, atol=1e-5)
-    bags = [b"abra cadabra".split(), [], b"xyz".split(), b"cad".split()]
-    singly = [tree.score([b])[0] for b in bags]
-    assert np.allclose(tree.score(bags), singly) and singly[0] > singly[2] - 20
-    wide, dead = tree.logp.shape[1], len(tree.child) // tree.logp.shape[1] - 1
-    for bag, score in zip(bags, singly, strict=True):  # walk the tree symbol by symbol
-        past, total = [suffix_tree.START] * tree.depth, 0.0
-        for symbol in [*b" ".join(bag), suffix_tree.END]:
-            node = 0
-            for back in reversed(past[-tree.depth :]):
-                deeper = tree.child[node * wide + tree.classes[back]]
-                if deeper == dead:
-                    break
-                node = deeper
-            total += float(tree.logp[node, tree.classes[symbol]])
-            past.append(symbol)
-        assert math.isclose(total, score, rel_tol=1e-6)
+        tokens = [*words_of(t), "end"]
+        want[i] = (len(tokens), sum(counts[w] > 0 for w in tokens), sum(math.log10((counts[w] + 0.5) / below) for w in tokens), tree.score(t))
+    for shuffled in (docs, docs.repartition(7), docs.orderBy(F.desc("text"))):
+        got = suffix_tree.score_texts(shuffled, **settings).collect()
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows) and {r.train_tokens for r in got} == {tree.n}
+        for r in got:
+            n, known, base, score = want[r.doc_id]
+            assert (r.n_tokens, r.n_known) == (n, known) and math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
+    assert suffix_tree.score_texts(docs.limit(0)).count() == 0
+    assert suffix_tree.score_texts(docs, F.lit(False)).count() == len(rows)
+
+
+def test_suffix_tree_is_a_distribution():
+    """Behind every context the chances of all symbols sum up to one at most, and to nearly one."""
+    texts = ["abra cadabra abra", "abra abra", "cad abra", "cad cadabra"] * 20
+    tree = PlainTree(texts, 0.01, 2)
+    for context in [(), *tree.nodes, ("cad", "cad"), ("nowhere",)]:
+        total = sum(10 ** tree.log(context, x) for x in [*tree.many, "END", "RARE"])
+        assert 0.6 < total <= 1 + 1e-9
 
 
 TEXTS = [

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash, sketches, suffixes
+from tessera.llm import bpe, exact, packing, pii, shards, simhash, sketches, suffix_tree, suffixes, toxicity
 from tessera.llm.graph import connected_components
 
 
@@ -36,20 +36,6 @@ def test_fingerprints_equal_the_definition():
 
 
 @pytest.mark.parametrize("distance", [1, 2, 3, 5])
-def test_repeats_in_long_texts_and_of_one_gram(monkeypatch, spark):
-    rnd = random.Random(8)
-    phrase = "".join(rnd.choice("uvwxyz") for _ in range(30))
-    noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
-    long = noise(2_500_000)  # several pieces
-    rows = [(i, noise(rnd.randrange(60)) + phrase + noise(rnd.randrange(60))) for i in range(60)]
-    rows += [(70, long), (71, noise(40) + long[1_048_500:1_048_700] + phrase), (72, long[2_400_000:] + "é" + phrase * 4), (None, rows[3][1]), (None, "z" + rows[3][1])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = [r[1:] for r in removed([((1 << 63) - 1 if i is None else i, t) for i, t in rows])]
-    for settings in ({}, {"hot": 10}):
-        got = sorted(((1 << 63) - 1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(docs, **settings).collect())
-        assert [r[1:] for r in got] == want
-
-
 @pytest.mark.parametrize("bucket", [0, 64])
 def test_links_connect_all_in_reach(spark, distance, bucket):
     rng = np.random.default_rng(distance)
@@ -83,35 +69,92 @@ def test_long_paths_become_one_component(spark):
     assert {r.component for r in rows if r.node <= 200} == {0} and {(r.node, r.component) for r in rows if r.node > 200} == {(600, 600), (601, 600)}
 
 
+def plain_sketch(text):
+    """All shingles' hashes, and those of the smallest share of 1/8, 1/4, 1/2 and 1 that holds 16 of them."""
+    words = (text or "").encode().lower().split()
+    m, top = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15], (1 << 64) - 1
+    every = set()
+    for i in range(max(1, len(words) - 4) if words else 0):
+        x = len(part := words[i : i + 5])
+        for w in part:
+            x = (x * m[2] + xxhash.xxh3_64_intdigest(w)) & top
+        x = ((x ^ x >> 30) * m[0]) & top
+        x = ((x ^ x >> 27) * m[1]) & top
+        every.add((x ^ x >> 31) >> 24)
+    scale = next((h for h in (3, 2, 1) if sum(x < 1 << 40 - h for x in every) >= 16), 0)
+    return every, {x for x in every if x < 1 << 40 - scale}, scale
+
+
+def plain_likeness(a, b):
+    (x, kx, hx), (y, ky, hy) = plain_sketch(a), plain_sketch(b)
+    if not x or not y:
+        return float(bool(x) == bool(y))
+    own, other, scale = (kx, y, hx) if len(kx) <= len(ky) else (ky, x, hy)
+    return len(own & {h for h in other if h < 1 << 40 - scale}) / len(own)
+
+
+def plain_written(text):
+    every, kept, scale = plain_sketch(text)
+    return f"{scale}:" + "".join(f"{h:010x}" for h in sorted(kept)) if every else ""
+
+
 def test_sketches():
     a = " ".join(f"w{i}" for i in range(4000))
     b = " ".join(f"w{i}" for i in range(3000, 12000))
     x, y = sketches.sketch(a), sketches.sketch(b)
-    assert abs(len(x) / 3996 - sketches.FRACTION) < 0.03
-    assert (sketches.merged(x, y) == sketches.sketch(" ".join(f"w{i}" for i in range(12000)))).mean() > 0.99
-    assert 0.18 < sketches.likeness(x, y) < 0.32 and sketches.likeness(x, x) == 1
-    assert len(sketches.sketch("")) == 0 and len(sketches.sketch("word")) == 1
-    assert sketches.likeness(sketches.sketch(""), sketches.sketch("a")) == 0 and sketches.likeness(sketches.sketch(""), sketches.sketch(None)) == 1
-
-
-def test_edited_texts(spark):
-    rnd = random.Random(2)
-    rows = [(i, " ".join(rnd.choice("abcdefgh") * rnd.randrange(1, 4) for _ in range(rnd.randrange(60)))) for i in range(0, 3000, 2)] + [(7, None), (9, "é" * 10)]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, rng int")
+    assert abs(len(x.kept) / 3996 - 1 / 8) < 0.03
+    assert abs(sketches.likeness(x, y) - 996 / 3996) < 0.08
+    both = sketches.sketch(a + " " + b)
+    assert len(np.setdiff1d(both.kept, sketches.merged(x, y).kept)) <= 4  # shingles over the seam
+    for n in (5, 8, 12, 20, 400):
+        for at in range(0, 2500, 500):
+            part = sketches.sketch(" ".join(a.split()[at : at + n]))
+            assert sketches.likeness(part, x) == 1 and sketches.likeness(part, y) < 1
+    back = sketches.read(x.written())
+    assert back.halvings == x.halvings and (back.every == x.kept).all() and sketches.read("").halvings == 0
+
+
+def test_edits_against_a_plain_version(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice("abcdefgh") + str(rnd.randrange(9)) for _ in range(rnd.choice([0, 3, 5, 9, 40, 300]))) for _ in range(300)]
+    rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)] + [(5000, None), (5001, ""), (5002, "x é y"), ((1 << 60) + 1, texts[0]), ((1 << 60) + 2, texts[5] + " " + texts[0])]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, rng string").repartition(3)
     got = {r.doc_id: r for r in sketches.against_edits(docs).collect()}
+    order = sorted(rows, key=lambda r: -r[0])
     assert len(got) == len(rows)
-    order = sorted(rows, reverse=True)
     for k, (i, t) in enumerate(order):
         text, after = t or "", order[(k + 1) % len(order)][1] or ""
         cut = len(text) // 3
         edited = text[: len(text) - cut] + after[:cut]
-        assert got[i].n_chars == len(text) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[i].near_next == sketches.likeness(sketches.sketch(text), sketches.sketch(after))
-    single = sketches.against_edits(docs.limit(1)).collect()
+        r = got[i]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint == plain_written(text) and r.edited_fingerprint == plain_written(edited)
+        assert r.near_edited == plain_likeness(text, edited) and r.near_next == plain_likeness(text, after)
+    single = sketches.against_edits(docs.where("doc_id = 5002")).collect()
     assert len(single) == 1 and single[0].near_next == 1
     assert sketches.against_edits(docs.limit(0)).count() == 0
 
 
+BIG = (1 << 60) + 1
+
+
+def test_ids_are_exact_beside_nulls(spark):
+    """Large and null ids in one batch, on a shuffled table, through every operator that runs in Python workers."""
+    rows = [(BIG, "one two three four five six"), (None, "one two three four five six"), (None, None), (BIG + 2, "other words stand here and go on"), (BIG + 4, "one two three four five six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")).withColumn("lang", F.lit("en")).repartition(2, "text")
+    want = sorted(str(i) for i, _ in rows)
+    model = toxicity.TextCNN()
+    model.fit([], [])
+    for found in (
+        simhash.near_duplicates(docs), toxicity.toxicity(docs, model), bpe.digests(docs), bpe.decode(bpe.encode(docs)), sketches.fingerprints(docs), sketches.against_edits(docs),
+        packing.pack(docs), suffixes.remove_repeats(docs).withColumnRenamed("own_id", "doc_id"), suffix_tree.score_texts(docs), pii.report(docs), exact.exact_dedup(docs), shards.shard_records(docs),
+    ):
+        assert sorted(str(r.doc_id) for r in found.collect()) == want
+    kept = simhash.keep_first_similar(docs).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted([str(BIG), str(BIG + 2), "None"])
+    assert sorted(str(r.doc_id) for r in exact.keep_first(docs.repartition(7)).collect()) == sorted([str(BIG), str(BIG + 2), "None"])
+
+
 @pytest.mark.parametrize("text", [b"a", b"aaaa", b"mississippi", b"abcabcabc" * 9, bytes(random.Random(1).choices(range(3), k=700)), bytes(random.Random(2).choices(range(256), k=2000))])
 def test_suffix_array(text):
     data = np.frombuffer(text, np.uint8)

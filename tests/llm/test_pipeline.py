@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,21 @@ def test_stages_on_nothing(spark, folder):
             break
 
 
+def test_exact_keeper_on_shuffled_rows(spark, sf_dir):
+    """However the table is dealt, the rows that stay are those of the plain version, whole and with their own columns."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("row_no", F.col("doc_id") * 3).withColumn("__row_no", F.lit("x"))
+    copies = docs.withColumn("doc_id", F.col("doc_id") + 10_000).withColumn("text", F.regexp_replace("text", " ", "  "))
+    every = docs.unionByName(copies).unionByName(docs.limit(20))
+    want = {}
+    for r in every.collect():
+        key = re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")
+        if key not in want or r.doc_id < want[key][0]:
+            want[key] = tuple(r)
+    for shuffled in (every, every.repartition(7), every.orderBy(F.desc("doc_id")), every.repartition(3, "text").union(every.limit(5))):
+        got = exact.keep_first(shuffled)
+        assert got.columns == every.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want.values(), key=str)
+
+
 def test_keepers_agree_with_plain_versions(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = {r.doc_id for r in exact.keep_first(docs).select("doc_id").collect()}
