@@ -27,8 +27,9 @@ LETTERS = 3
 #: Distinct texts that must show a term together with an entity; disclosure from which a term is generalised, and removed.
 SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.95
 
-#: Numbers of a block of a running sum.
-_BLOCK = 512
+#: Numbers of a block of a running sum; stretches up to which a text is cut by places, and characters of a piece by which it is cut
+#: beyond (the same result).
+_BLOCK, _FEW, _PIECE = 512, 256, 2048
 _TERM = rf"\p{{L}}{{{LETTERS},}}"
 SPAN = "array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
 
@@ -142,8 +143,26 @@ def _replaced(text: Column, spans: Column, by) -> Column:
     def joined(firsts: Column, whole_end: Column) -> Column:
         ends = F.concat(F.transform(F.slice(firsts, 2, F.size(firsts)), lambda x: x["before"]), F.array(whole_end))
         stretches = F.zip_with(firsts, ends, lambda x, e: F.struct(x["before"].alias("before"), x["start"].alias("start"), e.alias("end"), x["label"].alias("label")))
-        part = lambda s: F.concat(F.substr(text, s["before"] + 1, s["start"] - s["before"]), by(s))
-        return F.concat(F.array_join(F.transform(stretches, part), ""), F.substr(text, whole_end + 1, F.length(text)))
+        def parts(cut) -> Column:
+            return F.array_join(F.transform(stretches, lambda s: F.concat(cut(s["before"], s["start"] - s["before"]), by(s))), "")
+
+        by_place = parts(lambda at, n: F.substr(text, at + 1, n))  # counts from the text's beginning each time
+
+        def by_pieces(pieces: Column) -> Column:
+            """Cuts from a list of pieces of the text, so that none counts through more than a few of them."""
+
+            def cut(at: Column, n: Column) -> Column:
+                def inside(k: Column) -> Column:
+                    start = F.greatest(at - k * _PIECE, F.lit(0))
+                    return F.substr(F.get(pieces, k), start + 1, F.least(at + n - k * _PIECE, F.lit(_PIECE)) - start)
+
+                first, last = F.floor(at / _PIECE).cast("int"), F.floor((at + n - 1) / _PIECE).cast("int")
+                return F.when(n <= 0, "").otherwise(F.array_join(F.transform(F.sequence(first, last), inside), ""))
+
+            return parts(cut)
+
+        by_list = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), by_pieces)
+        return F.concat(F.when(F.size(firsts) <= _FEW, by_place).otherwise(by_list), F.substr(text, whole_end + 1, F.length(text)))
 
     end = F.array_max(F.transform(spans, lambda s: s["end"]))
     return F.when(F.size(spans) == 0, text).otherwise(_let(opened(spans), lambda firsts: joined(firsts, end)))
