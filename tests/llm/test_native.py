@@ -119,13 +119,13 @@ def test_terms_that_disclose(spark):
 
 
 def test_many_matches_in_one_text(spark):
-    """Places and replacements of 100,000 addresses; near the length of the text in time."""
-    text = " ".join(f"a{i}@b.cc" for i in range(100_000))
+    """Places and replacements of 30,000 addresses; near the length of the text in time."""
+    text = " ".join(f"a{i}@b.cc" for i in range(30_000))
     docs = spark.createDataFrame([(1, text), (2, "x +30569309025904 y " * 700)], "doc_id long, text string")
     rows = {r.doc_id: r for r in pii.report(docs).collect()}
-    assert rows[1].n_email == 100_000 and all(rows[i].spans == base(t) for i, t in ((1, text), (2, "x +30569309025904 y " * 700)))
+    assert rows[1].n_email == 30_000 and all(rows[i].spans == base(t) for i, t in ((1, text), (2, "x +30569309025904 y " * 700)))
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
-    assert clean[1] == " ".join(["[email]"] * 100_000) and clean[2].count("[") == 700
+    assert clean[1] == " ".join(["[email]"] * 30_000) and clean[2].count("[") == 700
 
 
 def test_rewriting_merges_overlaps(spark):
