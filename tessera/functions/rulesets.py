@@ -215,6 +215,19 @@ SUBJECTS = ["asthma", "ربو", "حساسية", "bronchiolitis"]
 LEADING_WORDS = r"^(what|how|why|when|is|can|should|could)\s+(are|is|do|does|i|we|a|the)?\s*"
 PRONOUNS = r"\b(it|that|this|these|those|they|second one)\b"
 
+FOLLOW_UP_FORMS = [r"\bhow is it\b", r"\bwhat are its\b", r"\bhow to treat it\b", r"\bwhat about children\b", r"\bhow do you treat it\b", r"\bwhat about\b"]
+#: Words of a follow-up and what is asked then; the first that holds.
+FOLLOW_UP_QUESTIONS = [
+    (["treatment", "treated", "manage"], "How is {} treated?"), (["symptom"], "What are the symptoms of {}?"), (["diagnos"], "How is {} diagnosed?"),
+]
+CHILD_TOPIC, TOPIC, CHILD_WORDS = "paediatric asthma", "asthma", ["paediatric", "child"]
+TERSE = {
+    "asthma symptoms": "What are the symptoms of asthma?", "paediatric asthma symptoms": "What are the symptoms of paediatric asthma?",
+    "pediatric asthma symptoms": "What are the symptoms of paediatric asthma?", "asthma treatment": "How is asthma treated?",
+    "paediatric asthma treatment": "How is paediatric asthma treated?", "pediatric asthma treatment": "How is paediatric asthma treated?",
+    "asthma triggers": "What triggers asthma?", "asthma diagnosis": "How is asthma diagnosed?", "asthma management": "How is asthma managed?",
+}
+
 # --- decomposition --------------------------------------------------------------------------------
 CONJUNCTIONS = r"\b(and|also|additionally|furthermore|moreover|plus|as well as|and also|what about|how about|in addition)\b"
 STARTERS = r"\b(what|when|how|why|which|who|where|is|are|does|do|should|can|could|would|will|may|might|must)\b"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import rulesets as R
-from tessera.functions.text import contains_any, language, matches_any, stripped, word_count
+from tessera.functions.text import contains_any, language, matches_any, stripped, tokens, word_count
 
 
 def history(turns: DataFrame, last: int = 8, conv: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -57,11 +57,31 @@ def rewritten(query: Column, messages: Column) -> Column:
     return F.when(subject.isNotNull() & fragment, joined).otherwise(q)
 
 
+def canonical(query: Column, messages: Column) -> Column:
+    """A whole question for a follow-up (rewritten, or else by its form) or a terse query; others as they are, null as empty."""
+    q = stripped(F.coalesce(query, F.lit("")))
+    lower = F.lower(q)
+    new = rewritten(q, messages)
+    said = F.filter(messages, lambda m: (m["role"] == "user") & (F.coalesce(m["content"], F.lit("")) != ""))
+    last = F.lower(F.get(F.reverse(said), F.lit(0))["content"])
+    topic = F.when(contains_any(last, R.CHILD_WORDS), R.CHILD_TOPIC).otherwise(R.TOPIC)
+    short = (word_count(q) <= 5) & ~contains_any(q, ["asthma", "what", "how", "why"])
+    asked = F.concat(q, F.lit(" regarding "), topic)
+    for words, form in reversed(R.FOLLOW_UP_QUESTIONS):
+        before, after = form.split("{}")
+        asked = F.when(contains_any(q, words), F.concat(F.lit(before), topic, F.lit(after))).otherwise(asked)
+    terse = F.try_element_at(F.create_map(*[F.lit(x) for pair in R.TERSE.items() for x in pair]), lower)
+    follows = lower.rlike("(?U)(?:" + "|".join(R.FOLLOW_UP_FORMS) + ")") | short
+    return (
+        F.when(q == "", "").when((F.size(messages) > 0) & (new != q), new).when((F.size(messages) > 0) & last.isNotNull() & follows, asked)
+        .otherwise(F.coalesce(terse, q))
+    )
+
+
 def expanded(query: Column) -> Column:
-    """The query with the full forms of its acronyms behind it."""
-    words = F.split(F.lower(query), r"(?U)\W+")
+    """The query with the full forms of its acronyms behind it, one for each time an acronym stands in it."""
     full = F.create_map(*[F.lit(x) for pair in R.ACRONYMS.items() for x in pair])
-    forms = F.filter(F.transform(F.array_distinct(words), lambda w: F.try_element_at(full, w)), lambda f: f.isNotNull())
+    forms = F.filter(F.transform(tokens(query), lambda w: F.try_element_at(full, w)), lambda f: f.isNotNull())
     return F.when(F.size(forms) > 0, F.concat_ws(" ", query, F.array_join(forms, " "))).otherwise(query)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import rulesets as R
 from tessera.functions.text import tokens
+from tessera.operators import dialogue
 
 STRATEGIES = ("dense", "bm25", "hybrid", "rerank", "dense_rerank", "hybrid_rerank", "hybrid+rerank")
 
@@ -138,6 +139,18 @@ def search(docs: DataFrame, queries: DataFrame, strategy: str = "dense", k: int
     return above(found, least)
 
 
+def search_questions(docs: DataFrame, queries: DataFrame, strategy: str = "hybrid_rerank", k: int = 5, each: int = 5, candidates: int = 20) -> DataFrame:
+    """query_id, doc_id, score and rank for queries(query_id, query): every question of a compound query is searched by itself, then all take turns."""
+    asked = queries.select("query_id", F.posexplode(dialogue.sub_questions(F.coalesce("query", F.lit("")))).alias("question", "query"))
+    hits = search(docs, asked.select(F.struct("query_id", "question").alias("query_id"), "query"), strategy, each, candidates)
+    return round_robin(hits.select("query_id.*", "doc_id", "score", "rank"), k)
+
+
+def vector_count(stored: DataFrame) -> DataFrame:
+    """One row: how many vectors are stored."""
+    return stored.agg(F.count("*").alias("n"))
+
+
 def round_robin(runs: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, question, doc_id, score, rank) -> best of all questions in turn: rank by rank, question by question, each document once."""
     once = Window.partitionBy("query_id", "doc_id").orderBy("rank", "question")

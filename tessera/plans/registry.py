@@ -157,6 +157,50 @@ def dense_threshold(spark, sf_dir):
     return retrieval.dense(*_vectors(spark, sf_dir), 10, 0.3)
 
 
+def _ranked(asked: str, candidates: int) -> str:
+    """The steps of _BM25 for asked(item_id, text) in place of the items, with another number of candidates."""
+    steps = _BM25.replace("FROM benchmark)", "FROM asked)").replace("JOIN benchmark b", "JOIN asked b").replace("rank <= 15", f"rank <= {candidates}")
+    return f"{asked}, {steps}"
+
+
+def _cut(parts: str, pattern: str) -> str:
+    # RE2 has no lookahead: what stands behind a cut is put back
+    flags = "gi" if pattern.startswith("(?i)") else "g"
+    written = pattern.replace("(?i)", "").replace("(?=", "(")
+    return f"list_filter(flatten(list_transform({parts}, lambda p: list_transform(string_split(regexp_replace(p, '{written}', concat(chr(1), '\\1'), '{flags}'), chr(1)), lambda s: {_STRIP('s')}))), lambda s: s <> '')"
+
+
+def _sub_questions(rows: str) -> str:
+    """The steps from rows(id columns, text) to sq(id columns, q, questions)."""
+    steps, before = [f"s0 AS (SELECT *, {_STRIP('text')} AS q, [{_STRIP('text')}] AS p0 FROM {rows})"], 0
+    for n, pattern in enumerate(R.SPLITS, 1):
+        steps.append(f"c{n} AS (SELECT *, {_cut(f'p{before}', pattern)} AS k{n} FROM {'s' if n == 1 else 'd'}{before})")
+        steps.append(f"d{n} AS (SELECT *, CASE WHEN len(k{n}) > len(p{before}) THEN k{n} ELSE p{before} END AS p{n} FROM c{n})")
+        before = n
+    steps.append(f"a AS (SELECT *, list_transform(list_filter(p{before}, lambda s: length(s) >= {R.SHORTEST_QUESTION}), lambda s: regexp_replace(s, '^[ .,;?]+|[ .,;?]+$', '', 'g') || '?') AS aq FROM d{before})")
+    steps.append("b AS (SELECT *, list_filter(aq, lambda s, i: list_position(list_transform(aq, lambda y: lower(y)), lower(s)) = i) AS uq FROM a)")
+    compound = f"len(string_split_regex(q, '\\s+')) >= {R.COMPOUND_WORDS} AND regexp_matches(q, '(?i){R.CONJUNCTIONS}') AND len(regexp_extract_all(q, '(?i){R.STARTERS}')) >= 2"
+    steps.append(f"sq AS (SELECT *, CASE WHEN {compound} AND len(uq) >= 2 THEN uq ELSE [q] END AS questions FROM b)")
+    return ", ".join(steps)
+
+
+_ASKED = f"""item AS (SELECT item_id, coalesce(text, '') AS text FROM benchmark), {_sub_questions('item')},
+asked AS (SELECT item_id * 1000 + unnest(range(len(questions))) AS item_id, unnest(questions) AS text FROM sq)"""
+
+
+@_registered(f"""WITH {_ranked(_ASKED, 20)}, r AS (SELECT query_id // 1000 AS query_id, query_id % 1000 AS question, doc_id, score, rank FROM hr WHERE rank <= 5),
+o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank, question) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, question, doc_id) AS position FROM o)
+SELECT query_id, doc_id, score, position AS rank FROM n WHERE position <= 5""")
+def multi_question_topk(spark, sf_dir):
+    return retrieval.search_questions(_documents(spark, sf_dir), _items(spark, sf_dir))
+
+
+@_registered("SELECT count(*) AS n FROM embeddings")
+def vector_count(spark, sf_dir):
+    return retrieval.vector_count(table(spark, sf_dir, "embeddings"))
+
+
 @_registered(f"""WITH {_BM25}, both_ AS (SELECT query_id, 0 AS question, doc_id, score, rank FROM bm WHERE rank <= 5 UNION ALL SELECT query_id, 1, doc_id, score, rank FROM co WHERE rank <= 5),
 o AS (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank, question) = 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, question, doc_id) AS position FROM o)
@@ -303,13 +347,31 @@ def topic_shifts(spark, sf_dir):
     return rows.select("conv_id", "turn", dialogue.topic_shift(F.col("text"), F.col("turn") != F.col("first")).alias("shifts"))
 
 
-@_registered()
+_INSIDE = lambda words: f"(^|[^\\p{{L}}\\p{{N}}_])({words})([^\\p{{L}}\\p{{N}}_]|$)"
+_REWRITTEN = f"""h AS (SELECT conv_id, turn, role, {_STRIP("text")} AS q,
+coalesce(list({{'role': role, 'content': text}}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), []) AS m FROM conversations),
+u AS (SELECT *, CASE WHEN len(list_filter(m, lambda x: x.role = 'user')) > 0 THEN list_filter(m, lambda x: x.role = 'user') ELSE m END AS pool FROM h WHERE role = 'user'),
+s AS (SELECT *, list_reverse(list_filter(list_transform(pool, lambda x: {_STRIP(f"regexp_replace(x.content, '(?i){R.LEADING_WORDS}', '')")}), lambda x: length(x) > 3))[1] AS subject FROM u),
+rw AS (SELECT *, CASE WHEN subject IS NOT NULL AND (len(string_split_regex(q, '\\s+')) <= 4 OR regexp_matches(lower(q), '{_INSIDE("it|that|this|these|those|they|second one")}')) THEN
+  CASE WHEN regexp_matches(lower(q), '^(what|how)\\s+about\\b') THEN subject || ' - ' || regexp_replace(regexp_replace(q, '(?i)^(what|how)\\s+about\\s*', ''), '^[? ]+|[? ]+$', '', 'g')
+  WHEN regexp_matches(lower(q), '{_INSIDE("it|that")}') THEN array_to_string(list_transform(regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), lambda w: CASE WHEN lower(w) IN ('it', 'that') THEN subject ELSE w END), '')
+  ELSE subject || ' ' || q END ELSE q END AS query FROM s)"""
+
+
+@_registered(f"WITH {_REWRITTEN} SELECT conv_id, turn, query FROM rw")
 def followup_rewrites(spark, sf_dir):
     rows = dialogue.history(table(spark, sf_dir, "conversations")).where("role = 'user'")
     return rows.select("conv_id", "turn", dialogue.rewritten(F.col("text"), F.col("history")).alias("query"))
 
 
-@_registered()
+_TYPO = f"CASE lower(w) {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in R.TYPOS.items())} ELSE w END"
+_FORM = f"CASE w {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in R.ACRONYMS.items())} END"
+
+
+@_registered(f"""WITH y AS (SELECT conv_id, turn, array_to_string(list_transform(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: {_TYPO}), ' ') AS fixed FROM conversations WHERE role = 'user'),
+f AS (SELECT *, list_filter(list_transform({_tok('fixed')}, lambda w: {_FORM}), lambda x: x IS NOT NULL) AS forms FROM y),
+e AS (SELECT conv_id, turn, CASE WHEN len(forms) > 0 THEN fixed || ' ' || array_to_string(forms, ' ') ELSE fixed END AS text FROM f),
+{_sub_questions('e')} SELECT conv_id, turn, unnest(range(len(questions))) AS question, unnest(questions) AS query FROM sq""")
 def sub_questions(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where("role = 'user'")
     asked = dialogue.sub_questions(dialogue.expanded(dialogue.spelled(F.coalesce("text", F.lit("")))))
@@ -322,6 +384,20 @@ def listed_questions(spark, sf_dir):
     return rows.select("conv_id", "turn", F.posexplode(dialogue.listed_questions(F.col("text"))).alias("question", "query"))
 
 
+_TOPIC = f"CASE WHEN {_has('last', R.CHILD_WORDS)} THEN '{R.CHILD_TOPIC}' ELSE '{R.TOPIC}' END"
+_FOLLOWS = " ".join("WHEN {} THEN concat('{}', topic, '{}')".format(_has("q", words), *form.split("{}")) for words, form in R.FOLLOW_UP_QUESTIONS)
+
+
+@_registered(f"""WITH {_REWRITTEN}, l AS (SELECT *, list_reverse(list_filter(m, lambda x: x.role = 'user' AND coalesce(x.content, '') <> ''))[1].content AS last FROM rw),
+t AS (SELECT *, {_TOPIC} AS topic, regexp_matches(lower(q), '{"|".join(R.FOLLOW_UP_FORMS)}')
+  OR (len(string_split_regex(q, '\\s+')) <= 5 AND NOT {_has('q', ["asthma", "what", "how", "why"])}) AS follows FROM l)
+SELECT conv_id, turn, CASE WHEN q = '' THEN '' WHEN len(m) > 0 AND query <> q THEN query WHEN len(m) > 0 AND last IS NOT NULL AND follows THEN CASE {_FOLLOWS} ELSE concat(q, ' regarding ', topic) END
+ELSE CASE lower(q) {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in R.TERSE.items())} ELSE q END END AS query FROM t""")
+def canonical_queries(spark, sf_dir):
+    rows = dialogue.history(table(spark, sf_dir, "conversations")).where("role = 'user'")
+    return rows.select("conv_id", "turn", dialogue.canonical(F.col("text"), F.col("history")).alias("query"))
+
+
 @_registered("""SELECT conv_id, count(*) AS n_messages, count(*) FILTER (role = 'user') AS n_user, substr(arg_min(text, turn) FILTER (role = 'user'), 1, 26) AS title FROM conversations GROUP BY ALL""")
 def session_overview(spark, sf_dir):
     return sessions.overview(table(spark, sf_dir, "conversations"))
@@ -370,7 +446,24 @@ def query_classes(spark, sf_dir):
     )
 
 
-@_registered()
+_Q = _STRIP("text")
+_TIER = f"""CASE WHEN {_Q} = '' THEN 'OUT_OF_SCOPE' WHEN {_any('text', R.EMERGENCY)} OR {_any('text', R.RED_FLAGS)} THEN 'EMERGENCY'
+WHEN {_any('text', R.INJECTION)} OR {_any('text', R.OFF_TOPIC)} OR NOT {_has('text', R.TOPIC_TERMS)} THEN 'OUT_OF_SCOPE' ELSE 'CLINICAL' END"""
+_INTENT = f"""CASE WHEN {_any(_Q, R.OVERRIDE)} THEN 'prompt_injection' WHEN tier = 'EMERGENCY' THEN 'emergency' WHEN tier = 'OUT_OF_SCOPE' THEN 'out_of_scope'
+WHEN {_any(_Q, R.PERSONAL_DOSING)} THEN 'personal_dosing_decision'
+WHEN {_any(_Q, R.AMBIGUOUS)} OR (len(string_split_regex({_Q}, '\\s+')) <= 3 AND lower({_Q}) IN ({", ".join(f"'{w}'" for w in R.AMBIGUOUS_WORDS)})) THEN 'ambiguous'
+WHEN {_any(_Q, R.EDUCATIONAL)} THEN 'general_educational' WHEN {_any(_Q, R.MEDICATION)} THEN 'medication_or_dose_request'
+WHEN {_any(_Q, R.DIAGNOSIS)} THEN 'diagnosis_or_symptoms' WHEN {_any(_Q, R.PATIENT_SPECIFIC)} THEN 'patient_specific' ELSE 'general_educational' END"""
+# RE2's \b knows ASCII only: other letters become z, which no pattern of an age looks for
+_AGE = lambda packs: " ".join(f"WHEN regexp_matches(regexp_replace(lower(text), '[^\\x00-\\x7F\\P{{L}}]', 'z', 'g'), '{p}') THEN '{n}'" for n, p in packs.items())
+_BANDS = " ".join(f"WHEN {_any('text', R.CONCEPTS[band])} THEN '{band}'" for band in ("adults_adolescents", "children_6_11", "under_6"))
+
+
+@_registered(f"""WITH {_TEXTS}, t AS (SELECT *, {_TIER} AS tier FROM x),
+i AS (SELECT *, {_INTENT} AS intent, CASE {_AGE(R.CLASSIFIER_AGES)} ELSE 'all_ages' END AS classifier_age, CASE {_BANDS} {_AGE(R.QUERY_AGES)} END AS implied_age FROM t)
+SELECT kind, id, intent, classifier_age, implied_age, CASE WHEN intent IN ('medication_or_dose_request', 'diagnosis_or_symptoms', 'patient_specific') THEN
+  2 + (classifier_age = 'all_ages')::INT + (intent <> 'patient_specific' AND NOT {_any('text', [r"\bdiagnosed\b", r"\bknown\s+asthma\b"])})::INT + (intent = 'medication_or_dose_request')::INT
+  ELSE 0 END AS n_questions FROM i""")
 def intents(spark, sf_dir):
     q = F.col("text")
     return gates.with_rules(_texts(spark, sf_dir), "text").select(
@@ -397,6 +490,24 @@ def claim_support(spark, sf_dir):
     return hits.select("query_id", "doc_id", s.alias("s")).select("query_id", "doc_id", "s.supported", "s.ratio", F.size("s.matched").cast("long").alias("n_matched"))
 
 
+@_registered(f"""WITH {_BM25}, h AS (SELECT {_content('b.text')} AS w, {_content('d.text')} AS dw FROM bm JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) WHERE rank <= 5),
+s AS (SELECT len(w) > 0 AND len(list_intersect(w, dw)) / len(w) >= 0.25 AND len(list_intersect(w, dw)) >= 1 AS supported FROM h)
+SELECT count(*) AS n_claims, round(coalesce(count(*) FILTER (NOT supported) / nullif(count(*), 0), 0), 6) AS unsupported_rate FROM s""")
+def unsupported_claims(spark, sf_dir):
+    docs, items = _documents(spark, sf_dir), _items(spark, sf_dir)
+    hits = retrieval.bm25(docs, items).join(docs.select("doc_id", "text"), "doc_id").join(items, "query_id")
+    return evaluation.unsupported_rate(hits.select(grounding.claim_support(F.col("query"), F.col("text"))["supported"].alias("supported")))
+
+
+@_registered(f"""WITH {_BM25}, h AS (SELECT query_id, doc_id, rank, {_content('b.text')} AS w, {_content('d.text')} AS dw FROM bm JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) WHERE rank <= 5)
+SELECT query_id, doc_id, rank FROM h WHERE len(w) > 0 AND len(list_intersect(w, dw)) / len(w) >= 0.25 AND len(list_intersect(w, dw)) >= 1""")
+def cited_evidence(spark, sf_dir):
+    docs, items = _documents(spark, sf_dir), _items(spark, sf_dir)
+    hits = retrieval.bm25(docs, items).join(docs.select("doc_id", "text"), "doc_id")
+    claims = hits.select("query_id", "doc_id").join(items, "query_id").withColumnRenamed("query", "claim")
+    return grounding.cited(hits, grounding.verified_citations(claims, hits)).select("query_id", "doc_id", "rank")
+
+
 @_registered(f"""WITH {_BM25}, t AS (SELECT query_id, max(score) AS top, count(*) AS n FROM hr WHERE rank <= 5 GROUP BY ALL)
 SELECT query_id, round(top, 6) AS top, CASE WHEN top > 0.8 THEN 'High' WHEN top >= 0.6 THEN 'Moderate' ELSE 'Low / Not Grounded' END AS confidence,
 CASE WHEN {_any('b.text', R.PATIENT_SCENARIO)} THEN 'patient_specific' WHEN top < 0.55 THEN 'weak_evidence' WHEN top < 0.6 THEN 'low_confidence' END AS refusal
@@ -409,9 +520,11 @@ def confidence_and_refusal(spark, sf_dir):
 
 
 @_registered(f"""WITH {_BM25}, h AS (SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS best FROM hr WHERE rank <= 5)
-SELECT query_id, doc_id, score, rank FROM h WHERE score >= 0.32 AND round(best - score, 9) <= 0.18""")
+SELECT query_id, doc_id, score, rank FROM h JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) WHERE score >= 0.32 AND round(best - score, 9) <= 0.18
+AND NOT (contains(lower(b.text), 'symptom') AND contains(lower(d.text), 'bronchiolitis') AND NOT contains(lower(b.text), 'bronchiolitis'))""")
 def evidence_block(spark, sf_dir):
-    hits = retrieval.search(_documents(spark, sf_dir), _items(spark, sf_dir), "hybrid_rerank")
+    docs, items = _documents(spark, sf_dir), _items(spark, sf_dir)
+    hits = retrieval.search(docs, items, "hybrid_rerank").join(docs.select("doc_id", "text"), "doc_id").join(items, "query_id")
     return grounding.evidence(hits).select("query_id", "doc_id", "score", "rank")
 
 
@@ -507,13 +620,19 @@ def benchmark_matrix(spark, sf_dir):
     )
 
 
-@_registered()
+@_registered(f"""WITH {_BM25}, q AS (SELECT item_id AS query_id, list_sort({_content('text')})[1:3] AS kw FROM benchmark),
+h AS (SELECT query_id, rank, d.text, len(kw) > 0 AND len(list_filter(kw, lambda w: contains(lower(d.text), w))) >= greatest(1, least(2, len(kw))) AS relevant,
+  list_distinct(string_split_regex(lower(d.text), '[^\\p{{L}}\\p{{N}}_]+')) AS t FROM q JOIN bm USING (query_id) JOIN documents d USING (doc_id) WHERE rank <= 5),
+g AS (SELECT query_id, count(*) FILTER (relevant) AS n, arg_min(length(text), rank) FILTER (relevant) AS first FROM h GROUP BY ALL),
+w AS (SELECT DISTINCT a.query_id FROM h a JOIN h b ON a.query_id = b.query_id AND a.rank > b.rank WHERE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) > 0.9)
+SELECT query_id, array_to_string(list_filter([CASE WHEN n = 0 THEN 'wrong_topic' END, CASE WHEN w.query_id IS NOT NULL THEN 'duplicate_chunks' END, CASE WHEN n > 0 AND first < 120 THEN 'missing_context' END], lambda x: x IS NOT NULL), ',') AS modes
+FROM g LEFT JOIN w USING (query_id)""")
 def failure_modes(spark, sf_dir):
     docs, items = _documents(spark, sf_dir), _items(spark, sf_dir)
     cases = items.select("query_id", F.slice(F.array_sort(T.content_words(F.col("query"))), 1, 3).alias("kw"))
     hits = retrieval.bm25(docs, items).join(docs.select("doc_id", "text"), "doc_id").join(cases, "query_id")
     flagged = hits.withColumn("relevant", evaluation.relevant_to_case(F.lit(-1), F.col("kw"), F.col("doc_id"), F.col("text"))).withColumn("out_of_scope", F.lit(False))
-    return evaluation.failure_modes(flagged)
+    return evaluation.failure_modes(flagged).withColumn("modes", F.array_join("modes", ","))
 
 
 @_registered(f"""WITH {_BM25} SELECT query_id, count(*) AS n_results, round(max(score), 4) AS top_score, array_to_string(list_sort(list_distinct(list(source))), ', ') AS documents,
@@ -523,7 +642,8 @@ def audit_template(spark, sf_dir):
     return sinks.audit_template(retrieval.bm25(docs, _items(spark, sf_dir)).join(docs.select("doc_id", "source"), "doc_id"))
 
 
-@_registered()
+@_registered(f"""WITH {_BM25} SELECT query_id, string_agg(printf('[%d] %s (%.4f) %s', rank, doc_id::VARCHAR, round(score, 4), substr(text, 1, 400) || CASE WHEN length(text) > 400 THEN '...' ELSE '' END), chr(10) ORDER BY rank) AS panel
+FROM bm JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id""")
 def evidence_panels(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     return grounding.panel(retrieval.bm25(docs, _items(spark, sf_dir)).join(docs.select("doc_id", "text"), "doc_id"))

@@ -161,3 +161,43 @@ def test_response_fields(spark):
     got = grounding.response(spark.createDataFrame(rows, f"status string, confidence string, {cited}")).collect()
     assert [r.is_verified for r in got] == [True, False, True, False]
     assert got[0].citations_payload[0].asDict() == {"claim": "c", "chunk_id": 1, "source": "Guideline evidence", "score": 0.125, "is_verified": True}
+
+
+def test_compound_queries_are_searched_question_by_question(spark):
+    docs = spark.createDataFrame([(1, "wheeze and cough are symptoms"), (2, "spirometry confirms the diagnosis"), (3, "nothing of note here"), (4, None)], "doc_id long, text string")
+    asked = "What symptoms suggest wheeze and cough, and how does spirometry confirm the diagnosis?"
+    queries = spark.createDataFrame([(7, asked), (8, "spirometry")], "query_id long, query string")
+    found = [tuple(r) for r in retrieval.search_questions(docs, queries, k=2).select("query_id", "rank", "doc_id").orderBy("query_id", "rank").collect()]
+    assert found == [(7, 1, 1), (7, 2, 2), (8, 1, 2)]
+    assert retrieval.search_questions(docs.limit(0), queries).count() == 0
+    assert retrieval.search_questions(docs, queries.limit(0)).count() == 0
+
+
+def test_strict_precision_wants_all_labels(spark):
+    rows = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 1, True)], "query_id long, rank int, relevant boolean")
+    assert [tuple(r) for r in evaluation.strict_precision(rows.where("query_id = 1"), 2).collect()] == [(1, 0.5)]
+    with pytest.raises(Exception, match="2 labels expected, 1 found"):
+        evaluation.strict_precision(rows, 2).collect()
+    with pytest.raises(ValueError):
+        evaluation.strict_precision(rows, 0)
+
+
+def test_unsupported_rate(spark):
+    claims = spark.createDataFrame([(True,), (False,), (True,), (True,)], "supported boolean")
+    assert tuple(evaluation.unsupported_rate(claims).first()) == (4, 0.25)
+    assert tuple(evaluation.unsupported_rate(claims.limit(0)).first()) == (0, 0.0)
+
+
+def test_evidence_leaves_out_another_illness_for_symptoms(spark):
+    rows = [(1, "asthma symptoms", "Bronchiolitis in infants", 0.9, 1), (1, "asthma symptoms", "wheeze", 0.8, 2), (2, "symptoms of bronchiolitis", "Bronchiolitis", 0.9, 1), (3, None, None, 0.9, 1)]
+    hits = spark.createDataFrame(rows, "query_id long, query string, text string, score double, rank int")
+    assert sorted((r.query_id, r.rank) for r in grounding.evidence(hits).collect()) == [(1, 2), (2, 1), (3, 1)]
+
+
+def test_canonical_questions(spark):
+    said = [(0, "user", "How does paediatric asthma present?"), (1, "assistant", "With wheeze.")]
+    rows = [("asthma symptoms", []), ("  ", said), (None, []), ("Is there anything on treatment that lasts", []), ("how is it", said), ("and then we need the treatment for what about children", said)]
+    df = spark.createDataFrame(rows, "q string, h array<struct<seq:int,role:string,content:string>>")
+    got = [r[0] for r in df.select(dialogue.canonical(F.col("q"), F.col("h"))).collect()]
+    assert got[:4] == ["What are the symptoms of asthma?", "", "", "Is there anything on treatment that lasts"]
+    assert "paediatric asthma" in got[4] and got[5] == "How is paediatric asthma treated?"
