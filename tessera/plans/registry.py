@@ -642,7 +642,7 @@ def audit_template(spark, sf_dir):
     return sinks.audit_template(retrieval.bm25(docs, _items(spark, sf_dir)).join(docs.select("doc_id", "source"), "doc_id"))
 
 
-@_registered(f"""WITH {_BM25} SELECT query_id, string_agg(printf('[%d] %s (%.4f) %s', rank, doc_id::VARCHAR, round(score, 4), substr(text, 1, 400) || CASE WHEN length(text) > 400 THEN '...' ELSE '' END), chr(10) ORDER BY rank) AS panel
+@_registered(f"""WITH {_BM25} SELECT query_id, string_agg(printf('[%d] %s (%.4f) %s', rank, doc_id::VARCHAR, round(score::DECIMAL(18, 6), 4)::DOUBLE, substr(text, 1, 400) || CASE WHEN length(text) > 400 THEN '...' ELSE '' END), chr(10) ORDER BY rank) AS panel
 FROM bm JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id""")
 def evidence_panels(spark, sf_dir):
     docs = _documents(spark, sf_dir)
