@@ -20,8 +20,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A character without which a kind can't occur.
-_NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+#: What every match of a kind holds: texts without it aren't searched with the longer pattern.
+_NEEDS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 #: Least letters of a term.
 LETTERS = 3
 #: Distinct texts that must show a term together with an entity; disclosure from which a term is generalised, and removed.
@@ -29,7 +29,7 @@ SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.95
 
 #: Numbers of a block of a running sum; stretches up to which a text is cut by places, and characters of a piece by which it is cut
 #: beyond (the same result).
-_BLOCK, _FEW, _PIECE = 512, 256, 2048
+_BLOCK, _FEW, _PIECE = 64, 256, 2048
 _TERM = rf"\p{{L}}{{{LETTERS},}}"
 SPAN = "array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
 
@@ -107,7 +107,7 @@ def _found(text: Column, kind: str, ordinal: int) -> Column:
         return F.when(_valid(kind, m), F.struct(start.alias("start"), F.lit(ordinal).alias("ord"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value")))
 
     walk = _matches(text, PATTERNS[kind], span)
-    return F.when(F.instr(text, _NEEDS[kind]) > 0, walk).otherwise(F.array().cast(SPAN)) if kind in _NEEDS else walk
+    return F.when(text.rlike(_NEEDS[kind]), walk).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> Column:
