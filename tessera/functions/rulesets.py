@@ -269,3 +269,28 @@ KEYWORD_INTENTS = {
 TECHNIQUE_WORDS = ["technique", "step", "press", "breathe", "inhale", "mouthpiece", "hold breath", "actuation"]
 PROCEDURE_WORDS = ["how to use", "technique", "steps to", "how do i use"]
 DOSAGE_WORDS = ["dose", "dosage", "how much", "mg", "mcg"]
+
+# --- standalone questions (fixed values): text looked for, pattern, question form ------------------
+NARRATIVES_EN = [
+    ("coughing at night", r"I keep coughing at night,?\s*could it be asthma\??", "Is nocturnal coughing a symptom of asthma?"),
+    ("my child's asthma", r"my child's asthma", "pediatric asthma"),
+    ("for my child", r"for my child's asthma", "for pediatric asthma"),
+]
+WHOLE_EN = [
+    (["asthma symptoms", "symptoms of asthma"], "What are the common symptoms of asthma in children?"),
+    (["asthma treatment", "treatment of asthma"], "How is pediatric asthma treated?"),
+]
+NARRATIVES_AR = [("طفلي بيكح", "السعال عند الأطفال"), ("أنا بكح", "السعال في الليل")]
+WHOLE_AR = [
+    (["أعراض الربو", "اعراض الربو", "أعراض حساسية الصدر"], "ما هي أعراض الربو عند الأطفال؟"),
+    (["علاج الربو", "علاج حساسية الصدر"], "كيف يتم علاج الربو عند الأطفال؟"),
+]
+#: Least letters of a mapped term.
+SHORTEST_TERM = 3
+
+# --- prompt (fixed values) ------------------------------------------------------------------------
+PROMPT_TURNS = 6
+PROMPT_HISTORY = "RECENT CONVERSATION HISTORY:\n"
+PROMPT_EVIDENCE = "EVIDENCE CHUNKS:\n"
+PROMPT_QUESTION = "\n\nCLINICAL QUESTION:\n"
+PROMPT_END = "\n\nAnswer using ONLY the evidence above. Follow the JSON structure exactly."

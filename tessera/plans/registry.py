@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tessera.functions import rulesets as R
 from tessera.functions import text as T
 from tessera.operators import chunking, cleaning, dialogue, evaluation, gates, grounding, retrieval
-from tessera.plans import answers
+from tessera.plans import answers, corpus, questions
 from tessera.sources import sessions, sinks
 from tessera.sources.tables import table
 from tessera.streaming import telemetry
@@ -403,6 +403,62 @@ def session_overview(spark, sf_dir):
     return sessions.overview(table(spark, sf_dir, "conversations"))
 
 
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+def _narratives(column: str) -> str:
+    """Nested replacements of the narratives, each where its needle stands in q."""
+    for needle, pattern, form in R.NARRATIVES_EN:
+        column = f"CASE WHEN contains(lower(q), '{_quoted(needle)}') THEN regexp_replace({column}, '(?i){_quoted(pattern)}', '{form}', 'g') ELSE {column} END"
+    return column
+
+
+_SHIFT = f"""CASE WHEN q = '' OR len(m) = 0 OR {_has('q', R.NEW_TOPICS)} THEN true WHEN {_any('q', R.FOLLOW_UP_EN)} THEN false
+ELSE {_has('q', R.SUBJECTS)} AND len(string_split_regex(q, '\\s+')) >= 4 END"""
+_WHOLE = " ".join(f"WHEN '{_quoted(word)}' THEN '{form}'" for words, form in R.WHOLE_EN for word in words)
+
+
+@_registered(f"""WITH {_REWRITTEN}, z AS (SELECT *, {_SHIFT} AS topic_shift, {_narratives('q')} AS told FROM rw)
+SELECT conv_id, turn, 'en' AS language, topic_shift, CASE WHEN topic_shift THEN CASE lower(told) {_WHOLE} ELSE told END ELSE query END AS question FROM z""")
+def processed_queries(spark, sf_dir):
+    """The messages are English, so the SQL knows no other language."""
+    rows = dialogue.history(table(spark, sf_dir, "conversations")).where("role = 'user'").withColumnRenamed("text", "query")
+    return questions.processed(rows).select("conv_id", "turn", "language", "topic_shift", "question")
+
+
+@_registered(f"""WITH w AS (SELECT DISTINCT unnest({_tok('text')}) AS word FROM benchmark)
+SELECT conv_id, turn, count(word) AS n_terms, md5(coalesce(string_agg(word, ' ' ORDER BY word), '')) AS terms_md5
+FROM conversations LEFT JOIN w ON length(word) >= 3 AND contains(lower(text), word) WHERE role = 'user' GROUP BY ALL""")
+def term_mentions(spark, sf_dir):
+    """Which words of the benchmark's texts stand anywhere in a user's message."""
+    said = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("query_id", F.struct("conv_id", "turn"))
+    words = _items(spark, sf_dir).select(F.explode(T.tokens(F.col("query"))).alias("term_ar")).distinct().withColumn("term_en", F.col("term_ar"))
+    found = questions.mentioned_terms(said.withColumnRenamed("text", "query"), words).groupBy("query_id").agg(F.array_sort(F.collect_list("term_ar")).alias("terms"))
+    terms = F.coalesce("terms", F.array().cast("array<string>"))
+    return said.join(found, "query_id", "left").select("conv_id", "turn", F.size(terms).cast("long").alias("n_terms"), F.md5(F.array_join(terms, " ")).alias("terms_md5"))
+
+
+@_registered("""WITH h AS (SELECT conv_id, turn, role, text,
+coalesce(list({'role': role, 'content': text}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), []) AS m FROM conversations)
+SELECT conv_id, turn, sha256(CASE WHEN len(m) > 0 THEN 'RECENT CONVERSATION HISTORY:' || chr(10) ||
+  array_to_string(list_transform(m, lambda x: CASE x.role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || trim(coalesce(x.content, ''))), chr(10)) || chr(10) || chr(10) ELSE '' END
+  || 'EVIDENCE CHUNKS:' || chr(10) || conv_id || chr(10) || chr(10) || 'CLINICAL QUESTION:' || chr(10) || coalesce(text, '') || chr(10) || chr(10)
+  || 'Answer using ONLY the evidence above. Follow the JSON structure exactly.') AS prompt_sha256 FROM h WHERE role = 'user'""")
+def prompts(spark, sf_dir):
+    """A message's whole prompt, with the conversation's id in the place of evidence."""
+    rows = dialogue.history(table(spark, sf_dir, "conversations")).where("role = 'user'")
+    text = questions.prompt(F.coalesce("text", F.lit("")), F.col("conv_id").cast("string"), F.col("history"))
+    return rows.select("conv_id", "turn", F.sha2(text, 256).alias("prompt_sha256"))
+
+
+@_registered()
+def corpus_build(spark, sf_dir):
+    """Chunks of every document as one corpus, without copies."""
+    rows = _documents(spark, sf_dir).withColumn("document", F.concat_ws("-", "source", "doc_id"))
+    return corpus.build(rows).select("document", "chunk_id", "section", "page_start", "page_end", "token_count")
+
+
 # --- gates ----------------------------------------------------------------------------------------
 
 _GATE = f"""CASE WHEN {_any('text', R.EMERGENCY)} OR {_any('text', R.RED_FLAGS)} THEN 'EMERGENCY' WHEN {_any('text', R.INJECTION)} THEN 'INJECTION'

@@ -24,3 +24,20 @@ def audit_template(hits: DataFrame) -> DataFrame:
 def best_configuration(matrix: DataFrame) -> DataFrame:
     """The row of the best (precision, reciprocal_rank)."""
     return matrix.orderBy(F.desc("precision"), F.desc("reciprocal_rank"), "configuration").limit(1)
+
+
+def write_manifest(chunks: DataFrame, path: str, **settings: object) -> None:
+    """path/chunks, the chunks as JSON lines, and path/config, one line of the settings and the corpus's fingerprint among them."""
+    chunks.write.mode("overwrite").json(f"{path}/chunks")
+    _one_row(chunks, settings).write.mode("overwrite").json(f"{path}/config")
+
+
+def write_evaluation(results: DataFrame, metrics: DataFrame, path: str, **settings: object) -> None:
+    """path/config, path/metrics and path/results of an evaluation, as JSON lines."""
+    _one_row(results, settings).write.mode("overwrite").json(f"{path}/config")
+    metrics.write.mode("overwrite").json(f"{path}/metrics")
+    results.write.mode("overwrite").json(f"{path}/results")
+
+
+def _one_row(df: DataFrame, settings: dict[str, object]) -> DataFrame:
+    return df.sparkSession.range(1).select(*[F.lit(value).alias(name) for name, value in settings.items()])
