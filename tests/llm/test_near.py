@@ -250,20 +250,6 @@ def test_wide_distance_estimates_similarity():
     assert abs(int(np.bitwise_count(a ^ b).sum()) - simhash.distance_of(35 / 45, 384)) < 25
 
 
-def test_repeats_in_long_texts_and_of_one_gram(monkeypatch, spark):
-    rnd = random.Random(8)
-    phrase = "".join(rnd.choice("uvwxyz") for _ in range(30))
-    noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
-    long = noise(2_500_000)  # several pieces
-    rows = [(i, noise(rnd.randrange(60)) + phrase + noise(rnd.randrange(60))) for i in range(60)]
-    rows += [(70, long), (71, noise(40) + long[1_048_500:1_048_700] + phrase), (72, long[2_400_000:] + "é" + phrase * 4), (None, rows[3][1]), (None, "z" + rows[3][1])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = [r[1:] for r in removed([((1 << 63) - 1 if i is None else i, t) for i, t in rows])]
-    for settings in ({}, {"hot": 10}):
-        got = sorted(((1 << 63) - 1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(docs, **settings).collect())
-        assert [r[1:] for r in got] == want
-
-
 @pytest.mark.parametrize("bucket", [0, 64])
 def test_similar_groups_equal_brute_force(spark, bucket):
     """Pairs just over and just under the similarity, by the exact sets: all of the first are groups, none of the second."""
