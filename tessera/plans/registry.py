@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tessera.functions import rulesets as R
 from tessera.functions import text as T
 from tessera.operators import chunking, cleaning, dialogue, evaluation, gates, grounding, retrieval
-from tessera.plans import answers, corpus, questions
+from tessera.plans import answers, conversations, corpus, questions
 from tessera.sources import sessions, sinks
 from tessera.sources.tables import table
 from tessera.streaming import telemetry
@@ -459,6 +459,13 @@ def corpus_build(spark, sf_dir):
     return corpus.build(rows).select("document", "chunk_id", "section", "page_start", "page_end", "token_count")
 
 
+@_registered()
+def conversation_answers(spark, sf_dir):
+    """What every question of every user message is answered."""
+    found = conversations.ask(table(spark, sf_dir, "conversations"), _documents(spark, sf_dir))
+    return found.select("conv_id", "turn", "part", "topic_shift", "question", "status", "n_evidence", "n_verified")
+
+
 # --- gates ----------------------------------------------------------------------------------------
 
 _GATE = f"""CASE WHEN {_any('text', R.EMERGENCY)} OR {_any('text', R.RED_FLAGS)} THEN 'EMERGENCY' WHEN {_any('text', R.INJECTION)} THEN 'INJECTION'
