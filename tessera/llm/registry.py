@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact, packing, pii, shards, simhash, sketches, suffix_tree, suffixes, toxicity
+from tessera.llm import bpe, codes, exact, licenses, packing, pii, shards, simhash, sketches, spelling, suffix_tree, suffixes, toxicity
 
-MODULES = (simhash, pii, toxicity, suffix_tree, bpe, sketches, packing, suffixes, exact, shards)
+MODULES = (simhash, pii, toxicity, suffix_tree, bpe, sketches, packing, suffixes, exact, shards, codes, spelling, licenses)
 
 
 def queries() -> dict:
