@@ -259,7 +259,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Blocks of (ids, tags, offsets and sizes of pieces, segments()) of rows (doc_id, tag, text)."""
 
     def block() -> tuple:
-        return np.array(ids, np.int64), np.array(tags, np.int32), np.array(offsets, np.int64), np.array([len(p) for p in pieces]), segments(pieces)
+        return np.array(ids, np.int64), np.array(tags, np.int64), np.array(offsets, np.int64), np.array([len(p) for p in pieces]), segments(pieces)
 
     ids, tags, offsets, pieces, held = [], [], [], [], 0
     for batch in batches:
@@ -468,7 +468,7 @@ def _settle(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         owner.append(own)
         place = np.cumsum(_unpacked(doc, n, np.uint32), dtype=np.int64)
         ids.append(np.cumsum(_unpacked(block_ids, docs, np.int64))[place])
-        tags.append(_unpacked(block_tags, docs, np.int32)[place])
+        tags.append(_unpacked(block_tags, docs, np.int64)[place])
         at.append(_unpacked(starts, n, np.int64))
     del number
     owner, ids, tags, at = (np.concatenate(x) for x in (owner, ids, tags, at))
@@ -510,9 +510,10 @@ def _settle(found: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id (a null one is the largest number), tag and text. Rows of one doc_id with different texts differ in their tags."""
+    """doc_id (a null one is the largest number), tag and text. Rows of one doc_id with different texts differ in their tags, which
+    are 64-bit hashes: of a million rows of one id, some two in a hundred million tables would have a clash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"), F.col(id_col).alias("own_id"))
+    return docs.select(F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(text, F.col(id_col).isNull()).alias("tag"), text.alias("text"), F.col(id_col).alias("own_id"))
 
 
 def removed_spans(rows: DataFrame, shard_text: int = SHARD_TEXT, hot: int = HOT) -> DataFrame:
@@ -573,14 +574,14 @@ def removed_spans(rows: DataFrame, shard_text: int = SHARD_TEXT, hot: int = HOT)
         for _, found in _by_shard(batches):
             yield from _settle(found)
 
-    return _dealt(rows.mapInArrow(surroundings, _BLOCK), shards).mapInArrow(settle, "doc_id long, tag int, span long")
+    return _dealt(rows.mapInArrow(surroundings, _BLOCK), shards).mapInArrow(settle, "doc_id long, tag long, span long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) for every row.
 
     A byte goes if a string of SPAN bytes over it also starts under a smaller doc_id. Null text is empty;
-    a null id is larger than all others; rows of one id aren't smaller than each other, and repeated
+    a null id is larger than all others but 2^63 - 1, which it equals; rows of one id aren't smaller than each other, and repeated
     rows lose the same. Empty table: empty result. Other columns are ignored.
     """
     rows = _keyed(docs, id_col, text_col)
