@@ -37,25 +37,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Sketch:
-    """Hashes of a text's shingles, sorted and unique, and the power of a half below which share of the range they are kept."""
+    """A text's shingle hashes below the share 2^-halvings of their range, sorted and unique."""
 
-    every: np.ndarray
+    kept: np.ndarray
     halvings: int
 
-    @property
-    def kept(self) -> np.ndarray:
-        return self.every[: np.searchsorted(self.every, np.uint64(_RANGE >> self.halvings))]
+    def below(self, halvings: int) -> np.ndarray:
+        """Those of the hashes that a narrower share keeps too."""
+        return self.kept[: np.searchsorted(self.kept, np.uint64(_RANGE >> halvings))]
 
     def written(self) -> str:
         """The halvings, a colon, and 10 hex digits a kept hash, ascending; '' for a text without words."""
-        return f"{self.halvings}:" + "".join(f"{h:010x}" for h in self.kept.tolist()) if len(self.every) else ""
+        return f"{self.halvings}:" + "".join(f"{h:010x}" for h in self.kept.tolist()) if len(self.kept) else ""
 
 
 def _scaled(every: np.ndarray, halvings: int) -> Sketch:
-    """The fixed fraction, or for a text of few shingles the first of its doubles that keeps LEAST of them, and in the end all."""
+    """The fixed share, or for a text of few shingles the first of its doubles that keeps LEAST of them, and in the end all."""
     for h in range(halvings, 0, -1):
         if np.searchsorted(every, np.uint64(_RANGE >> h)) >= LEAST:
-            return Sketch(every, h)
+            return Sketch(every[: np.searchsorted(every, np.uint64(_RANGE >> h))], h)
     return Sketch(every, 0)
 
 
@@ -73,7 +73,7 @@ def sketch(text: str | None, words: int = WORDS, halvings: int = HALVINGS) -> Sk
 
 
 def read(written: str) -> Sketch:
-    """A sketch from its written form: it holds the kept hashes only."""
+    """A sketch from its written form."""
     if not written:
         return Sketch(np.zeros(0, np.uint64), 0)
     halvings, digits = written.split(":")
@@ -81,26 +81,25 @@ def read(written: str) -> Sketch:
 
 
 def merged(a: Sketch, b: Sketch) -> Sketch:
-    """The sketch of both texts' shingles together, at the narrower of their fractions."""
-    if not len(a.every) or not len(b.every):
-        return a if len(a.every) else b
+    """The sketch of both texts' shingles together, at the narrower of their shares."""
+    if not len(a.kept) or not len(b.kept):
+        return a if len(a.kept) else b
     halvings = max(a.halvings, b.halvings)
-    both = np.union1d(a.every, b.every)
-    return Sketch(both[: np.searchsorted(both, np.uint64(_RANGE >> halvings))], halvings)
+    return Sketch(np.union1d(a.below(halvings), b.below(halvings)), halvings)
 
 
 def likeness(a: Sketch, b: Sketch) -> float:
-    """Share of the sketch of fewer hashes that the other text contains; 1 for two empty ones, 0 if one is empty.
+    """Share of the sketch of fewer hashes that is in the other, of hashes below the narrower of their shares.
 
-    It is taken at the fraction of that sketch, so a short text that lies in a long one is found there. Sketches that
-    were read back hold no more than they kept: then it is taken at the narrower fraction.
+    It estimates how much of the shorter text the longer one contains, and needs what the fingerprints say only. 1 for two empty
+    sketches, 0 if one is empty. If a short text has no hash below the narrower share, nothing tells
+    them alike: 0.
     """
-    if not len(a.every) or not len(b.every):
-        return float(len(a.every) == len(b.every))
-    few, other = (a, b) if len(a.kept) <= len(b.kept) else (b, a)
-    own = few.kept
-    there = other.every[: np.searchsorted(other.every, np.uint64(_RANGE >> few.halvings))]
-    return len(np.intersect1d(own, there, assume_unique=True)) / len(own)
+    if not len(a.kept) or not len(b.kept):
+        return float(len(a.kept) == len(b.kept))
+    halvings = max(a.halvings, b.halvings)
+    x, y = a.below(halvings), b.below(halvings)
+    return len(np.intersect1d(x, y, assume_unique=True)) / min(len(x), len(y)) if len(x) and len(y) else 0.0
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, halvings: int = HALVINGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
