@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import SPACE, documents, forget, materialise, salt, text_or_empty
 
-#: A chunk has 512 characters at least, ends after a vowel and a space, and has 4096 at most.
-CHUNK = r"(?s).{512,4096}?(?<=[aeiou]\x20)|.{1,4096}"
+#: A chunk has 512 characters at least and 4096 at most, and ends with a character that stands two places before too. So the text
+#: itself decides where it is cut, whatever its script.
+CHUNK = r"(?s).{509,4093}?(.).\1|.{1,4096}"
 
 
 def normalised(column: str = "text") -> Column:
