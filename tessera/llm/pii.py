@@ -3,6 +3,8 @@
 DataFrame functions only. The protected entities are the values that the base patterns find. From
 co-occurrence in whole documents of the whole corpus, a word t discloses the share PMI(t, e) / IC(e)
 of an entity e's information; words that disclose too much are generalised or removed in every text.
+An entity of a single text counts too. What is seen in few different texts is discounted, so that there only
+words that are rare themselves disclose it.
 """
 
 from __future__ import annotations
@@ -24,12 +26,15 @@ PATTERNS = {
 _NEEDS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 #: Least letters of a term.
 LETTERS = 3
-#: Distinct texts that must show a term together with an entity; disclosure from which a term is generalised, and removed.
-SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.95
+#: What is taken off the number of different texts that show a term together with an entity; disclosure from which a term is
+#: generalised, and removed.
+DISCOUNT, GENERALISE, REMOVE = 0.75, 0.75, 0.95
 
 #: Numbers of a block of a running sum; stretches up to which a text is cut by places, and characters of a piece by which it is cut
 #: beyond (the same result).
 _BLOCK, _FEW, _PIECE = 64, 256, 2048
+#: A capital whose small form is two characters: texts with it are searched word by word.
+_TWOFOLD = "\u0130"
 _TERM = rf"\p{{L}}{{{LETTERS},}}"
 SPAN = "array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
 
@@ -86,9 +91,10 @@ def running(values: Column, add) -> Column:
     return _let(values, lambda v: _let(blocks(v), from_blocks))
 
 
-def _matches(text: Column, pattern: str, span) -> Column:
+def _matches(text: Column, pattern: str | Column, span) -> Column:
     """span(match, start, end), where it isn't null, of all matches; the pieces between matches and the matches give the places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     sized = lambda p, m: F.struct(F.length(p).alias("skip"), (F.length(p) + F.coalesce(F.length(m), F.lit(0))).alias("size"), m.alias("match"))
     parts = F.zip_with(F.split(text, pattern, -1), found, sized)
 
@@ -121,13 +127,18 @@ def _terms(text: Column) -> Column:
 
 
 def _places(text: Column, effects: Column) -> Column:
-    """Spans of all occurrences of the terms that are keys of effects, a map from term to what is done with it."""
+    """Spans of all occurrences of the terms that are keys of effects, a map from term to what is done with it.
+
+    Few terms are looked for by themselves; where they are many, every word is looked up (the same result).
+    """
 
     def span(term: Column, start: Column, end: Column) -> Column:
         effect = F.try_element_at(effects, F.lower(term))
         return F.when(effect.isNotNull(), F.struct(start.alias("start"), F.lit(len(PATTERNS)).alias("ord"), F.lit("term").alias("kind"), end.alias("end"), effect.alias("value")))
 
-    return _matches(text, _TERM, span)
+    own = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys(effects), "|"), F.lit(r")(?!\p{L})"))
+    few = (F.size(effects) <= _FEW) & ~F.contains(text, F.lit(_TWOFOLD))
+    return F.when(few, _matches(text, own, span)).otherwise(_matches(text, _TERM, span))
 
 
 def _replaced(text: Column, spans: Column, by) -> Column:
@@ -174,43 +185,63 @@ def _blanked(text: Column, base: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, base (spans) and terms (the distinct ones outside of the spans), for every row."""
+    """row_no, doc_id, text_hash, base (spans) and terms (the distinct ones outside of the spans), for every row. Rows are numbered
+    for what is written: the numbers hold once the result is materialised."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("base", base_spans(F.col("text")))
-    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", _terms(_blanked(F.col("text"), F.col("base"))).alias("terms"))
+    return rows.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", F.xxhash64("text").alias("text_hash"), "base", _terms(_blanked(F.col("text"), F.col("base"))).alias("terms"))
 
 
-def disclosing_terms(scanned: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(kind, value, term, disclosure) of the terms that disclose an entity by `generalise` or more.
+def entity_classes(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kind, value, class, n_entity, n_texts) of every entity, and (text_hash, class, n_entity, n_texts) of every text and class.
 
-    Counted over all rows, in whole texts: those with the term, with the entity, and with both. A term
-    needs `support` different texts, so copies of one text prove nothing.
+    Entities that stand in the same texts are one class: whatever discloses one discloses all of it alike. So a
+    page of thousands of addresses meets its terms once, not once for each address.
     """
-    total = scanned.count()
     entities = F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
-    held = scanned.where(F.size("base") > 0).select("text_hash", "terms", F.explode(entities).alias("e")).select("text_hash", "terms", "e.kind", "e.value")
-    holders = held.groupBy("kind", "value").agg(F.count("*").alias("n_entity"), F.count_distinct("text_hash").alias("n_texts"))
-    holders = materialise(holders.where(F.col("n_texts") >= support).drop("n_texts"), "holders")
-    both = held.join(holders, ["kind", "value"], "left_semi").select("kind", "value", "text_hash", F.explode("terms").alias("term"))
-    both = both.groupBy("kind", "value", "term", "text_hash").agg(F.count("*").alias("rows"))
-    joint = both.groupBy("kind", "value", "term").agg(F.sum("rows").alias("n_joint"), F.count("*").alias("n_texts")).where(F.col("n_texts") >= support)
+    held = scanned.where(F.size("base") > 0).select("text_hash", F.explode(entities).alias("e"))
+    held = materialise(held.groupBy("text_hash", "e.kind", "e.value").agg(F.count("*").alias("rows")), "held")
+    mixed = [F.bit_xor(F.xxhash64("text_hash", F.lit(k))) for k in range(2)]
+    classes = held.groupBy("kind", "value").agg(F.struct(F.count("*").alias("n"), mixed[0].alias("x"), mixed[1].alias("y")).alias("class"), F.sum("rows").alias("n_entity"), F.count("*").alias("n_texts"))
+    classes = materialise(classes, "classes")
+    one = held.join(classes, ["kind", "value"]).groupBy("text_hash", "class").agg(F.max("n_entity").alias("n_entity"), F.max("n_texts").alias("n_texts"))
+    return classes, one
+
+
+def class_terms(scanned: DataFrame, of_texts: DataFrame, generalise: float = GENERALISE, discount: float = DISCOUNT) -> DataFrame:
+    """(class, term, disclosure) of the terms that disclose the entities of a class by `generalise` or more.
+
+    Counted over all rows, in whole texts: those with the term, with the entity, and with both. The last is discounted by
+    how few different texts it comes from, so copies of one text prove no more than the text.
+    """
+    total = float(max(scanned.count(), 1))
     counts = scanned.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    pmi = F.log2(F.col("n_joint") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    return (
-        joint.drop("n_texts").join(holders, ["kind", "value"]).join(counts, "term")
-        .withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)))
-        .where(F.col("disclosure") >= generalise)
-        .select("kind", "value", "term", "disclosure")
-    )
+    # PMI can't exceed log2(total / n_term), so a term of more rows than this can't reach the threshold
+    most = F.pow(F.lit(total), F.lit(1 - generalise)) * F.pow(F.col("n_entity"), F.lit(generalise)) * (1 + 1e-9)
+    texts = of_texts.groupBy("text_hash").agg(F.max(most).alias("most"))
+    held = scanned.where(F.size("base") > 0).groupBy("text_hash").agg(F.count("*").alias("rows"), F.any_value("terms").alias("terms"))
+    rare = held.join(texts, "text_hash").select("text_hash", "rows", "most", F.explode("terms").alias("term")).join(counts, "term").where(F.col("n_term") <= F.col("most"))
+    both = rare.drop("most").join(of_texts, "text_hash").where(F.col("n_term") <= most)
+    joint = both.groupBy("class", "term").agg(F.sum("rows").alias("n_joint"), F.count("*").alias("n_seen"), F.max("n_term").alias("n_term"), F.max("n_entity").alias("n_entity"))
+    sure = F.col("n_joint") * (F.col("n_seen") - discount) / F.col("n_seen")
+    pmi = F.log2(sure * F.lit(total) / (F.col("n_term") * F.col("n_entity")))
+    information = F.log2(F.lit(total) / F.col("n_entity"))
+    return joint.select("class", "term", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)).alias("disclosure")).where(F.col("disclosure") >= generalise)
+
+
+def disclosing_terms(scanned: DataFrame, generalise: float = GENERALISE, discount: float = DISCOUNT) -> DataFrame:
+    """(kind, value, term, disclosure): what class_terms finds, for every entity."""
+    classes, of_texts = entity_classes(scanned)
+    return classes.join(class_terms(scanned, of_texts, generalise, discount), "class").select("kind", "value", "term", "disclosure")
 
 
 def term_spans(docs: DataFrame, scanned: DataFrame, terms: DataFrame, remove: float = REMOVE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash and extra, the spans of all occurrences of disclosing terms, for texts that have any."""
+    """doc_id, text_hash and extra, the spans of all occurrences of terms(term, disclosure), for texts that have any."""
     effect = F.when(F.max("disclosure") >= remove, "removed").otherwise("generalised")
     effects = materialise(terms.groupBy("term").agg(effect.alias("effect")), "effects")
-    hits = scanned.select("doc_id", "text_hash", "base", F.explode("terms").alias("term")).join(effects, "term").groupBy("doc_id", "text_hash").agg(
-        F.any_value("base").alias("base"), F.map_from_entries(F.collect_set(F.struct("term", "effect"))).alias("effects")
-    ).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    hits = scanned.select("row_no", F.explode("terms").alias("term")).join(effects, "term").groupBy("row_no").agg(F.map_from_entries(F.collect_set(F.struct("term", "effect"))).alias("effects"))
+    # rows of one id and text say the same
+    hits = scanned.select("row_no", "doc_id", "text_hash", "base").join(hits, "row_no").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
+        F.any_value("base").alias("base"), F.any_value("effects").alias("effects"))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     hit = rows.join(hits, rows["doc_id"].eqNullSafe(hits["__id"]) & (rows["text_hash"] == hits["__hash"]))
     places = _places(_blanked(F.col("text"), F.col("base")), F.col("effects"))
@@ -225,7 +256,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **th
     """
     remove = thresholds.pop("remove", REMOVE)
     scanned = materialise(scan(docs, id_col, text_col), "scan")
-    extra = materialise(term_spans(docs, scanned, disclosing_terms(scanned, **thresholds), remove, id_col, text_col), "terms")
+    terms = class_terms(scanned, entity_classes(scanned)[1], **thresholds)
+    extra = materialise(term_spans(docs, scanned, terms, remove, id_col, text_col), "terms")
     e = extra.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "extra")
     joined = scanned.join(e, scanned["doc_id"].eqNullSafe(e["__id"]) & (scanned["text_hash"] == e["__hash"]), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(SPAN))))
