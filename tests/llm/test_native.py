@@ -1,6 +1,7 @@
 """Exact dedup, sharding and personal data against plain Python and DuckDB."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -110,7 +111,7 @@ def test_base_spans_equal_plain_search(spark):
     assert len(rows) == len(texts)
     for r in rows:
         want = base(texts[r.doc_id] or "")
-        assert r.spans == want and r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert ",".join(x for x in r.spans.split(",") if not x.startswith("term")) == want and r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert r.n_card == want.count("card:")
 
 
@@ -130,12 +131,73 @@ def test_terms_that_disclose(spark):
     assert pii.report(docs.limit(0)).count() == 0
 
 
+def plain_terms(texts, generalise=0.75, discount=0.75):
+    """{(kind, value, term): disclosure} from counts of rows and of different texts, pair by pair."""
+    entities, terms = [], []
+    for t in texts:
+        t, found = t or "", set()
+        for span in filter(None, base(t).split(",")):
+            kind, a, b = span.split(":")
+            value = t[int(a) : int(b)]
+            found.add((kind, value.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", value)))
+            t = t[: int(a)] + "\n" * (int(b) - int(a)) + t[int(b) :]
+        entities.append(found)
+        terms.append({w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)})
+    n, found = len(texts), {}
+    for e in set().union(*entities):
+        rows = [i for i in range(n) if e in entities[i]]
+        for w in set().union(*(terms[i] for i in rows)):
+            both = [i for i in rows if w in terms[i]]
+            different = len({texts[i] for i in both})
+            sure, n_term = len(both) * (different - discount) / different, sum(w in t for t in terms)
+            score = math.log2(sure * n / (n_term * len(rows))) / math.log2(n / len(rows)) if len(rows) < n else 0.0
+            if score >= generalise:
+                found[(*e, w)] = score
+    return found
+
+
+def test_terms_equal_plain_counts(spark):
+    """Entities of one text, of two, of many and of copies; and places of all their terms in all texts."""
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefghiklmno") for _ in range(5)) for _ in range(60)]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(3, 25))) for _ in range(300)]
+    for k in range(40):
+        at = rnd.sample(range(300), rnd.choice([1, 1, 1, 2, 2, 5]))
+        for i in at:
+            texts[i] = f"Name{chr(97 + k % 26)}{'xy'[k // 26]}q {texts[i]} {rnd.choice([f'Who{k}@mail.org', f'10.0.0.{k}'])}"
+    texts += [texts[3]] * 4 + ["only Zorblax here", None, ""] + ["\u0130zmir u@v.org wrote NAMEAXQ", "Stra\u00dfe \u039f\u0394\u039f\u03a3 o@p.org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scanned = pii.materialise(pii.scan(docs), "scan")
+    got = {(r.kind, r.value, r.term): r.disclosure for r in pii.disclosing_terms(scanned).collect()}
+    want = plain_terms(texts)
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    assert {sum(f"who{k}@" in (t or "").lower() for t in texts) for k in range(40)} >= {1, 2} and len(want) > 20
+    told = {w for *_, w in want}
+    for r in pii.report(docs).collect():
+        t = texts[r.doc_id] or ""
+        hidden = t
+        for span in filter(None, base(t).split(",")):
+            _, a, b = span.split(":")
+            hidden = hidden[: int(a)] + "\n" * (int(b) - int(a)) + hidden[int(b) :]
+        places = {f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]{3,}", hidden) if m[0].lower() in told}
+        assert {s for s in r.spans.split(",") if s.startswith("term")} == places
+
+
+def test_a_page_of_addresses_meets_its_terms_once(spark):
+    page = " ".join(f"a{i}@b.cc" for i in range(3000)) + " quizzical"
+    docs = spark.createDataFrame([(0, page), (1, "a1@b.cc apart")] + [(2 + i, f"plain text {chr(97 + i % 26)}{i}") for i in range(500)], "doc_id long, text string")
+    scanned = pii.materialise(pii.scan(docs), "scan")
+    classes, of_texts = pii.entity_classes(scanned)
+    assert classes.count() == 3000 and sorted((r.n_entity, r.n_texts) for r in of_texts.collect()) == [(1, 1), (2, 2), (2, 2)]
+    assert {r.term for r in pii.class_terms(scanned, of_texts).collect()} == {"quizzical"}  # apart stands with one of two texts only
+
+
 def test_many_matches_in_one_text(spark):
     """Places and replacements of 30,000 addresses; near the length of the text in time."""
     text = " ".join(f"a{i}@b.cc" for i in range(30_000))
     docs = spark.createDataFrame([(1, text), (2, "x +30569309025904 y " * 700)], "doc_id long, text string")
     rows = {r.doc_id: r for r in pii.report(docs).collect()}
-    assert rows[1].n_email == 30_000 and all(rows[i].spans == base(t) for i, t in ((1, text), (2, "x +30569309025904 y " * 700)))
+    assert rows[1].n_email == 30_000 and all(rows[i].base_sha256 == hashlib.sha256(base(t).encode()).hexdigest() for i, t in ((1, text), (2, "x +30569309025904 y " * 700)))
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert clean[1] == " ".join(["[email]"] * 30_000) and clean[2].count("[") == 700
 
