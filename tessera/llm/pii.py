@@ -36,6 +36,8 @@ _BLOCK, _FEW, _PIECE = 64, 256, 2048
 #: A capital whose small form is two characters: texts with it are searched word by word.
 _TWOFOLD = "\u0130"
 _TERM = rf"\p{{L}}{{{LETTERS},}}"
+#: Terms of so many of all rows, the most frequent ones first, that are set aside before texts are joined with disclosing terms.
+_OFTEN, _MOST_OFTEN = 0.002, 8192
 SPAN = "array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
 
 
@@ -138,7 +140,7 @@ def _places(text: Column, effects: Column) -> Column:
 
     own = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys(effects), "|"), F.lit(r")(?!\p{L})"))
     few = (F.size(effects) <= _FEW) & ~F.contains(text, F.lit(_TWOFOLD))
-    return F.when(few, _matches(text, own, span)).otherwise(_matches(text, _TERM, span))
+    return F.when(few, _let(own, lambda pattern: _matches(text, pattern, span))).otherwise(_matches(text, _TERM, span))
 
 
 def _replaced(text: Column, spans: Column, by) -> Column:
@@ -207,44 +209,64 @@ def entity_classes(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, one
 
 
-def class_terms(scanned: DataFrame, of_texts: DataFrame, generalise: float = GENERALISE, discount: float = DISCOUNT) -> DataFrame:
-    """(class, term, disclosure) of the terms that disclose the entities of a class by `generalise` or more.
+def term_counts(scanned: DataFrame) -> DataFrame:
+    """(term, n_term), the number of rows that hold it."""
+    return scanned.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+
+
+def class_terms(scanned: DataFrame, of_texts: DataFrame, counts: DataFrame, generalise: float = GENERALISE, discount: float = DISCOUNT) -> DataFrame:
+    """(class, term, disclosure, n_seen, text_hash) of the terms that disclose the entities of a class by `generalise` or more.
 
     Counted over all rows, in whole texts: those with the term, with the entity, and with both. The last is discounted by
-    how few different texts it comes from, so copies of one text prove no more than the text.
+    how few different texts it comes from, so copies of one text prove no more than the text. What only one text (of
+    text_hash) shows counts for a term that stands in no other text.
     """
     total = float(max(scanned.count(), 1))
-    counts = scanned.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     # PMI can't exceed log2(total / n_term), so a term of more rows than this can't reach the threshold
     most = F.pow(F.lit(total), F.lit(1 - generalise)) * F.pow(F.col("n_entity"), F.lit(generalise)) * (1 + 1e-9)
     texts = of_texts.groupBy("text_hash").agg(F.max(most).alias("most"))
     held = scanned.where(F.size("base") > 0).groupBy("text_hash").agg(F.count("*").alias("rows"), F.any_value("terms").alias("terms"))
     rare = held.join(texts, "text_hash").select("text_hash", "rows", "most", F.explode("terms").alias("term")).join(counts, "term").where(F.col("n_term") <= F.col("most"))
     both = rare.drop("most").join(of_texts, "text_hash").where(F.col("n_term") <= most)
-    joint = both.groupBy("class", "term").agg(F.sum("rows").alias("n_joint"), F.count("*").alias("n_seen"), F.max("n_term").alias("n_term"), F.max("n_entity").alias("n_entity"))
+    joint = both.groupBy("class", "term").agg(
+        F.sum("rows").alias("n_joint"), F.count("*").alias("n_seen"), F.max("n_term").alias("n_term"), F.max("n_entity").alias("n_entity"), F.any_value("text_hash").alias("text_hash"))
     sure = F.col("n_joint") * (F.col("n_seen") - discount) / F.col("n_seen")
     pmi = F.log2(sure * F.lit(total) / (F.col("n_term") * F.col("n_entity")))
     information = F.log2(F.lit(total) / F.col("n_entity"))
-    return joint.select("class", "term", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    told = joint.where((F.col("n_seen") > 1) | (F.col("n_term") == F.col("n_joint")))
+    told = told.select("class", "term", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)).alias("disclosure"), "n_seen", "text_hash")
+    return told.where(F.col("disclosure") >= generalise)
 
 
 def disclosing_terms(scanned: DataFrame, generalise: float = GENERALISE, discount: float = DISCOUNT) -> DataFrame:
     """(kind, value, term, disclosure): what class_terms finds, for every entity."""
     classes, of_texts = entity_classes(scanned)
-    return classes.join(class_terms(scanned, of_texts, generalise, discount), "class").select("kind", "value", "term", "disclosure")
-
-
-def term_spans(docs: DataFrame, scanned: DataFrame, terms: DataFrame, remove: float = REMOVE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash and extra, the spans of all occurrences of terms(term, disclosure), for texts that have any."""
-    effect = F.when(F.max("disclosure") >= remove, "removed").otherwise("generalised")
-    effects = materialise(terms.groupBy("term").agg(effect.alias("effect")), "effects")
-    hits = scanned.select("row_no", F.explode("terms").alias("term")).join(effects, "term").groupBy("row_no").agg(F.map_from_entries(F.collect_set(F.struct("term", "effect"))).alias("effects"))
+    return classes.join(class_terms(scanned, of_texts, term_counts(scanned), generalise, discount), "class").select("kind", "value", "term", "disclosure")
+
+
+def _harmless(counts: DataFrame, effects: DataFrame, total: int) -> list[str]:
+    """Frequent terms that disclose nothing. The list only saves work: other terms are joined, these needn't be."""
+    often = counts.where(F.col("n_term") >= _OFTEN * total).join(effects, "term", "left_anti").orderBy(F.desc("n_term"), "term").limit(_MOST_OFTEN)
+    return [r.term for r in often.select("term").collect()]
+
+
+def term_spans(
+    docs: DataFrame, scanned: DataFrame, terms: DataFrame, counts: DataFrame, remove: float = REMOVE, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """doc_id, text_hash and extra, the spans of all occurrences of terms (as class_terms gives them), for texts that have any."""
+    effect = F.when(F.max("disclosure") >= remove, "removed").otherwise("generalised").alias("effect")
+    wide = materialise(terms.where("n_seen > 1").groupBy("term").agg(effect), "effects")
+    harmless = _harmless(counts, wide, scanned.count())
+    wide = scanned.select("row_no", F.explode(F.filter("terms", lambda t: ~t.isin(harmless))).alias("term")).join(wide, "term").select("row_no", "term", "effect")
+    own = terms.where("n_seen = 1").groupBy("text_hash", "term").agg(effect).groupBy("text_hash").agg(F.collect_list(F.struct("term", "effect")).alias("own"))
+    own = scanned.select("row_no", "text_hash").join(own, "text_hash").select("row_no", F.inline("own"))
+    hits = wide.unionByName(own).groupBy("row_no").agg(F.map_from_entries(F.collect_set(F.struct("term", "effect"))).alias("effects"))
     # rows of one id and text say the same
     hits = scanned.select("row_no", "doc_id", "text_hash", "base").join(hits, "row_no").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
         F.any_value("base").alias("base"), F.any_value("effects").alias("effects"))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     hit = rows.join(hits, rows["doc_id"].eqNullSafe(hits["__id"]) & (rows["text_hash"] == hits["__hash"]))
-    places = _places(_blanked(F.col("text"), F.col("base")), F.col("effects"))
+    places = _let(_blanked(F.col("text"), F.col("base")), lambda text: _places(text, F.col("effects")))
     return hit.select("doc_id", "text_hash", places.alias("extra")).dropDuplicates(["doc_id", "text_hash"])
 
 
@@ -256,8 +278,9 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **th
     """
     remove = thresholds.pop("remove", REMOVE)
     scanned = materialise(scan(docs, id_col, text_col), "scan")
-    terms = class_terms(scanned, entity_classes(scanned)[1], **thresholds)
-    extra = materialise(term_spans(docs, scanned, terms, remove, id_col, text_col), "terms")
+    counts = materialise(term_counts(scanned), "counts")
+    terms = materialise(class_terms(scanned, entity_classes(scanned)[1], counts, **thresholds), "disclosing")
+    extra = materialise(term_spans(docs, scanned, terms, counts, remove, id_col, text_col), "spans")
     e = extra.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "extra")
     joined = scanned.join(e, scanned["doc_id"].eqNullSafe(e["__id"]) & (scanned["text_hash"] == e["__hash"]), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(SPAN))))
