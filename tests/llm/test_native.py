@@ -151,7 +151,7 @@ def plain_terms(texts, generalise=0.75, discount=0.75):
             different = len({texts[i] for i in both})
             sure, n_term = len(both) * (different - discount) / different, sum(w in t for t in terms)
             score = math.log2(sure * n / (n_term * len(rows))) / math.log2(n / len(rows)) if len(rows) < n else 0.0
-            if score >= generalise:
+            if score >= generalise and (different > 1 or n_term == len(both)):
                 found[(*e, w)] = score
     return found
 
@@ -189,7 +189,7 @@ def test_a_page_of_addresses_meets_its_terms_once(spark):
     scanned = pii.materialise(pii.scan(docs), "scan")
     classes, of_texts = pii.entity_classes(scanned)
     assert classes.count() == 3000 and sorted((r.n_entity, r.n_texts) for r in of_texts.collect()) == [(1, 1), (2, 2), (2, 2)]
-    assert {r.term for r in pii.class_terms(scanned, of_texts).collect()} == {"quizzical"}  # apart stands with one of two texts only
+    assert {r.term for r in pii.class_terms(scanned, of_texts, pii.term_counts(scanned)).collect()} == {"quizzical"}  # apart stands with one of two texts only
 
 
 def test_many_matches_in_one_text(spark):
