@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import rulesets as R
 from tessera.functions.text import tokens
-from tessera.operators import dialogue
+from tessera.operators import dialogue, terminology
 
 STRATEGIES = ("dense", "bm25", "hybrid", "rerank", "dense_rerank", "hybrid_rerank", "hybrid+rerank")
 
@@ -69,7 +69,8 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = -1.
     """Cosine top-k of vectors(doc_id, embedding) for queries(query_id, embedding), in blocks of queries.
 
     Queries are packed into blocks of 64; each block meets every vector once, scores inside one
-    expression and keeps k candidates for each query and vector partition before the exchange.
+    expression and keeps k candidates for each query and vector partition before the exchange. A zero vector
+    has the cosine 0 with all. For many vectors vectors.ann_topk compares with a share of them only.
     """
     unit = lambda v: F.transform(v, lambda x: x.cast("double"))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
@@ -78,14 +79,21 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = -1.
     q = q.groupBy(F.floor(F.col("query_id") / 64).alias("block")).agg(F.collect_list(F.struct("query_id", "qv", "qn")).alias("qs"))  # at most 64 ids
     pairs = d.join(q).select("doc_id", "dv", "dn", F.explode("qs").alias("q"))
     dot = F.aggregate(F.zip_with("dv", "q.qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select(F.col("q.query_id").alias("query_id"), "doc_id", F.round(dot / (F.col("dn") * F.col("q.qn")), 6).alias("score"))
+    scored = pairs.select(F.col("q.query_id").alias("query_id"), "doc_id", F.round(F.coalesce(F.try_divide(dot, F.col("dn") * F.col("q.qn")), F.lit(0.0)), 6).alias("score"))
     return top_k(scored.where(F.col("score") >= least), k).select("query_id", "doc_id", "score", "rank")
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
-    """stored with the rows of new, which replace those of the same key; of repeated keys in new one stays."""
-    latest = new.dropDuplicates([key])
-    return stored.join(latest.select(key), key, "left_anti").unionByName(latest)
+def latest(rows: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
+    """One row of each key: that of the greatest `order` (a column); of equal ones, and without an order, the greatest by
+    the other columns in turn."""
+    rest = F.struct(*([order] if order else []), *[c for c in rows.columns if c not in (key, order)])
+    return rows.groupBy(key).agg(F.max(rest).alias("last")).select(key, "last.*").select(*rows.columns)
+
+
+def upsert(stored: DataFrame, new: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
+    """stored with the rows of new, which replace those of the same key; of repeated keys in new the latest stays."""
+    newest = latest(new, key, order)
+    return stored.join(newest.select(key), key, "left_anti").unionByName(newest)
 
 
 def fuse(runs: list[DataFrame], k: int = 5, constant: int = R.RRF_K) -> DataFrame:
@@ -120,12 +128,21 @@ def above(hits: DataFrame, least: float) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
 
 
-def search(docs: DataFrame, queries: DataFrame, strategy: str = "dense", k: int = 5, candidates: int = 15, least: float = 0.0) -> DataFrame:
-    """One of STRATEGIES over documents(doc_id, text) for queries(query_id, query)."""
+def search(
+    docs: DataFrame, queries: DataFrame, strategy: str = "dense", k: int = 5, candidates: int = 15, least: float = 0.0,
+    expand: bool = True, terms: DataFrame | None = None,
+) -> DataFrame:
+    """One of STRATEGIES over documents(doc_id, text) for queries(query_id, query).
+
+    With expand, what is searched is the query with typos corrected and the full forms of its acronyms, and for Arabic
+    queries the English of terms(term_ar, term_en) that stand in it.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}; there are {', '.join(STRATEGIES)}")
     if k < 1:
         raise ValueError("k is 1 or more")
+    if expand:
+        queries = terminology.with_terms(queries, terms).select("query_id", F.col("expanded").alias("query"))
     if strategy == "bm25":
         return bm25(docs, queries, k, least)
     if strategy == "dense":
@@ -139,10 +156,10 @@ def search(docs: DataFrame, queries: DataFrame, strategy: str = "dense", k: int
     return above(found, least)
 
 
-def search_questions(docs: DataFrame, queries: DataFrame, strategy: str = "hybrid_rerank", k: int = 5, each: int = 5, candidates: int = 20) -> DataFrame:
-    """query_id, doc_id, score and rank for queries(query_id, query): every question of a compound query is searched by itself, then all take turns."""
+def search_questions(docs: DataFrame, queries: DataFrame, strategy: str = "hybrid_rerank", k: int = 5, each: int = 5, candidates: int = 20, terms: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score and rank for queries(query_id, query): every question of a compound query is searched by itself (expanded), then all take turns."""
     asked = queries.select("query_id", F.posexplode(dialogue.sub_questions(F.coalesce("query", F.lit("")))).alias("question", "query"))
-    hits = search(docs, asked.select(F.struct("query_id", "question").alias("query_id"), "query"), strategy, each, candidates)
+    hits = search(docs, asked.select(F.struct("query_id", "question").alias("query_id"), "query"), strategy, each, candidates, terms=terms)
     return round_robin(hits.select("query_id.*", "doc_id", "score", "rank"), k)
 
 

@@ -10,9 +10,11 @@ from pyspark.sql.window import Window
 
 from tessera.functions import rulesets as R
 from tessera.functions import text as T
-from tessera.operators import chunking, cleaning, dialogue, evaluation, gates, grounding, retrieval
+from tessera.operators import chunking, cleaning, dialogue, evaluation, gates, grounding, inverted, retrieval, terminology, vectors
 from tessera.plans import answers, conversations, corpus, questions
 from tessera.sources import sessions, sinks
+from tessera.sources.collection import VectorCollection
+from tessera.sources.scratch import fresh_path
 from tessera.sources.tables import table
 from tessera.streaming import telemetry
 
@@ -157,6 +159,42 @@ def dense_threshold(spark, sf_dir):
     return retrieval.dense(*_vectors(spark, sf_dir), 10, 0.3)
 
 
+@_registered()
+def ann_topk(spark, sf_dir):
+    """The five nearest vectors of the stated queries in the cells that are probed; tests measure the recall."""
+    rows, asked = _vectors(spark, sf_dir)
+    return vectors.ann_topk(vectors.build_index(rows), asked)
+
+
+@_registered(f"WITH {_DENSE} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 5")
+def index_dense_topk(spark, sf_dir):
+    """The same, searched until no cell can hold a nearer one."""
+    rows, asked = _vectors(spark, sf_dir)
+    return vectors.ann_topk(vectors.build_index(rows), asked, surely=True)
+
+
+@_registered(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 5")
+def index_bm25_topk(spark, sf_dir):
+    """BM25 from a stored index of postings; the search doesn't read the documents."""
+    return inverted.bm25_topk(inverted.build_index(_documents(spark, sf_dir)), _items(spark, sf_dir))
+
+
+@_registered("""WITH stored AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 3 <> 0),
+new AS (SELECT vec_id, label + 100 * batch AS label, embedding, batch FROM embeddings, range(1, 3) AS r(batch) WHERE vec_id % 2 = 0),
+last AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY batch DESC) = 1)
+SELECT vec_id, label, len(embedding) AS dims FROM stored WHERE vec_id NOT IN (SELECT vec_id FROM last) UNION ALL SELECT vec_id, label, len(embedding) FROM last""")
+def vector_upsert(spark, sf_dir):
+    """Two batches over a collection, twice: the last row of a key wins, and a rerun changes nothing."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    batch = lambda n: rows.where("vec_id % 2 = 0").withColumn("label", F.col("label") + 100 * n).withColumn("batch", F.lit(n))
+    new = batch(1).unionByName(batch(2))
+    held = VectorCollection(spark, fresh_path(spark, "collection"), "vec_id", "batch")
+    held.upsert(rows.where("vec_id % 3 <> 0").withColumn("batch", F.lit(0)))
+    for _ in range(2):
+        held.upsert(new)
+    return held.read().select("vec_id", "label", F.size("embedding").cast("long").alias("dims"))
+
+
 def _ranked(asked: str, candidates: int) -> str:
     """The steps of _BM25 for asked(item_id, text) in place of the items, with another number of candidates."""
     steps = _BM25.replace("FROM benchmark)", "FROM asked)").replace("JOIN benchmark b", "JOIN asked b").replace("rank <= 15", f"rank <= {candidates}")
@@ -434,7 +472,7 @@ def term_mentions(spark, sf_dir):
     """Which words of the benchmark's texts stand anywhere in a user's message."""
     said = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("query_id", F.struct("conv_id", "turn"))
     words = _items(spark, sf_dir).select(F.explode(T.tokens(F.col("query"))).alias("term_ar")).distinct().withColumn("term_en", F.col("term_ar"))
-    found = questions.mentioned_terms(said.withColumnRenamed("text", "query"), words).groupBy("query_id").agg(F.array_sort(F.collect_list("term_ar")).alias("terms"))
+    found = terminology.mentioned_terms(said.withColumnRenamed("text", "query"), words).groupBy("query_id").agg(F.array_sort(F.collect_list("term_ar")).alias("terms"))
     terms = F.coalesce("terms", F.array().cast("array<string>"))
     return said.join(found, "query_id", "left").select("conv_id", "turn", F.size(terms).cast("long").alias("n_terms"), F.md5(F.array_join(terms, " ")).alias("terms_md5"))
 

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import terminology
 from tessera.plans import corpus, questions
 from tessera.sources import sinks
 
@@ -66,8 +67,12 @@ def test_terms_found_anywhere_in_a_query(spark):
     texts = [(1, "ما هو الربو والسعال والدم"), (2, "asthma ICS"), (3, None), (4, ""), (5, "رب")]
     queries = spark.createDataFrame(texts, "query_id long, query string")
     plain = {(i, a, e) for i, q in texts for a, e in (tuple(r) for r in terms.collect()) if q and len(a) >= 3 and a in q.lower()}
-    assert {tuple(r) for r in questions.mentioned_terms(queries, terms).collect()} == plain and plain
-    got = {r.query_id: r.expanded for r in questions.with_terms(queries, terms).collect()}
+    for most in (0, 1000):  # joined, and by the automaton
+        assert {tuple(r) for r in terminology.mentioned_terms(queries, terms, most).collect()} == plain and plain
+    assert terminology.mentioned_terms(queries, terms.limit(0)).count() == 0 and terminology.mentioned_terms(queries.limit(0), terms).count() == 0
+    told = {r.query_id: r for r in questions.clinical_terms(queries, terms).collect()}
+    assert told[1].mapped == ["asthma", "cough"] and told[2].mapped == [] and len(told) == len(texts)
+    got = {r.query_id: r.expanded for r in terminology.with_terms(queries, terms).collect()}
     assert got[1] == texts[0][1] + " asthma cough" and got[2].startswith("asthma ICS ") and got[3] is None and got[4] == ""
 
 
