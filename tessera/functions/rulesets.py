@@ -175,6 +175,11 @@ PATIENT_SPECIFIC = [
     r"\bfor\s+my\s+(asthma|symptoms)\b", r"\bin\s+my\s+case\b", r"طفلي|ابني|حالتي|أشعر",
 ]
 AGE_NEEDED = ["medication_or_dose_request", "general_medication_info"]
+AGE_NAMES = {
+    "under_6": ["under 6", "under-5", "infant", "toddler"],
+    "children_6_11": ["6-11", "6 to 11"],
+    "adults_adolescents": ["12+", "adult", "adolescent"],
+}
 CLASSIFIER_AGES = {
     "children_under_6": r"\b(toddler|infant|baby|[1-5]\s*(-|\s*to\s*)?(year|yr|yo|y/o)|under\s+6)\b",
     "children_6_11": r"\b(6|7|8|9|10|11)\s*(-|\s*to\s*)?(year|yr|yo|y/o)\b",
