@@ -10,12 +10,12 @@ from pyspark.sql.window import Window
 
 from tessera.functions import rulesets as R
 from tessera.functions import text as T
-from tessera.operators import chunking, cleaning, dialogue, evaluation, gates, grounding, inverted, retrieval, terminology, vectors
-from tessera.plans import answers, conversations, corpus, questions
+from tessera.operators import chunking, cleaning, dialogue, evaluation, gates, grounding, inverted, replies, retrieval, terminology, vectors
+from tessera.plans import answers, conversations, corpus, grid, questions
 from tessera.sources import sessions, sinks
 from tessera.sources.collection import VectorCollection
-from tessera.sources.scratch import fresh_path
-from tessera.sources.tables import table
+from tessera.sources.scratch import fresh_path, written_once
+from tessera.sources.tables import table, terminology as terminology_files
 from tessera.streaming import telemetry
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -761,6 +761,110 @@ def answers_gated(spark, sf_dir):
     return answers.answer(_items(spark, sf_dir), _documents(spark, sf_dir))
 
 
+def _cases(spark, sf_dir):
+    """Items as cases: all content words of an item are its keywords; every tenth is taken as out of scope."""
+    return _items(spark, sf_dir).select("query_id", "query", T.content_words(F.col("query")).alias("keywords"), (F.col("query_id") % 10 == 0).alias("out_of_scope"))
+
+
+_RUNS = """rr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, doc_id) AS rank FROM (
+  SELECT f.query_id, f.doc_id, f.rank AS before,
+    round(0.55::DOUBLE * len(list_intersect(list_distinct({tb}), list_distinct({td}))) / greatest(len(list_distinct({tb})), 1)
+      + 0.25::DOUBLE * greatest(0.0, least(1.0, f.score)) + CASE WHEN contains(lower(d.text), lower(trim(b.text))) THEN 0.35::DOUBLE ELSE 0 END, 6) AS score
+  FROM co f JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = f.query_id WHERE f.rank <= 15)),
+runs5 AS (SELECT 'dense' AS strategy, query_id, doc_id, rank FROM co WHERE rank <= 10 UNION ALL SELECT 'bm25', query_id, doc_id, rank FROM bm WHERE rank <= 10
+  UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM fr WHERE rank <= 10 UNION ALL SELECT 'rerank', query_id, doc_id, rank FROM rr WHERE rank <= 10
+  UNION ALL SELECT 'hybrid_rerank', query_id, doc_id, rank FROM hr WHERE rank <= 10)""".format(tb=_tok("b.text"), td=_tok("d.text"))
+_CASES = f"cases AS (SELECT item_id AS query_id, {_content('text')} AS kw, item_id % 10 = 0 AS oos FROM benchmark)"
+
+
+@_registered(f"""WITH {_BM25}, {_RUNS}, {_CASES},
+fl AS (SELECT strategy, query_id, rank, NOT oos AND len(list_filter(kw, lambda w: contains(lower(text), w))) >= greatest(1, least(2, len(kw))) AS relevant,
+  len(list_filter(kw, lambda w: contains(lower(text), w))) > 0 AS seen FROM runs5 JOIN documents USING (doc_id) JOIN cases USING (query_id)),
+pk AS (SELECT strategy, k, query_id, count(*) AS n, count(*) FILTER (relevant) AS good, min(rank) FILTER (relevant) AS first, bool_or(seen) AS seen FROM fl, (VALUES (3), (5), (10)) AS c(k) WHERE rank <= k GROUP BY ALL),
+pe AS (SELECT s.strategy, c.k, q.query_id, q.oos, CASE WHEN oos THEN 'OUT_OF_SCOPE' WHEN n IS NULL THEN 'EMBEDDING_FAILURE' WHEN good > 0 THEN 'NONE' WHEN NOT seen THEN 'VOCABULARY_MISMATCH' ELSE 'BAD_CHUNK_BOUNDARY' END AS class,
+  CASE WHEN NOT oos THEN coalesce(good / c.k, 0) END AS p, CASE WHEN NOT oos THEN coalesce(1 / first, 0) END AS r
+  FROM (SELECT DISTINCT strategy FROM runs5) s, (VALUES (3), (5), (10)) AS c(k), cases q LEFT JOIN pk ON pk.strategy = s.strategy AND pk.k = c.k AND pk.query_id = q.query_id),
+ta AS (SELECT strategy, k, string_agg(class || ':' || n, ',' ORDER BY class || ':' || n) AS failures FROM
+  (SELECT strategy, k, class, count(*) AS n FROM pe WHERE class <> 'NONE' GROUP BY GROUPING SETS ((strategy, k, class), (strategy, class))) GROUP BY strategy, k),
+me AS (SELECT strategy, k, round(coalesce(avg(p), 0), 4) AS precision, round(coalesce(avg(r), 0), 4) AS reciprocal_rank FROM pe GROUP BY GROUPING SETS ((strategy, k), (strategy)))
+SELECT me.strategy, me.k, precision, reciprocal_rank, coalesce(failures, '') AS failures FROM me LEFT JOIN ta ON me.strategy = ta.strategy AND me.k IS NOT DISTINCT FROM ta.k""")
+def strategy_grid(spark, sf_dir):
+    """Five strategies by three cut-offs with failures, and each strategy's totals; both legs are searched once."""
+    docs, cases = _documents(spark, sf_dir), _cases(spark, sf_dir)
+    asked = grid.expanded(cases.select("query_id", "query"))
+    runs = written_once(grid.hits(grid.legs(docs, asked), docs, asked), "runs")
+    return grid.measured(runs, docs, cases, ["strategy"])
+
+
+@_registered()
+def chunk_grid(spark, sf_dir):
+    """Two chunk configurations by five strategies by three cut-offs, over the chunks of all documents."""
+    return grid.over_chunks(_documents(spark, sf_dir), _cases(spark, sf_dir))
+
+
+@_registered()
+def layered_evaluation(spark, sf_dir):
+    """Five layers; those after the first read the documents without lines that recur, page numbers and the like."""
+    docs = _documents(spark, sf_dir)
+    lined = cleaning.page_lines(docs)
+    cleaned = cleaning.cleaned_pages(cleaning.classified(lined, cleaning.recurring_lines(lined, 0.04))).select(F.col("page").alias("doc_id"), F.col("cleaned_text").alias("text"))
+    return grid.layered(docs, _cases(spark, sf_dir), written_once(cleaned, "cleaned"))
+
+
+_TERM_ITEMS = "ti AS (SELECT item_id, coalesce(text, '') || ' ICS مصطلح' || item_id AS text FROM benchmark)"
+
+
+@_registered(f"""WITH {_TERM_ITEMS}, tt AS (SELECT 'مصطلح' || item_id AS ar, lower(trim({_tok('text')}[1])) AS en FROM benchmark WHERE len({_tok('text')}) > 0),
+ty AS (SELECT item_id, array_to_string(list_transform(string_split_regex(text, '\\s+'), lambda w: {_TYPO}), ' ') AS fixed, text FROM ti),
+tf0 AS (SELECT *, list_filter(list_transform({_tok('fixed')}, lambda w: {_FORM}), lambda x: x IS NOT NULL) AS forms FROM ty),
+tm AS (SELECT item_id, string_agg(DISTINCT en, ' ' ORDER BY en) AS mapped FROM ty JOIN tt ON contains(lower(ty.text), ar) GROUP BY item_id),
+asked AS (SELECT item_id, fixed || ' ' || array_to_string(forms, ' ') || coalesce(' ' || mapped, '') AS text FROM tf0 LEFT JOIN tm USING (item_id)),
+{_ranked("one AS (SELECT 1)", 15)} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 5""")
+def terminology_search(spark, sf_dir):
+    """Items with an acronym and an Arabic term behind them, expanded by a terminology that is read from JSON files."""
+    items = _items(spark, sf_dir)
+    first = F.get(T.tokens(F.col("query")), F.lit(0))
+    term = F.struct(first.alias("term_en"), F.concat(F.lit("مصطلح"), "query_id").alias("term_ar"), F.array().cast("array<string>").alias("synonyms_en"), F.array().cast("array<string>").alias("synonyms_ar"))
+    path = fresh_path(spark, "terms")
+    items.where(first.isNotNull()).select(F.array(term).alias("terms")).write.json(path)
+    asked = items.withColumn("query", F.concat(F.coalesce("query", F.lit("")), F.lit(" ICS مصطلح"), "query_id"))
+    return retrieval.search(_documents(spark, sf_dir), asked, "bm25", terms=terminology_files(spark, [path], whole_files=False)).select("query_id", "doc_id", "score", "rank")
+
+
+@_registered("""WITH d AS (SELECT doc_id, regexp_replace(substr(coalesce(text, ''), 1, 60), '[^A-Za-z0-9 ]', '', 'g') AS t, doc_id % 6 AS shape FROM documents)
+SELECT doc_id, CASE shape WHEN 5 THEN trim('plain ' || t) ELSE t END AS recommendation,
+CASE shape WHEN 0 THEN t WHEN 1 THEN CASE WHEN trim(t) = '' THEN '• b' ELSE '• ' || trim(t) || chr(10) || '• b' END WHEN 2 THEN t WHEN 3 THEN 'deep' WHEN 4 THEN 'in' ELSE '' END AS evidence,
+CASE shape WHEN 1 THEN 2 WHEN 5 THEN 0 ELSE 1 END AS n_citations, CASE WHEN shape = 5 THEN '' ELSE doc_id::VARCHAR END AS first_cited FROM d""")
+def parsed_replies(spark, sf_dir):
+    """Replies of six shapes built from the documents' first characters: whole, list, fenced object, nested, inside prose, no JSON."""
+    t = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 60), "[^A-Za-z0-9 ]", "")
+    cited = F.concat(F.lit('"citations": [{"claim": "c", "chunk_id": "'), F.col("doc_id").cast("string"), F.lit('"}'))
+    whole = lambda rec, ev, more="]": F.concat(F.lit('{"recommendation": '), rec, F.lit(', "supporting_evidence": '), ev, F.lit(", "), cited, F.lit(more + "}"))
+    text = F.concat(F.lit('"'), t, F.lit('"'))
+    inner = F.concat(F.lit('{"recommendation": "'), t, F.lit('", "supporting_evidence": "deep"}'))
+    nested = F.regexp_replace(inner, '"', '\\\\"')
+    shape = F.col("doc_id") % 6
+    reply = (
+        F.when(shape == 0, whole(text, text)).when(shape == 1, whole(text, F.concat(F.lit("["), text, F.lit(', " b ", ""]')), ', "no object", {"claim": "d"}]'))
+        .when(shape == 2, F.concat(F.lit("```json\n"), whole(text, F.concat(F.lit('{"text": '), text, F.lit("}"))), F.lit("\n```")))
+        .when(shape == 3, whole(F.concat(F.lit('"'), nested, F.lit('"')), F.lit('""')))
+        .when(shape == 4, F.concat(F.lit("Here it is: "), whole(text, F.lit('"{\\"supporting_evidence\\": \\"in\\"}"')), F.lit(" That is all.")))
+        .otherwise(F.concat(F.lit("plain "), t))
+    )
+    rows = _documents(spark, sf_dir).select("doc_id", replies.parsed(reply).alias("p"))
+    return rows.select(
+        "doc_id", "p.recommendation", F.col("p.supporting_evidence").alias("evidence"), F.size("p.citations").alias("n_citations"),
+        F.coalesce(F.get("p.citations", F.lit(0))["doc_id"], F.lit("")).alias("first_cited"),
+    )
+
+
+@_registered()
+def conversation_replies(spark, sf_dir):
+    """What every question of every user message is answered with the gate left open, with citations and whole prompts as digests."""
+    found = conversations.ask(table(spark, sf_dir, "conversations"), _documents(spark, sf_dir), gated=False)
+    return found.select("conv_id", "turn", "part", "question", "status", "confidence", "n_evidence", "n_verified", "note", F.sha2("recommendation", 256).alias("reply_sha256"))
+
+
 # --- telemetry ------------------------------------------------------------------------------------
 
 

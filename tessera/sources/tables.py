@@ -21,16 +21,20 @@ def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CASES).json(path, multiLine=True)
 
 
-def terminology(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(term_ar, term_en) in lower case; Arabic entries are split at slashes; of a repeated term the last file's counts."""
+def terminology(spark: SparkSession, paths: list[str], whole_files: bool = True) -> DataFrame:
+    """(term_ar, term_en) in lower case; Arabic entries and synonyms are split at slashes; of a repeated term the last file's counts.
+
+    A file is one JSON object, or one a line where whole_files is false.
+    """
     found = None
+    arabic = F.concat(F.array("t.term_ar"), F.coalesce("t.synonyms_ar", F.array().cast("array<string>")))
     for number, path in enumerate(paths):
-        rows = spark.read.schema(TERMS).json(path, multiLine=True).select(F.posexplode("terms").alias("pos", "t"))
-        rows = rows.select(F.lit(number).alias("file"), "pos", F.lower(F.trim("t.term_en")).alias("term_en"), F.explode(F.split("t.term_ar", "/")).alias("term_ar"))
+        rows = spark.read.schema(TERMS).json(path, multiLine=whole_files).select(F.posexplode("terms").alias("pos", "t"))
+        rows = rows.select(F.lit(number).alias("file"), "pos", F.lower(F.trim("t.term_en")).alias("term_en"), F.explode(F.flatten(F.transform(arabic, lambda a: F.split(a, "/")))).alias("term_ar"))
         found = rows if found is None else found.unionByName(rows)
     latest = Window.partitionBy("term_ar").orderBy(F.desc("file"), F.desc("pos"))
     rows = found.withColumn("term_ar", F.lower(F.trim("term_ar"))).withColumn("nth", F.row_number().over(latest))
-    return rows.where("nth = 1 AND term_ar <> ''").select("term_ar", "term_en")
+    return rows.where("nth = 1 AND term_ar <> '' AND term_en <> ''").select("term_ar", "term_en")
 
 
 def pages(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]]) -> DataFrame:
