@@ -260,13 +260,13 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of wanted(node, seen)."""
+    """(node, shingles) of wanted(node, seen): one set for a node, however many rows have its text."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"node": batch["node"], "shingles": [np.unique(_hashes(_parts(t), words)).view(np.int64) for t in batch["text"]]})
 
-    rows = docs.select("text", F.xxhash64("text").alias("seen")).join(wanted, "seen").select("node", "text")
+    rows = docs.select("text", F.xxhash64("text").alias("seen")).join(wanted, "seen").groupBy("node").agg(F.min("text").alias("text"))
     return rows.mapInPandas(work, "node long, shingles array<long>")
 
 
