@@ -40,6 +40,49 @@ def test_toxicity_learns_held_out(spark):
     assert toxicity.toxicity(docs.limit(0), model).count() == 0
 
 
+def test_scores_equal_a_plain_forward_pass(spark):
+    """Every window of every width, word by word and filter by filter."""
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["bad", "worse", "fine", "good", "baddest", "finery", "x"]) for _ in range(rnd.randrange(12))) for _ in range(120)]
+    model = toxicity.TextCNN(epochs=2)
+    model.fit(texts, [int("bad" in t.split()) for t in texts])
+    row = {int(p): model.table[i] for i, p in enumerate(model.parts)}
+
+    def plain(text):
+        vectors = []
+        for w in toxicity.words_of(text):
+            v = np.zeros(model.width, np.float64)
+            for p in toxicity.parts_of(w):
+                v += row.get(p, 0)
+            vectors.append(v)
+        pooled, column = [], 0
+        for s, span in enumerate(model.spans):
+            pad = max(model.spans) - 1
+            tops = [-math.inf] * model.filters
+            for start in range(-pad, len(vectors) + pad - span + 1):
+                for f in range(model.filters):
+                    total = 0.0
+                    for shift in range(span):
+                        if 0 <= start + shift < len(vectors):
+                            total += float(vectors[start + shift] @ model.kernels[:, column + shift * model.filters + f])
+                    tops[f] = max(tops[f], total)
+            pooled += [max(0.0, t + model.bias[s][f]) for f, t in enumerate(tops)]
+            column += span * model.filters
+        return 1 / (1 + math.exp(-(sum(h * o for h, o in zip(pooled, model.out[:-1])) + model.out[-1])))
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None, "bad " * 5000 + "unknownword"])], "doc_id long, text string")
+    for r in toxicity.toxicity(docs, model).collect():
+        text = [*texts, "", None, "bad " * 5000 + "unknownword"][r.doc_id]
+        assert math.isclose(r.score, plain(text), rel_tol=1e-4, abs_tol=1e-5)
+
+
+def test_a_repeated_id_reaches_the_driver_once(spark):
+    rows = [(1, f"bad text {k}") for k in range(200)] + [(i, "fine words") for i in range(2, 60)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i == 1)) for i in range(1, 60)], "doc_id long, toxic int")
+    model = toxicity.train(docs.withColumn("lang", F.lit(None).cast("string")), marks, 50, epochs=1)
+    assert toxicity.toxicity(docs, model).count() == len(rows)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -212,6 +255,32 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def plain_best_fit(sizes, sources, clusters, capacity, per_source):
+    """Every item looks at every bin: the tightest one that has room and holds neither its cluster nor too many of its source."""
+    bins, placed = [], []
+    for size, source, cluster in zip(sizes, sources, clusters):
+        fits = [
+            (capacity - sum(sizes[i] for i in held), b) for b, held in enumerate(bins)
+            if capacity - sum(sizes[i] for i in held) >= size and all(clusters[i] != cluster for i in held) and sum(sources[i] == source for i in held) < per_source
+        ]
+        b = min(fits)[1] if fits else len(bins)
+        if b == len(bins):
+            bins.append([])
+        bins[b].append(len(placed))
+        placed.append(b)
+    return placed
+
+
+@pytest.mark.parametrize("per_source", [1, 2, 4])
+def test_blocks_equal_a_plain_best_fit(per_source):
+    rnd = random.Random(per_source)
+    for _ in range(60):
+        n = rnd.randrange(1, 90)
+        sizes = sorted((rnd.choice([0, 1, rnd.randrange(1, 100), 100]) for _ in range(n)), reverse=rnd.random() < 0.5)
+        sources, clusters = [rnd.choice([0, 0, 0, rnd.randrange(9)]) for _ in range(n)], [rnd.choice([rnd.randrange(4), 10 + i]) for i in range(n)]
+        assert packing.pack_block(sizes, sources, clusters, 100, per_source) == plain_best_fit(sizes, sources, clusters, 100, per_source)
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     # rooms after 60 and 50: 40 and 50; the third fits 40 best, the fourth (same cluster as the first) has to take the other
     assert packing.pack_block([60, 50, 40, 35], [0, 1, 2, 3], [0, 1, 2, 3], 100, 1) == [0, 1, 0, 1]

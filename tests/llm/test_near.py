@@ -258,6 +258,17 @@ def test_groups_of_a_similarity(spark, bucket):
     assert simhash.keep_first_similar(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_have_one_set(spark):
+    """400 rows of two alike texts: two nodes, two sets, one pair."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"])]
+    docs = spark.createDataFrame([(i, texts[i % 2]) for i in range(400)], "doc_id long, text string")
+    prints = simhash._described(docs, 5)
+    nodes = prints.groupBy("node").agg(F.min("seen").alias("seen"))
+    assert simhash._sets(docs, nodes, 5).count() == 2
+    assert [r.doc_id for r in simhash.keep_first_similar(docs).collect()] == [0]
+
+
 def test_wide_distance_estimates_similarity():
     rnd = random.Random(1)
     text = [str(rnd.random()) for _ in range(3000)]
