@@ -15,7 +15,9 @@ from tessera.plans import answers, conversations, corpus, grid, questions
 from tessera.sources import sessions, sinks
 from tessera.sources.collection import VectorCollection
 from tessera.sources.scratch import fresh_path, written_once
-from tessera.sources.tables import table, terminology as terminology_files
+from tessera.sources.tables import ENTITIES, table, web_pages
+from tessera.sources.tables import terminology as terminology_files
+from tessera.streaming import conversations as streamed
 from tessera.streaming import telemetry
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -858,6 +860,30 @@ def parsed_replies(spark, sf_dir):
     )
 
 
+_UNTAGGED = r"""regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>', '', 'g'),
+  '(?i)<(?:br|/p|/h[1-6]|/li|/div|/tr|/title|/td)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"""
+_NAMED = _UNTAGGED
+for _name, _sign in ENTITIES:
+    _NAMED = f"replace({_NAMED}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
+_WEB = f"""w AS (SELECT lower(regexp_extract(coalesce(url, ''), '^[A-Za-z]+://([^/?#]+)', 1)) AS document, page_id AS page, regexp_replace({_NAMED}, '[ \\t]*\\n[ \\t\\n]*', chr(10), 'g') AS text FROM pages)"""
+
+
+@_registered(f"WITH {_WEB} SELECT document, page, len(string_split(text, chr(10))) AS n_lines, length(text) AS n_chars, sha256(text) AS text_sha256 FROM w")
+def web_page_texts(spark, sf_dir):
+    """What every web page shows, by host."""
+    rows = web_pages(table(spark, sf_dir, "pages"))
+    return rows.select("document", "page", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@_registered("""SELECT conv_id, turn, role, len(h) AS n_history, array_to_string(h, '|') AS roles FROM (
+SELECT conv_id, turn, role, coalesce(list(role || turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), []) AS h FROM conversations)""")
+def history_stream(spark, sf_dir):
+    """The histories of all turns, taken as a stream with state."""
+    rows = streamed.run_histories(spark, f"{sf_dir}/conversations.parquet")
+    roles = F.array_join(F.transform("history", lambda m: F.concat(m["role"], m["seq"].cast("string"))), "|")
+    return rows.select("conv_id", "turn", "role", F.size("history").cast("long").alias("n_history"), roles.alias("roles"))
+
+
 @_registered()
 def conversation_replies(spark, sf_dir):
     """What every question of every user message is answered with the gate left open, with citations and whole prompts as digests."""
