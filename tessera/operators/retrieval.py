@@ -156,10 +156,10 @@ def search(
     return above(found, least)
 
 
-def search_questions(docs: DataFrame, queries: DataFrame, strategy: str = "hybrid_rerank", k: int = 5, each: int = 5, candidates: int = 20, terms: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, score and rank for queries(query_id, query): every question of a compound query is searched by itself (expanded), then all take turns."""
+def search_questions(docs: DataFrame, queries: DataFrame, strategy: str = "hybrid_rerank", k: int = 5, each: int = 5, candidates: int = 20, expand: bool = True, terms: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score and rank for queries(query_id, query): every question of a compound query is searched by itself, then all take turns."""
     asked = queries.select("query_id", F.posexplode(dialogue.sub_questions(F.coalesce("query", F.lit("")))).alias("question", "query"))
-    hits = search(docs, asked.select(F.struct("query_id", "question").alias("query_id"), "query"), strategy, each, candidates, terms=terms)
+    hits = search(docs, asked.select(F.struct("query_id", "question").alias("query_id"), "query"), strategy, each, candidates, expand=expand, terms=terms)
     return round_robin(hits.select("query_id.*", "doc_id", "score", "rank"), k)
 
 

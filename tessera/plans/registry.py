@@ -121,22 +121,22 @@ def term_df(spark, sf_dir):
 
 @_registered(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 5")
 def bm25_topk(spark, sf_dir):
-    return retrieval.search(_documents(spark, sf_dir), _items(spark, sf_dir), "bm25").select("query_id", "doc_id", "score", "rank")
+    return retrieval.search(_documents(spark, sf_dir), _items(spark, sf_dir), "bm25", expand=False).select("query_id", "doc_id", "score", "rank")
 
 
 @_registered(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM co WHERE rank <= 5")
 def cosine_topk(spark, sf_dir):
-    return retrieval.search(_documents(spark, sf_dir), _items(spark, sf_dir), "dense")
+    return retrieval.search(_documents(spark, sf_dir), _items(spark, sf_dir), "dense", expand=False)
 
 
 @_registered(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM fr WHERE rank <= 5")
 def hybrid_topk(spark, sf_dir):
-    return retrieval.search(_documents(spark, sf_dir), _items(spark, sf_dir), "hybrid").select("query_id", "doc_id", "score", "rank")
+    return retrieval.search(_documents(spark, sf_dir), _items(spark, sf_dir), "hybrid", expand=False).select("query_id", "doc_id", "score", "rank")
 
 
 @_registered(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM hr WHERE rank <= 5")
 def hybrid_rerank_topk(spark, sf_dir):
-    return retrieval.search(_documents(spark, sf_dir), _items(spark, sf_dir), "hybrid_rerank").select("query_id", "doc_id", "score", "rank")
+    return retrieval.search(_documents(spark, sf_dir), _items(spark, sf_dir), "hybrid_rerank", expand=False).select("query_id", "doc_id", "score", "rank")
 
 
 _DENSE = """
@@ -233,7 +233,7 @@ o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id, doc_id O
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, question, doc_id) AS position FROM o)
 SELECT query_id, doc_id, score, position AS rank FROM n WHERE position <= 5""")
 def multi_question_topk(spark, sf_dir):
-    return retrieval.search_questions(_documents(spark, sf_dir), _items(spark, sf_dir))
+    return retrieval.search_questions(_documents(spark, sf_dir), _items(spark, sf_dir), expand=False)
 
 
 @_registered("SELECT count(*) AS n FROM embeddings")
@@ -617,7 +617,7 @@ CASE WHEN {_any('b.text', R.PATIENT_SCENARIO)} THEN 'patient_specific' WHEN top
 FROM t JOIN benchmark b ON b.item_id = query_id""")
 def confidence_and_refusal(spark, sf_dir):
     items = _items(spark, sf_dir)
-    hits = retrieval.search(_documents(spark, sf_dir), items, "hybrid_rerank")
+    hits = retrieval.search(_documents(spark, sf_dir), items, "hybrid_rerank", expand=False)
     top = hits.groupBy("query_id").agg(F.max("score").alias("top"), F.count("*").alias("n")).join(items, "query_id")
     return top.select("query_id", "top", grounding.confidence(F.col("top")).alias("confidence"), grounding.refused(F.col("query"), F.col("top"), F.col("n")).alias("refusal"))
 
@@ -627,7 +627,7 @@ SELECT query_id, doc_id, score, rank FROM h JOIN benchmark b ON b.item_id = quer
 AND NOT (contains(lower(b.text), 'symptom') AND contains(lower(d.text), 'bronchiolitis') AND NOT contains(lower(b.text), 'bronchiolitis'))""")
 def evidence_block(spark, sf_dir):
     docs, items = _documents(spark, sf_dir), _items(spark, sf_dir)
-    hits = retrieval.search(docs, items, "hybrid_rerank").join(docs.select("doc_id", "text"), "doc_id").join(items, "query_id")
+    hits = retrieval.search(docs, items, "hybrid_rerank", expand=False).join(docs.select("doc_id", "text"), "doc_id").join(items, "query_id")
     return grounding.evidence(hits).select("query_id", "doc_id", "score", "rank")
 
 
@@ -687,7 +687,7 @@ def strategy_deltas(spark, sf_dir):
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(1))
     runs = None
     for pos, name in enumerate(("bm25", "dense", "hybrid", "hybrid_rerank")):
-        run = retrieval.search(docs, items, name).select(F.lit(name).alias("configuration"), F.lit(pos).alias("pos"), "doc_id")
+        run = retrieval.search(docs, items, name, expand=False).select(F.lit(name).alias("configuration"), F.lit(pos).alias("pos"), "doc_id")
         runs = run if runs is None else runs.unionByName(run)
     n = items.agg(F.count("*").alias("n"))
     per = runs.join(good, "doc_id", "left").groupBy("configuration", "pos").agg(F.count("good").alias("hits")).crossJoin(n)
@@ -711,7 +711,7 @@ def benchmark_matrix(spark, sf_dir):
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(1))
     runs = None
     for name in ("bm25", "dense", "hybrid"):
-        run = retrieval.search(docs, items, name, 10).select(F.lit(name).alias("configuration"), "query_id", "doc_id", "rank")
+        run = retrieval.search(docs, items, name, 10, expand=False).select(F.lit(name).alias("configuration"), "query_id", "doc_id", "rank")
         runs = run if runs is None else runs.unionByName(run)
     cuts = runs.select("*", F.explode(F.array(*map(F.lit, (3, 5, 10)))).alias("k")).where(F.col("rank") <= F.col("k")).join(good, "doc_id", "left")
     per = cuts.groupBy("configuration", "k", "query_id").agg(
@@ -793,7 +793,7 @@ SELECT me.strategy, me.k, precision, reciprocal_rank, coalesce(failures, '') AS
 def strategy_grid(spark, sf_dir):
     """Five strategies by three cut-offs with failures, and each strategy's totals; both legs are searched once."""
     docs, cases = _documents(spark, sf_dir), _cases(spark, sf_dir)
-    asked = grid.expanded(cases.select("query_id", "query"))
+    asked = cases.select("query_id", "query")
     runs = written_once(grid.hits(grid.legs(docs, asked), docs, asked), "runs")
     return grid.measured(runs, docs, cases, ["strategy"])
 
