@@ -6,15 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import inverted, retrieval, vectors
-from tessera.plans import registry
 from tessera.sources.collection import VectorCollection
 
 
-@pytest.mark.parametrize("name", ["index_dense_topk", "index_bm25_topk", "vector_upsert"])
-def test_query_equals_sql(same, name):
-    same(registry.queries()[name], registry.oracle_sql()[name])
-
-
 def ranked(df):
     return sorted(map(tuple, df.select("query_id", "doc_id", "score", "rank").collect()))
 

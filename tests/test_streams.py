@@ -1,17 +1,9 @@
 """Streams with state, scanned files and web pages."""
 
-import pytest
-
-from tessera.plans import registry
 from tessera.sources import tables
 from tessera.streaming import conversations
 
 
-@pytest.mark.parametrize("name", ["history_stream", "web_page_texts"])
-def test_query_equals_sql(same, name):
-    same(registry.queries()[name], registry.oracle_sql()[name])
-
-
 def test_late_turns_find_their_place(spark, tmp_path):
     """Two batches: the second brings a turn that belongs before one that was already given out."""
     columns = "conv_id long, turn long, role string, text string"
