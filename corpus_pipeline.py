@@ -13,6 +13,8 @@ from tessera.llm.common import documents, materialise
 
 #: Near duplicates: words of a shingle, and the similarity from which documents are of one group.
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+#: Discount of disclosing words: at 1 what a single text shows proves nothing, so that rare words of clean prose stay.
+ONE_TEXT = 1.0
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def take_out_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the words that disclose it are replaced in the texts."""
-    return pii.sanitise(docs)
+    return pii.sanitise(docs, discount=ONE_TEXT)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
