@@ -270,18 +270,34 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return rows.mapInPandas(work, "node long, shingles array<long>")
 
 
-def _apart(x: str, y: str) -> Column:
-    """Differing bits of two wide fingerprints."""
-    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(LANES)), F.lit(0))
+def _apart(x: str, y: str, lanes: Iterable[int] = range(LANES)) -> Column:
+    """Differing bits of two wide fingerprints, in the lanes."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in lanes), F.lit(0))
+
+
+def _within(x: str, y: str, reach: int) -> Column:
+    """Whether two wide fingerprints differ in at most `reach` bits, with the lanes as the ring's segments.
+
+    Some lane begins only chains within their share of the reach; a pair without such a lane is ruled out by
+    single lanes and short chains, mostly by the first ones. The whole ring is the longest chain.
+    """
+    found = F.lit(False)
+    for start in range(LANES):
+        passes = F.lit(True)
+        for length in range(1, LANES + 1):
+            passes = passes & (_apart(x, y, [i % LANES for i in range(start, start + length)]) <= length * reach // LANES)
+        found = found | passes
+    return found
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, bucket: int = BUCKET, tile: int = 1024) -> DataFrame:
-    """Links (a, b) that connect all nodes of the similarity or more; every one is checked on the two shingle sets.
+    """Links (a, b) that connect all nodes of the similarity or more and no others; what they rest on is checked on the two shingle sets.
 
     nodes(node, seen, size, fp, keys). Candidates have a key in common. Each node of a key is first compared with the
     least one, then with the nearest that isn't connected to it yet, and then with all that still aren't: what is
-    connected needs no comparison, so large groups don't cost all their pairs. Keys of more than `bucket` nodes are
-    cut into tiles of `tile` by `tile`. Fingerprints only rule out pairs four deviations beyond the similarity.
+    connected needs no comparison, so large groups don't cost all their pairs. Of the keys that two nodes share only the
+    first makes them a candidate. Keys of more than `bucket` nodes are cut into tiles of `tile` by `tile`. Fingerprints
+    only rule out pairs four deviations beyond the similarity.
     """
     keys = nodes.select("node", F.posexplode("keys").alias("turn", "head"))
     shared = keys.groupBy("turn", "head").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
@@ -292,7 +308,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: flo
 
     def near() -> Column:
         shorter, longer = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-        return (shorter / longer >= similarity) & (_apart("x.fp", "y.fp") <= reach)
+        return (shorter / longer >= similarity) & _within("x.fp", "y.fp", reach)
 
     def checked(pairs: DataFrame, label: str) -> DataFrame:
         x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
@@ -300,30 +316,48 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: flo
         alike = F.col("common") / (F.size("sa") + F.size("sb") - F.col("common")) >= similarity
         return materialise(both.where(alike).select("a", "b").distinct(), label)
 
-    def open_pairs(links: DataFrame) -> DataFrame:
-        """Candidates (a, b, apart) that the links don't connect."""
-        parts = connected_components(links)
+    def open_nodes(parts: DataFrame) -> DataFrame:
+        """The nodes of every key that parts(node, component) don't connect, with the tiles that they belong to."""
         placed = shared.drop("centre").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
         mixed = placed.groupBy("turn", "head").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("turn", "head")
-        rest = placed.join(mixed, ["turn", "head"]).join(slim, "node")
+        rest = placed.join(mixed, ["turn", "head"]).join(nodes.select("node", "size", "fp", "keys"), "node")
         tiles = F.when(F.col("n") > bucket, F.ceil(F.col("n") / tile)).otherwise(1).cast("int")
         rest = rest.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         rest = rest.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-        rest = materialise(rest.select("turn", "head", "low", "high", "node", "part", "size", "fp"), "rest")
+        earlier = F.slice("keys", F.lit(1), F.col("turn")).alias("earlier")
+        return materialise(rest.select("turn", "head", "low", "high", "own", "node", "part", "size", "fp", earlier), "rest")
+
+    def candidates(rest: DataFrame) -> DataFrame:
+        """(a, b, apart) of open_nodes(), each pair once: at the first key that it shares, and of one tile in that tile alone."""
         x, y = rest.alias("x"), rest.alias("y")
         same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("turn", "head", "low", "high")]
         other = (F.col("x.part") != F.col("y.part")) & (F.col("x.node") < F.col("y.node"))
-        found = x.join(y, same[0] & same[1] & same[2] & same[3] & other & near())
+        first = ~F.exists(F.zip_with("x.earlier", "y.earlier", lambda p, q: p == q), lambda hit: hit)
+        once = (F.col("x.own") != F.col("y.own")) | (F.col("x.low") == F.col("x.high"))
+        found = x.join(y, same[0] & same[1] & same[2] & same[3] & other & once & near() & first)
         return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), _apart("x.fp", "y.fp").alias("apart"))
 
+    def as_links(parts: DataFrame) -> DataFrame:
+        return parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
     stars = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     x, y = slim.alias("x"), slim.alias("y")
     stars = stars.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(near()).select("a", "b")
     links = checked(stars, "stars")
-    nearest = open_pairs(links).groupBy("a").agg(F.min_by("b", "apart").alias("b"))
-    links = links.unionByName(checked(nearest, "nearest"))
-    links = links.unionByName(checked(open_pairs(links).select("a", "b").distinct(), "others"))
+    parts = connected_components(links)
+    forget(links)
+    for label, chosen in (
+        ("nearest", lambda pairs: pairs.groupBy("a").agg(F.min_by("b", "apart").alias("b"))),
+        ("others", lambda pairs: pairs.select("a", "b").distinct()),
+    ):
+        rest = open_nodes(parts)
+        found = checked(chosen(candidates(rest)), label)
+        forget(rest)
+        links = as_links(parts).unionByName(found)  # what is connected already comes as stars, not as all its links
+        if label == "nearest":
+            parts = connected_components(links)
+            forget(found)
     forget(shared)
     forget(sets)
     return links
