@@ -299,3 +299,5 @@ PROMPT_HISTORY = "RECENT CONVERSATION HISTORY:\n"
 PROMPT_EVIDENCE = "EVIDENCE CHUNKS:\n"
 PROMPT_QUESTION = "\n\nCLINICAL QUESTION:\n"
 PROMPT_END = "\n\nAnswer using ONLY the evidence above. Follow the JSON structure exactly."
+#: Where a typed text begins a numbered item, and the number itself.
+TYPED_ITEM, TYPED_NUMBER = r"(?U)\s+(?=\d+[.)]\s)", r"(?U)^\d+[.)]\s*"

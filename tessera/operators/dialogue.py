@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import rulesets as R
-from tessera.functions.text import contains_any, language, matches_any, stripped, tokens, word_count
+from tessera.functions.text import contains_any, language, lines, matches_any, stripped, tokens, word_count
 
 
 def history(turns: DataFrame, last: int = 8, conv: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -140,3 +140,19 @@ def listed_questions(query: Column) -> Column:
         F.when(q == "", F.array().cast("array<string>")).when(F.size(items) > 1, items).when(several & (F.size(marked) > 1), marked)
         .when(F.size(clauses) > 1, clauses).otherwise(F.array(q))
     )
+
+
+def typed_questions(query: Column) -> Column:
+    """Questions of a typed text: numbered items, or else several question marks, or else lines; one that doesn't split is its only question.
+
+    Unlike listed_questions it takes no clauses apart, and only the Latin question mark counts. Null and blank have none.
+    """
+    q = stripped(F.coalesce(query, F.lit("")))
+    filled = lambda parts: F.filter(F.transform(parts, stripped), lambda s: s != "")
+    items = F.transform(filled(F.split(q, R.TYPED_ITEM)), lambda s: stripped(F.regexp_replace(s, R.TYPED_NUMBER, "")))
+    asked = F.transform(filled(F.split(q, r"[?]")), lambda s: F.concat(s, F.lit("?")))
+    rows = filled(lines(q))
+    return (
+        F.when(q == "", F.array().cast("array<string>")).when(F.size(items) > 1, items)
+        .when((F.regexp_count(q, F.lit(r"[?]")) > 1) & (F.size(asked) > 1), asked).when(F.size(rows) > 1, rows).otherwise(F.array(q))
+    )

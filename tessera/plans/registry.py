@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tessera.functions import rulesets as R
 from tessera.functions import text as T
 from tessera.operators import chunking, cleaning, dialogue, evaluation, gates, grounding, inverted, replies, retrieval, terminology, vectors
-from tessera.plans import answers, conversations, corpus, grid, questions
+from tessera.plans import answers, conversations, corpus, evaluation_run, grid, questions
 from tessera.sources import sessions, sinks
 from tessera.sources.collection import VectorCollection
 from tessera.sources.scratch import fresh_path, written_once
@@ -813,6 +813,36 @@ def layered_evaluation(spark, sf_dir):
     return grid.layered(docs, _cases(spark, sf_dir), written_once(cleaned, "cleaned"))
 
 
+@_registered(f"""WITH {_BM25}, {_CASES},
+h AS (SELECT c.query_id, co.rank, d.text, oos, len(kw) > 0 AND len(list_filter(kw, lambda w: contains(lower(d.text), w))) >= greatest(1, least(2, len(kw))) AS relevant,
+  list_distinct(string_split_regex(lower(d.text), '[^\\p{{L}}\\p{{N}}_]+')) AS t FROM cases c JOIN co USING (query_id) JOIN documents d USING (doc_id) WHERE co.rank <= 5),
+g AS (SELECT query_id, count(*) AS n, count(*) FILTER (relevant AND rank <= 3) AS n3, count(*) FILTER (relevant) AS n5, arg_min(length(text), rank) FILTER (relevant) AS first FROM h GROUP BY ALL),
+w AS (SELECT DISTINCT a.query_id FROM h a JOIN h b ON a.query_id = b.query_id AND a.rank > b.rank WHERE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) > 0.9)
+SELECT c.query_id, CASE WHEN oos AND n IS NULL THEN 'REFUSED' ELSE 'PROCESSED' END AS status,
+  round(CASE WHEN NOT oos THEN coalesce(n3 / 3, 0) WHEN n IS NULL THEN 1 ELSE 0 END, 4) AS precision_3, round(CASE WHEN NOT oos THEN coalesce(n5 / 5, 0) WHEN n IS NULL THEN 1 ELSE 0 END, 4) AS precision_5,
+  coalesce(n, 0) AS n_hits, CASE WHEN oos THEN CASE WHEN n IS NULL THEN '' ELSE 'unrefused_out_of_scope' END
+  ELSE array_to_string(list_filter([CASE WHEN coalesce(n5, 0) = 0 THEN 'wrong_topic' END, CASE WHEN w.query_id IS NOT NULL THEN 'duplicate_chunks' END, CASE WHEN n5 > 0 AND first < 120 THEN 'missing_context' END], lambda x: x IS NOT NULL), ',') END AS modes
+FROM cases c LEFT JOIN g ON g.query_id = c.query_id LEFT JOIN w ON w.query_id = c.query_id""")
+def evaluation_cases(spark, sf_dir):
+    """The evaluation run over all items as cases: precision, status and what went wrong for each."""
+    rows = evaluation_run.evaluated(_documents(spark, sf_dir), _cases(spark, sf_dir), expand=False)
+    return rows.select("query_id", "status", "precision_3", "precision_5", "n_hits", F.array_join("modes", ",").alias("modes"))
+
+
+_CUT = "(\\s+)(\\d+[.)][\\s\\x01])"
+
+
+@_registered(f"""WITH {_TEXTS}, q AS (SELECT kind, id, {_STRIP('text')} AS q FROM x WHERE kind <> 'doc'),
+s AS (SELECT *, list_transform(list_filter(list_transform(string_split(regexp_replace(regexp_replace(q, '{_CUT}', chr(1) || '\\2', 'g'), '{_CUT}', chr(1) || '\\2', 'g'), chr(1)), lambda p: {_STRIP('p')}), lambda p: p <> ''), lambda p: {_STRIP("regexp_replace(p, '^[0-9]+[.)]', '')")}) AS items,
+  list_transform(list_filter(list_transform(string_split(q, '?'), lambda p: {_STRIP('p')}), lambda p: p <> ''), lambda p: p || '?') AS asked,
+  list_filter(list_transform(string_split_regex(q, '[\\n\\r]'), lambda p: {_STRIP('p')}), lambda p: p <> '') AS rows FROM q WHERE q <> ''),
+c AS (SELECT kind, id, CASE WHEN len(items) > 1 THEN items WHEN len(q) - len(replace(q, '?', '')) > 1 AND len(asked) > 1 THEN asked WHEN len(rows) > 1 THEN rows ELSE [q] END AS found FROM s)
+SELECT kind, id, unnest(range(len(found))) AS question, unnest(found) AS query FROM c""")
+def typed_questions(spark, sf_dir):
+    """Items and messages split as typed texts are."""
+    rows = _texts(spark, sf_dir).where("kind <> 'doc'")
+    return rows.select("kind", "id", F.posexplode(dialogue.typed_questions(F.col("text"))).alias("question", "query")).withColumn("question", F.col("question").cast("long"))
+
 _TERM_ITEMS = "ti AS (SELECT item_id, coalesce(text, '') || ' ICS مصطلح' || item_id AS text FROM benchmark)"
 
 

@@ -201,3 +201,19 @@ def test_canonical_questions(spark):
     got = [r[0] for r in df.select(dialogue.canonical(F.col("q"), F.col("h"))).collect()]
     assert got[:4] == ["What are the symptoms of asthma?", "", "", "Is there anything on treatment that lasts"]
     assert "paediatric asthma" in got[4] and got[5] == "How is paediatric asthma treated?"
+
+
+def test_typed_texts_with_slots(spark):
+    docs = spark.createDataFrame([(1, "An inhaled controller is given daily for asthma in children."), (2, "Spirometry is the test for asthma diagnosis.")], "doc_id long, text string")
+    rows = [
+        ("a", "1. Which controller for asthma?\n2. Which test for asthma?", {"diagnosed": "yes", "age_band": "under_6"}), ("b", "what is the price of bitcoin", None),
+        ("c", None, {}), ("d", "asthma", {"age_band": None, "other": ""}),
+    ]
+    queries = spark.createDataFrame(rows, "query_id string, query string, slots map<string,string>")
+    got = {(r.query_id, r.part): r for r in answers.answer_typed(queries, docs).collect()}
+    assert set(got) == {("a", 0), ("a", 1), ("b", 0), ("c", 0), ("d", 0)}
+    assert got["a", 0].question == "Which controller for asthma?"
+    assert got["a", 1].question == "Which test for asthma? [diagnosed: yes] [2-year-old child under 6, under-5 age band, children under 6]"
+    assert got["b", 0].status == "REFUSAL" and got["b", 0].question == rows[1][1] and got["b", 0].asks == []
+    assert "CLARIFY" not in {r.status for r in got.values()} and not {"diagnosed", "age_group"} & set(got["a", 0].asks)
+    assert got["d", 0].question == "asthma" and answers.answer_typed(queries.drop("slots").limit(0), docs).count() == 0
