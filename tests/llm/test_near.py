@@ -314,3 +314,22 @@ def test_similar_groups_equal_brute_force(spark, bucket):
                 first = [a if f == b else f for f in first]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_first_similar(docs, bucket=bucket).collect()} == set(first)
+
+
+def test_tiles_lose_no_link_and_candidates_come_once(spark):
+    """Keys cut into tiles of 3 connect the same nodes as whole keys, with texts just over and under the similarity in each key."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(14):
+        copy = list(base)
+        for at in rnd.sample(range(200), 5):
+            copy[at] = f"x{rnd.random()}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = simhash._described(docs, 5).groupBy("node").agg(F.any_value(F.struct("seen", "size", "fp", "keys")).alias("of")).select("node", "of.*").cache()
+    parts = [
+        sorted(map(tuple, simhash.connected_components(simhash.similar_links(docs, nodes, 5, 0.8, bucket=bucket, tile=tile)).collect()))
+        for bucket, tile in ((64, 1024), (0, 3))
+    ]
+    assert parts[0] == parts[1]
