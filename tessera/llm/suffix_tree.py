@@ -7,7 +7,8 @@ next-symbol distribution diverges from that of the context one symbol shorter; a
 the longest context that is a node.
 
 Contexts and their counts are gathered over all training texts and stay where Spark deals them: by the last symbol of a
-context, so that every node meets its suffix and all tokens that it scores. Only the alphabet is
+context, so that every node meets its suffix and all tokens that it scores. A symbol of more tokens than a shard's is dealt in
+pieces, by the symbol before it; what stands behind it is counted over all pieces and sent to each. Only the alphabet is
 broadcast, whose size is bounded by 1/FREQUENT. What the shards hold grows with the corpus, and so does their number.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, materialise, received, send_out
 
-#: Least share of all training tokens of a symbol of its own, and of one that is too common to be a context by itself: as
-#: the last symbol of a longer context it is dealt out by the symbol before it.
-FREQUENT, COMMON = 5e-7, 2e-3
+#: Least share of all training tokens of a symbol of its own, and of one that is taken for too common to be a context by itself: above 1,
+#: so every symbol is a context.
+FREQUENT, COMMON = 5e-7, 2.0
 #: Nats that a context has to gain over the shorter one for each time it occurs; times that an edge must be seen; weight of the shorter context.
 DIVERGENCE, SEEN, PRIOR = 0.05, 2, 0.5
 #: Part of a count that rare words leave for those never seen; weight of a byte's own share in its spelling.
@@ -39,19 +41,21 @@ BITS = 21
 _MASK = (1 << BITS) - 1
 #: Bytes of text for which there is one shard, and least number of shards.
 SHARD_TEXT, LEAST_SHARDS = 16 << 20, 16
-#: Bytes that are worked on at once, entries that a task holds before it passes them on, words that it remembers.
-_BLOCK, _HELD, _MEMO = 1 << 20, 1 << 20, 1 << 18
+#: Bytes that are worked on at once, entries that a task holds before it passes them on, words that it remembers, words that it spells at once.
+_BLOCK, _HELD, _MEMO, _SPELT = 1 << 20, 1 << 20, 1 << 18, 1 << 14
+#: Sender of the counts behind a symbol that is dealt in pieces.
+_COUNTED = -1
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def tokens_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
 
 
-def _blocks(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
+def _blocks(texts: pa.Array) -> Iterator[list[list[bytes]]]:
     held, n = [], 0
-    for text in texts:
+    for text in (t for at in range(0, len(texts), 256) for t in texts.slice(at, 256).cast(pa.large_binary()).to_pylist()):
         held.append(tokens_of(text))
-        n += len(text or "") + 8
+        n += len(text or b"") + 8
         if n >= _BLOCK:
             yield held
             held, n = [], 0
@@ -92,12 +96,15 @@ class Spelling:
         self.totals = np.bincount(at, self.counts, len(self.contexts))
         own = np.bincount(self.keys & 511, self.counts, 257)
         self.own = (own + 0.5) / (own.sum() + 0.5 * 257)
+        self.by_context = np.zeros(1 << 18)
+        self.by_context[self.contexts] = self.totals
 
     def logs(self, words: list[bytes]) -> np.ndarray:
         """log10 of each word's chance."""
         key, owner = _triples(words)
-        n, total = _found(self.keys, self.counts, key), _found(self.contexts, self.totals, key >> 9)
-        return np.bincount(owner, np.log10((n + SPELL * self.own[key & 511]) / (total + SPELL)), len(words))
+        wanted, place = _distinct(key)
+        n, total = _found(self.keys, self.counts, wanted), self.by_context[wanted >> 9]
+        return np.bincount(owner, np.log10((n + SPELL * self.own[wanted & 511]) / (total + SPELL))[place], len(words))
 
 
 def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default=0) -> np.ndarray:
@@ -108,6 +115,18 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default=0)
     return np.where(keys[at] == wanted, values[at], default)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, unsorted, and the place of each value among them."""
+    found = pa.array(values).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of all parts with the sums of their counts."""
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
 # --- counts of words ------------------------------------------------------------------------------
 
 
@@ -125,15 +144,18 @@ def gather(docs: DataFrame, text_col: str = "text") -> DataFrame:
         keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
         counts = np.fromiter(words.values(), np.int64, len(words))
         yield from rows(True, keys, counts)
-        triple, owner = _triples(list(words))
-        unique, place = np.unique(triple, return_inverse=True)
-        yield from rows(False, unique, np.bincount(place, counts[owner]).astype(np.int64))
+        listed, found = list(words), []
         words.clear()
+        for at in range(0, len(listed), _SPELT):
+            triple, owner = _triples(listed[at : at + _SPELT])
+            distinct, place = _distinct(triple)
+            found.append((distinct, np.bincount(place, counts[at + owner], len(distinct)).astype(np.int64)))
+        yield from rows(False, *_summed(found))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Counter()
         for batch in batches:
-            for bags in _blocks(batch.column(0).to_pylist()):
+            for bags in _blocks(batch.column(0)):
                 for bag in bags:
                     words.update(bag)
                 if len(words) > _HELD // 4:
@@ -182,16 +204,21 @@ def alphabet(counts: DataFrame, ends: int, frequent: float = FREQUENT) -> tuple[
 class Tree:
     """The nodes of one shard. counts: keys (prev, before, symbol) of BITS bits each, sorted, with their counts in training.
 
+    wide: keys (prev, symbol) with their counts for each prev of which this shard has a piece only.
+
     A node is a context of one symbol (prev) or two (before, prev). Its edges have been seen SEEN times; an edge has the chance
     count / (total + PRIOR), and what all edges leave over goes to the shorter context.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, letters: Alphabet, common: float, divergence: float = DIVERGENCE):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, letters: Alphabet, common: float, divergence: float = DIVERGENCE, wide: tuple | None = None):
         self.root, self.levels = letters.logs, []
         too_common = letters.counts >= common
         prev, symbol = keys >> 2 * BITS, keys & _MASK
         one, place = np.unique(prev << BITS | symbol, return_inverse=True)
         one_counts = np.bincount(place, counts, len(one)).astype(np.int64)
+        if wide:
+            own = ~np.isin(one >> BITS, np.unique(wide[0] >> BITS))
+            one, one_counts = _summed([(one[own], one_counts[own]), wide])
         lone = ~too_common[one >> BITS]
         for edges, n in ((one[lone], one_counts[lone]), (keys, counts)):
             self._grow(edges, n, divergence)
@@ -250,11 +277,75 @@ _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 _TOKENS_ARROW, _SCORES_ARROW = (pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in columns.split(", ")]) for columns in (_TOKENS, _SCORES))
 
 
-def _shards_of(prev: np.ndarray, before: np.ndarray, too_common: np.ndarray, shards: int) -> np.ndarray:
-    h = (prev.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h = np.where(too_common[prev], (h ^ before.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9), h)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def _mixed(symbols: np.ndarray) -> np.ndarray:
+    h = (symbols.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
+
+
+def _pieces(letters: Alphabet, total: int, shards: int) -> np.ndarray:
+    """Pieces in which each symbol's tokens are dealt: one has no more than a shard's share of all training tokens, if the symbols before it spread."""
+    return np.clip(-(-letters.counts * shards // max(1, total)), 1, shards)
+
+
+def _shards_of(prev: np.ndarray, before: np.ndarray, pieces: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a token: that of prev, or one of as many in a row as prev has pieces."""
+    own = (_mixed(prev) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    return (own + _mixed(before).astype(np.int64) % pieces[prev]) % shards
+
+
+def _symbols(bags: list[list[bytes]], letters: Alphabet, memo: dict[bytes, int]) -> tuple[np.ndarray, ...]:
+    """symbol, prev, before and bag of every token of the bags."""
+    new = set().union(*bags).difference(memo)
+    if len(memo) + len(new) > _MEMO:
+        memo.clear()
+        new = set().union(*bags)
+    words = list(new)
+    memo.update(zip(words, letters.of(words)[1].tolist(), strict=True))
+    size = np.fromiter(map(len, bags), np.int64, len(bags)) + 3
+    begin = np.cumsum(size) - size
+    s = np.full(int(size.sum()), START, np.int32)
+    s[begin + size - 1] = END
+    flat = np.fromiter(map(memo.__getitem__, chain.from_iterable(bags)), np.int32, int(size.sum()) - 3 * len(bags))
+    owner = np.repeat(np.arange(len(bags)), size - 2)
+    token = np.arange(len(owner)) + 2 * owner + 2
+    s[token[s[token] != END]] = flat
+    return s[token], s[token - 1], s[token - 2], owner
+
+
+def _behind(rows: DataFrame, sent, total: int, shards: int) -> DataFrame:
+    """For every symbol that is dealt in pieces, what stands behind it in the rows that train and how often: to each of its shards, packed."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, memo = received(sent), {}
+        split = _pieces(letters, total, shards) > 1
+        keys, n, new, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        for batch in batches:
+            for bags in _blocks(batch.column(0)):
+                symbol, prev, _, _ = _symbols(bags, letters, memo)
+                own = split[prev]
+                new.append(np.unique(prev[own].astype(np.int64) << BITS | symbol[own], return_counts=True))
+                held += len(new[-1][0])
+                if held > max(_HELD, len(keys)):
+                    (keys, n), new, held = _summed([(keys, n), *new]), [], 0
+        keys, n = _summed([(keys, n), *new])
+        for at in range(0, len(keys), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(n[part])], ["key", "n"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(received(sent), total, shards)
+        for batch in batches:
+            keys, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for prev in np.unique(keys >> BITS).tolist():
+                at = np.flatnonzero(keys >> BITS == prev)
+                own = int(_mixed(np.array([prev]))[0]) * shards >> 32
+                packed = [_packed(x[at].astype(kind)) for x, kind in ((keys >> BITS, np.int32), (keys & _MASK, np.int32), (n, np.int64))]
+                for k in range(pieces[prev]):
+                    values = ((own + k) % shards, _COUNTED, len(at), 0, packed[0], b"", packed[1], packed[2], b"", b"", b"")
+                    yield pa.RecordBatch.from_pylist([dict(zip(_TOKENS_ARROW.names, values, strict=True))], _TOKENS_ARROW)
+
+    found = rows.where("train").select("text").mapInArrow(count, "key long, n long")
+    return found.groupBy("key").agg(F.sum("n").alias("n")).mapInArrow(spread, _TOKENS)
 
 
 def _scored(rows: list[tuple], letters: Alphabet, common: float, divergence: float) -> Iterator[pa.RecordBatch]:
@@ -265,23 +356,27 @@ def _scored(rows: list[tuple], letters: Alphabet, common: float, divergence: flo
         parts = [_unpacked(p, n, np.int32).astype(np.int64) for p in (prev, before, symbol)]
         return parts[0] << 2 * BITS | parts[1] << BITS | parts[2]
 
-    found, held = [], 0
-    merge = lambda parts: (np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True), np.concatenate([n for _, n in parts]))
+    def pairs_of(row: tuple) -> tuple[np.ndarray, np.ndarray]:
+        _, n, _, prev, _, symbol, counts, *_ = row
+        return _unpacked(prev, n, np.int32).astype(np.int64) << BITS | _unpacked(symbol, n, np.int32), _unpacked(counts, n, np.int64)
+
+    counted, rows = [row for row in rows if row[0] == _COUNTED], [row for row in rows if row[0] != _COUNTED]
+    keys, counts, new, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
     for row in rows:
         _, n, docs, *_, doc, _, _, train = row
         learns = _unpacked(train, docs, bool)[np.cumsum(_unpacked(doc, n, np.uint32), dtype=np.int64)]
-        found.append(np.unique(keys_of(row)[learns], return_counts=True))
-        held += len(found[-1][0])
-        if held > 2 * _HELD:
-            (keys, place), n = merge(found)
-            found = [(keys, np.bincount(place, n, len(keys)).astype(np.int64))]
-            held = len(keys) // 2
-    (keys, place), n = merge(found)
-    del found
-    tree = Tree(keys, np.bincount(place, n, len(keys)).astype(np.int64), letters, common, divergence)
+        new.append(np.unique(keys_of(row)[learns], return_counts=True))
+        held += len(new[-1][0])
+        if held > max(_HELD, len(keys)):
+            (keys, counts), new, held = _summed([(keys, counts), *new]), [], 0
+    keys, counts = _summed([(keys, counts), *new])
+    del new
+    tree = Tree(keys, counts, letters, common, divergence, _summed([pairs_of(row) for row in counted]) if counted else None)
+    del keys, counts
     for row in rows:
         sender, n, docs, *_, doc, ids, tags, _ = row
-        sums = np.bincount(np.cumsum(_unpacked(doc, n, np.uint32), dtype=np.int64), tree.logs(keys_of(row)), docs)
+        keys, place = np.unique(keys_of(row), return_inverse=True)  # sorted keys are found faster
+        sums = np.bincount(np.cumsum(_unpacked(doc, n, np.uint32), dtype=np.int64), tree.logs(keys)[place], docs)
         yield pa.RecordBatch.from_pylist([{"sender": sender, "docs": docs, "ids": ids, "tags": tags, "scores": _packed(sums)}], _SCORES_ARROW)
 
 
@@ -308,7 +403,7 @@ def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from total(parts)
 
 
-def tree_scores(rows: DataFrame, sent, totals: dict, shard_text: int = SHARD_TEXT, common: float = COMMON, divergence: float = DIVERGENCE) -> DataFrame:
+def tree_scores(rows: DataFrame, letters: Alphabet, sent, totals: dict, shard_text: int = SHARD_TEXT, common: float = COMMON, divergence: float = DIVERGENCE) -> DataFrame:
     """(doc_id, tag, score): log10 chances of the symbols of rows(doc_id, tag, train, text), in parts to be added up.
 
     Scores go back packed to who sent the tokens and are added up there, so that a document has as many rows as senders,
@@ -318,15 +413,16 @@ def tree_scores(rows: DataFrame, sent, totals: dict, shard_text: int = SHARD_TEX
     shards = max(LEAST_SHARDS, -(-n_bytes // shard_text))
     bar = max(1.0, common * totals["all"])
 
-    def send(sender: int, found: list[tuple], too_common: np.ndarray) -> pa.RecordBatch:
+    def send(sender: int, found: list[tuple], pieces: np.ndarray) -> pa.RecordBatch:
         symbol, prev, before, doc, ids, tags, train = (np.concatenate(x) for x in zip(*found, strict=True))
-        shard = _shards_of(prev, before, too_common, shards)
-        order = np.argsort(shard, kind="stable")
+        shard = _shards_of(prev, before, pieces, shards)
+        order = np.argsort(shard.astype(np.min_scalar_type(shards)), kind="stable")  # of two bytes, numbers are sorted by their digits
         bounds = np.append(np.searchsorted(shard[order], np.arange(shards)), len(order))
         blocks = []
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             at = order[bounds[k] : bounds[k + 1]]
-            own, place = np.unique(doc[at], return_inverse=True)  # documents are numbered in the order of their tokens
+            new = np.diff(doc[at], prepend=-1) != 0  # documents are numbered in the order of their tokens
+            own, place = doc[at[new]], np.cumsum(new) - 1
             values = (
                 k, sender, len(at), len(own), *(_packed(x[at].astype(np.int32)) for x in (prev, before, symbol)), _packed(np.diff(place, prepend=0).astype(np.uint32)),
                 _packed(np.diff(ids[own], prepend=0)), _packed(tags[own]), _packed(train[own]),
@@ -336,35 +432,21 @@ def tree_scores(rows: DataFrame, sent, totals: dict, shard_text: int = SHARD_TEX
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = received(sent)
-        too_common = letters.counts >= bar
+        pieces = _pieces(letters, totals["all"], shards)
         memo: dict[bytes, int] = {}
         sender, found, held, n_docs = TaskContext.get().partitionId() << 32, [], 0, 0
         for batch in batches:
             ids, tags, train, at = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), 0
-            for bags in _blocks(batch.column(3).to_pylist()):
-                new = {w for b in bags for w in b}.difference(memo)
-                if len(memo) + len(new) > _MEMO:
-                    memo.clear()
-                    new = {w for b in bags for w in b}
-                words = list(new)
-                memo.update(zip(words, letters.of(words)[1].tolist(), strict=True))
-                size = np.fromiter(map(len, bags), np.int64, len(bags)) + 3
-                begin = np.cumsum(size) - size
-                s = np.full(int(size.sum()), START, np.int64)
-                s[begin + size - 1] = END
-                flat = np.fromiter((memo[w] for b in bags for w in b), np.int64, int(size.sum()) - 3 * len(bags))
-                owner = np.repeat(np.arange(len(bags)), size - 2)
-                token = np.arange(len(owner)) + 2 * owner + 2
-                inner = token[s[token] != END]
-                s[inner] = flat
+            for bags in _blocks(batch.column(3)):
+                symbol, prev, before, owner = _symbols(bags, letters, memo)
                 part = slice(at, at + len(bags))
-                found.append((s[token], s[token - 1], s[token - 2], owner + n_docs, ids[part], tags[part], train[part]))
-                at, n_docs, held = at + len(bags), n_docs + len(bags), held + len(token)
+                found.append((symbol, prev, before, owner + n_docs, ids[part], tags[part], train[part]))
+                at, n_docs, held = at + len(bags), n_docs + len(bags), held + len(owner)
                 if held >= _HELD:
-                    yield send(sender, found, too_common)
+                    yield send(sender, found, pieces)
                     sender, found, held, n_docs = sender + 1, [], 0, 0
         if found:
-            yield send(sender, found, too_common)
+            yield send(sender, found, pieces)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, now, rows_ = received(sent), None, []
@@ -379,6 +461,8 @@ def tree_scores(rows: DataFrame, sent, totals: dict, shard_text: int = SHARD_TEX
             yield from _scored(rows_, letters, bar, divergence)
 
     dealt = rows.select("doc_id", "tag", "train", "text").mapInArrow(deal, _TOKENS)
+    if _pieces(letters, totals["all"], shards).max() > 1:  # else every symbol's tokens are in one shard
+        dealt = dealt.unionByName(_behind(rows, sent, totals["all"], shards))
     scored = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(settle, _SCORES)
     return scored.repartition("sender").sortWithinPartitions("sender").mapInArrow(_added_up, "doc_id long, tag long, score double")
 
@@ -398,7 +482,7 @@ def word_scores(rows: DataFrame, sent, rare: DataFrame, totals: dict, ends: int)
         base_logs = np.log10((letters.counts + 0.5) / below)
         for batch in batches:
             ids, tags, at = batch.column(0).to_numpy(), batch.column(1).to_numpy(), 0
-            for bags in _blocks(batch.column(2).to_pylist()):
+            for bags in _blocks(batch.column(2)):
                 part = slice(at, at + len(bags))
                 at += len(bags)
                 bagged = [Counter(b) for b in bags]
@@ -456,7 +540,7 @@ def score_texts(docs: DataFrame, training=None, id_col: str = "doc_id", text_col
     sent = send_out(docs.sparkSession, letters)
     rare = counts.where(F.col("word") & (F.col("n") < frequent * totals["all"])).select("key", "n")
     words = word_scores(rows, sent, rare, totals, ends)
-    scored = tree_scores(rows, sent, totals, **settings)
+    scored = tree_scores(rows, letters, sent, totals, **settings)
     none = F.lit(None).cast("long")
     both = words.unionByName(scored.select("doc_id", "tag", none.alias("rows"), none.alias("n_tokens"), none.alias("n_known"), F.lit(None).cast("double").alias("base_score"), "score"))
     sums = both.groupBy("doc_id", "tag").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base_score", "score")])

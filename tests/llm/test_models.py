@@ -191,6 +191,29 @@ def test_suffix_tree_equals_a_plain_one(spark, settings):
     assert suffix_tree.score_texts(docs, F.lit(False)).count() == len(rows)
 
 
+@pytest.mark.parametrize("settings", [{}, {"shard_text": 60}])
+def test_common_words_are_contexts(spark, settings):
+    """However common a word is: what stands behind it is counted over all shards that have a piece of it."""
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["the cat", "the dog", "a the", "of the", f"w{rnd.randrange(40)} the"]) for _ in range(rnd.randrange(1, 12))) for _ in range(150)]
+    learnt = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    tree = PlainTree(learnt, suffix_tree.FREQUENT, 2.0)
+    assert (b"the",) in tree.nodes and tree.count[b"the"] > 0.3 * tree.n
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for r in suffix_tree.score_texts(docs, **settings).collect():
+        assert math.isclose(r.score, tree.score(texts[r.doc_id]), rel_tol=1e-9)
+
+
+def test_words_are_spelt_a_few_at_a_time(spark, monkeypatch):
+    """gather's memory doesn't follow the number of words that a task holds."""
+    monkeypatch.setattr(suffix_tree, "_SPELT", 7)
+    docs = spark.createDataFrame([(" ".join(f"word{i}" for i in range(100)) + " word3",)], "text string")
+    found = {(r.word, r.key): r.n for r in suffix_tree.gather(docs).collect()}
+    key, owner = suffix_tree._triples([f"word{i}".encode() for i in [*range(100), 3]])
+    assert {k: n for (word, k), n in found.items() if not word} == dict(collections.Counter(key.tolist()))
+    assert sum(n for (word, _), n in found.items() if word) == 101
+
+
 def test_suffix_tree_is_a_distribution():
     """Behind every context the chances of all symbols sum up to one at most, and to nearly one."""
     texts = ["abra cadabra abra", "abra abra", "cad abra", "cad cadabra"] * 20
