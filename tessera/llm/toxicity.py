@@ -1,12 +1,16 @@
 """Toxicity scores by a small convolutional text classifier written in numpy.
 
-Words and their affixes are hashed to 32 bits; those common in the training sample have an
+Words and their affixes are hashed to 32 bits; those common in the training texts have an
 embedding, a word is the sum of its parts. Filters of several widths run over the words, each
 filter keeps its maximum over the whole text, and a logistic layer gives the score.
+
+All labelled texts that aren't held out are learnt from. They are dealt into blocks; in every round each block
+goes on from the same model, and Spark averages what the blocks have learnt.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,14 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, materialise, received, send_out
+from tessera.llm.common import documents, forget, materialise, received, send_out
 
 #: Punctuation becomes a space.
 _BLANK = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
-#: Rows of either label that are drawn for training, and the longest text drawn: together the bound of the sample.
-ROWS_PER_LABEL, LONGEST_DRAWN = 3000, 40_000
+#: Rows and bytes of text of a block.
+ROWS_PER_BLOCK, BLOCK_TEXT = 8000, 24 << 20
+#: Least share of the training texts of a part with an embedding; texts to pass at least, over all rounds, and least number of rounds.
+COMMON_PART, PASSES, LEAST_ROUNDS = 5e-4, 40_000, 4
+#: Blocks' values are summed as whole numbers of this fraction, in any order to the same sum; bins of one unit of a logit.
+_FRACTION, _BINS = 2.0**32, 256
 #: Lengths in bytes of the affixes that count as parts of a longer word.
 AFFIXES = (5, 7, 9)
+#: What a prefix's hash goes on from.
+_PREFIX = zlib.crc32(b"^")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -34,12 +44,19 @@ def words_of(text: str | None) -> list[bytes]:
 def parts_of(word: bytes) -> list[int]:
     """Hashes of the word, its prefixes and its suffix."""
     found = [zlib.crc32(word)]
-    found += [zlib.crc32(b"^" + word[:k]) for k in AFFIXES if len(word) > k]
     if len(word) > AFFIXES[0]:
-        found.append(zlib.crc32(word[-AFFIXES[0] :] + b"$"))
+        found += [zlib.crc32(word[:k], _PREFIX) for k in AFFIXES if len(word) > k]
+        found.append(zlib.crc32(b"$", zlib.crc32(word[-AFFIXES[0] :])))
     return found
 
 
+def _ranges(first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """first[k] to first[k + 1] for all k in `of`, one after the other, and where each begins."""
+    size = first[of + 1] - first[of]
+    begin = np.cumsum(size) - size
+    return np.repeat(first[of] - begin, size) + np.arange(size.sum()), begin
+
+
 @dataclass
 class TextCNN:
     """The classifier; fit() on texts and 0/1 labels, score() gives chances of label 1."""
@@ -58,6 +75,9 @@ class TextCNN:
     bias: np.ndarray = field(default=None, repr=False)
     out: np.ndarray = field(default=None, repr=False)
     thresholds: dict = field(default_factory=dict)
+    moments: dict = field(default=None, repr=False)
+    squares: np.ndarray = field(default=None, repr=False)
+    step: int = 0
 
     def _rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Embedding rows of the words' known parts, and the word each belongs to."""
@@ -71,7 +91,9 @@ class TextCNN:
     def _embed(self, words: list[bytes]) -> np.ndarray:
         rows, owner = self._rows(words)
         made = np.zeros((len(words), self.width), np.float32)
-        np.add.at(made, owner, self.table[rows])
+        if len(rows):  # owners are in order
+            begin = np.flatnonzero(np.diff(owner, prepend=-1))
+            made[owner[begin]] = np.add.reduceat(self.table[rows], begin, axis=0)
         return made
 
     def _offsets(self) -> list[tuple[int, int, int]]:
@@ -86,103 +108,132 @@ class TextCNN:
     def _pool(self, projected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Maxima of all filters over a text whose words have the projections, and where they are."""
         n, pad = len(projected), max(self.spans) - 1
-        padded = np.zeros((n + 2 * pad, projected.shape[1]), np.float32)
-        padded[pad : pad + n] = projected
+        padded = np.zeros((projected.shape[1], n + 2 * pad), np.float32)
+        padded[:, pad : pad + n] = projected.T
         best, where = [], []
         for s, span in enumerate(self.spans):
             total = 0
             for width, shift, at in self._offsets():
                 if width == span:
-                    total = total + padded[shift : n + 2 * pad - span + 1 + shift, at : at + self.filters]
-            peak = total.argmax(0)
-            best.append(total[peak, np.arange(self.filters)] + self.bias[s])
+                    total = total + padded[at : at + self.filters, shift : n + 2 * pad - span + 1 + shift]
+            peak = total.argmax(1)
+            best.append(total[np.arange(self.filters), peak] + self.bias[s])
             where.append(peak - pad)
         return np.concatenate(best), np.concatenate(where)
 
-    def fit(self, texts: list[str], labels: list[int]) -> TextCNN:
+    def _peaks(self, projected: np.ndarray) -> np.ndarray:
+        """The maxima that _pool() gives, without where they are."""
+        n, pad = len(projected), max(self.spans) - 1
+        padded = np.zeros((n + 2 * pad, projected.shape[1]), np.float32)
+        padded[pad : pad + n] = projected
+        best = []
+        for s, span in enumerate(self.spans):
+            total = 0
+            for width, shift, at in self._offsets():
+                if width == span:
+                    total = total + padded[shift : n + 2 * pad - span + 1 + shift, at : at + self.filters]
+            best.append(total.max(0) + self.bias[s])
+        return np.concatenate(best)
+
+    def start(self, parts: np.ndarray) -> TextCNN:
+        """Untrained values for the sorted parts."""
         rng = np.random.default_rng(self.seed)
-        lexicon: dict[bytes, int] = {}
-        coded = [np.array([lexicon.setdefault(w, len(lexicon)) for w in words_of(t)], np.int32) for t in texts]
-        each = [np.array(parts_of(w), np.uint32) for w in lexicon]
-        begin = np.cumsum([0, *map(len, each)])
-        flat = np.concatenate(each) if each else np.zeros(0, np.uint32)
-        del each
-        present = [np.unique(np.concatenate([flat[begin[w] : begin[w + 1]] for w in np.unique(c)])) for c in coded if len(c)]
-        found, counts = np.unique(np.concatenate(present), return_counts=True) if present else (np.zeros(0, np.uint32), np.zeros(0))
-        self.parts = found[counts >= self.min_texts].astype(np.uint32)
-        del present, found, counts, flat
-        n_in, n_out = self.width, self.filters * sum(self.spans)
-        self.table = rng.normal(0, 0.1, (len(self.parts), n_in)).astype(np.float32)
+        n_in, n_out, n_pool = self.width, self.filters * sum(self.spans), self.filters * len(self.spans)
+        self.parts = parts.astype(np.uint32)
+        self.table = rng.normal(0, 0.1, (len(parts), n_in)).astype(np.float32)
         self.kernels = rng.normal(0, 0.5, (n_in, n_out)).astype(np.float32)
         self.bias = np.zeros((len(self.spans), self.filters), np.float32)
-        n_pool = self.filters * len(self.spans)
         self.out = np.concatenate([rng.normal(0, 0.3, n_pool), [0.0]]).astype(np.float32)
-        rows, owner = self._rows(list(lexicon))
-        first = np.searchsorted(owner, np.arange(len(lexicon) + 1))
-        y = np.array(labels, np.float32)
-        moments: dict[str, tuple] = {}
-        step = 0
+        self.moments = {name: (np.zeros_like(getattr(self, name)), np.zeros_like(getattr(self, name))) for name in ("out", "bias", "kernels")}
+        self.squares = np.zeros(len(parts), np.float32)
+        self.step = 0
+        return self
 
-        def adam(name: str, value: np.ndarray, grad: np.ndarray) -> None:
-            m, v = moments.setdefault(name, (np.zeros_like(value), np.zeros_like(value)))
-            m += 0.1 * (grad - m)
-            v += 0.001 * (grad * grad - v)
-            value -= self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
+    def dense(self) -> list[np.ndarray]:
+        """All values but the embeddings, each with its moments."""
+        return [x for name in ("out", "bias", "kernels") for x in (getattr(self, name), *self.moments[name])]
+
+    def coded(self, texts: list[str], labels: list[int]) -> tuple:
+        """Texts as learn() takes them: the places of their words in a lexicon, the embedding rows of its words and where each word's begin, labels."""
+        lexicon: dict[bytes, int] = {}
+        codes = [np.array([lexicon.setdefault(w, len(lexicon)) for w in words_of(t)], np.int32) for t in texts]
+        rows, owner = self._rows(list(lexicon))
+        return codes, rows.astype(np.int32), np.searchsorted(owner, np.arange(len(lexicon) + 1)).astype(np.int32), np.array(labels, np.float32)
 
-        squares = np.zeros(len(self.parts), np.float32)
+    def fit(self, texts: list[str], labels: list[int]) -> TextCNN:
+        found, counts = _part_counts(texts)
+        self.start(found[counts >= self.min_texts])
+        block, rng = self.coded(texts, labels), np.random.default_rng(self.seed)
         for _ in range(self.epochs):
-            vectors = np.zeros((len(lexicon), n_in), np.float32)
-            order = rng.permutation(len(coded))
-            for at in range(0, len(order), self.batch):
-                step += 1
-                chosen = order[at : at + self.batch]
-                used = np.unique(np.concatenate([coded[i] for i in chosen]))
-                own = np.concatenate([np.arange(first[w], first[w + 1]) for w in used]) if len(used) else np.zeros(0, int)
-                vectors[used] = 0
-                np.add.at(vectors, owner[own], self.table[rows[own]])
-                projected = vectors[used] @ self.kernels
-                g_out, g_bias, g_kernel = np.zeros_like(self.out), np.zeros_like(self.bias), np.zeros_like(self.kernels)
-                words, pulls = [], []
-                for i in chosen:
-                    local = np.searchsorted(used, coded[i])
-                    pooled, where = self._pool(projected[local])
-                    hidden = np.maximum(pooled, 0)
-                    chance = 1 / (1 + np.exp(-np.clip(hidden @ self.out[:-1] + self.out[-1], -30, 30)))
-                    error = (chance - y[i]) / len(chosen)
-                    g_out += error * np.append(hidden, 1).astype(np.float32)
-                    back = error * self.out[:-1] * (pooled > 0)
-                    for s, span in enumerate(self.spans):
-                        part = slice(s * self.filters, (s + 1) * self.filters)
-                        g_bias[s] += back[part]
-                        for width, shift, col in self._offsets():
-                            if width != span:
-                                continue
-                            spots = where[part] + shift
-                            inside = np.flatnonzero((spots >= 0) & (spots < len(local)))
-                            if not len(inside):
-                                continue
-                            touched = coded[i][spots[inside]]
-                            pull = back[part][inside]
-                            g_kernel[:, col + inside] += (vectors[touched] * pull[:, None]).T
-                            words.append(touched)
-                            pulls.append(pull[:, None] * self.kernels[:, col + inside].T)
-                adam("out", self.out, g_out + 1e-4 * self.out)
-                adam("bias", self.bias, g_bias)
-                adam("kernels", self.kernels, g_kernel)
-                if words:  # embeddings: Adagrad, only the rows that a maximum touched
-                    words, pulls = np.concatenate(words), np.concatenate(pulls)
-                    spread = np.repeat(np.arange(len(words)), first[words + 1] - first[words])
-                    hit = np.concatenate([rows[first[w] : first[w + 1]] for w in words])
-                    if len(hit):
-                        unique, place = np.unique(hit, return_inverse=True)
-                        grad = np.zeros((len(unique), n_in), np.float32)
-                        np.add.at(grad, place, pulls[spread])
-                        squares[unique] += (grad * grad).mean(1)
-                        self.table[unique] -= 0.1 * grad / (np.sqrt(squares[unique])[:, None] + 1e-6)
+            self.learn(block, rng)
         return self
 
+    def learn(self, block: tuple, rng: np.random.Generator, weight: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
+        """One pass over a coded block, label 0 and 1 of these weights; returns the embedding rows that changed."""
+        coded, rows, first, y = block
+        n_in, changed = self.width, np.zeros(len(self.parts), bool)
+
+        def adam(name: str, grad: np.ndarray) -> None:
+            (m, v), value = self.moments[name], getattr(self, name)
+            m += 0.1 * (grad - m)
+            v += 0.001 * (grad * grad - v)
+            value -= self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-7)
+
+        vectors = np.zeros((len(first) - 1, n_in), np.float32)
+        order = rng.permutation(len(coded))
+        for at in range(0, len(order), self.batch):
+            self.step += 1
+            chosen = order[at : at + self.batch]
+            used = np.unique(np.concatenate([coded[i] for i in chosen]))
+            own, begin = _ranges(first, used)
+            some = first[used + 1] > first[used]
+            vectors[used] = 0
+            if some.any():
+                vectors[used[some]] = np.add.reduceat(self.table[rows[own]], begin[some], axis=0)
+            projected = vectors[used] @ self.kernels
+            place = np.zeros(len(vectors), np.int32)
+            place[used] = np.arange(len(used))
+            g_out, g_bias, g_kernel = np.zeros_like(self.out), np.zeros_like(self.bias), np.zeros_like(self.kernels)
+            words, pulls = [], []
+            for i in chosen:
+                pooled, where = self._pool(projected[place[coded[i]]])
+                hidden = np.maximum(pooled, 0)
+                chance = 1 / (1 + np.exp(-np.clip(hidden @ self.out[:-1] + self.out[-1], -30, 30)))
+                error = (chance - y[i]) * weight[int(y[i])] / len(chosen)
+                g_out += error * np.append(hidden, 1).astype(np.float32)
+                back = error * self.out[:-1] * (pooled > 0)
+                for s, span in enumerate(self.spans):
+                    part = slice(s * self.filters, (s + 1) * self.filters)
+                    g_bias[s] += back[part]
+                    for width, shift, col in self._offsets():
+                        if width != span:
+                            continue
+                        spots = where[part] + shift
+                        inside = np.flatnonzero((spots >= 0) & (spots < len(coded[i])))
+                        if not len(inside):
+                            continue
+                        touched = coded[i][spots[inside]]
+                        pull = back[part][inside]
+                        g_kernel[:, col + inside] += (vectors[touched] * pull[:, None]).T
+                        words.append(touched)
+                        pulls.append(pull[:, None] * self.kernels[:, col + inside].T)
+            adam("out", g_out + 1e-4 * self.out)
+            adam("bias", g_bias)
+            adam("kernels", g_kernel)
+            if words:  # embeddings: Adagrad, only the rows that a maximum touched
+                words, pulls = np.concatenate(words), np.concatenate(pulls)
+                spread = np.repeat(np.arange(len(words)), first[words + 1] - first[words])
+                hit = rows[_ranges(first, words)[0]]
+                if len(hit):
+                    unique, back_at = np.unique(hit, return_inverse=True)
+                    grad = np.column_stack([np.bincount(back_at, pulls[spread, k], len(unique)) for k in range(n_in)]).astype(np.float32)
+                    self.squares[unique] += (grad * grad).mean(1)
+                    self.table[unique] -= 0.1 * grad / (np.sqrt(self.squares[unique])[:, None] + 1e-6)
+                    changed[unique] = True
+        return np.flatnonzero(changed)
+
     def scorer(self):
-        """A function from a text to its score; it remembers the projections of up to 100,000 words."""
+        """A function from a text to its score; it remembers the projections of up to 200,000 words."""
         memo: dict[bytes, int] = {}
         kept = np.zeros((1024, self.kernels.shape[1]), np.float32)
 
@@ -190,7 +241,7 @@ class TextCNN:
             nonlocal kept
             words = words_of(text)
             new = [w for w in set(words) if w not in memo]
-            if len(memo) + len(new) > 100_000:
+            if len(memo) + len(new) > 200_000:
                 memo.clear()
                 new = list(set(words))
             if new:
@@ -200,7 +251,7 @@ class TextCNN:
                 kept[start : start + len(new)] = self._embed(new) @ self.kernels
                 memo.update(zip(new, range(start, start + len(new)), strict=True))
             codes = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-            pooled = np.maximum(self._pool(kept[codes])[0], 0)
+            pooled = np.maximum(self._peaks(kept[codes]), 0)
             return float(1 / (1 + np.exp(-np.clip(pooled @ self.out[:-1] + self.out[-1], -30, 30))))
 
         return score
@@ -211,62 +262,159 @@ def is_held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL, longest: int = LONGEST_DRAWN, **settings
-) -> TextCNN:
-    """Fit on a bounded sample of the labelled rows that aren't held out.
+def _part_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted parts of the texts' words, and how many texts have each."""
+    memo: dict[bytes, list[int]] = {}
+    present = []
+    for text in texts:
+        words = set(words_of(text))
+        memo.update((w, parts_of(w)) for w in words.difference(memo))
+        flat = {p for w in words for p in memo[w]}
+        present.append(np.fromiter(flat, np.uint32, len(flat)))
+    return np.unique(np.concatenate(present), return_counts=True) if present else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+
+def _common_parts(rows: DataFrame, least: float) -> np.ndarray:
+    """Sorted parts that at least so many of the rows' texts have."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                parts, counts = _part_counts(batch.column(0).slice(at, 1000).to_pylist())
+                for k in range(0, len(parts), 1 << 16):
+                    part = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(parts[part].astype(np.int64)), pa.array(counts[part])], ["part", "n"])
+
+    found = rows.select("text").mapInArrow(work, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(found.select("part").toPandas()["part"].to_numpy(np.int64)).astype(np.uint32)
+
+
+def _blocks(rows: DataFrame, model: TextCNN, blocks: int) -> DataFrame:
+    """(block, size, packed): the rows, dealt by their ids, as learn() takes them."""
+    sent = send_out(rows.sparkSession, model)
 
-    The sample: of either label the rows_per_label rows first by a hash of the id, texts of up to
-    `longest` characters (of rows that share an id, one). One row in five of it is kept from fitting and sets the logit shift and,
-    for each language, the threshold of the best accuracy (drawn to 0.5 where rows are few).
-    Rows with a null label or text are left out; labelled twice, a row counts as toxic if either is.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, now, held = received(sent), None, []
+
+        def made() -> pa.RecordBatch:
+            raw = pickle.dumps(model.coded(*map(list, zip(*held, strict=True))))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(raw)]), pa.array([pa.compress(raw, codec="zstd", asbytes=True)])], ["block", "size", "packed"])
+
+        for batch in batches:
+            for block, toxic, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if block != now and held:
+                    yield made()
+                    held = []
+                now = block
+                held.append((text, toxic))
+        if held:
+            yield made()
+
+    dealt = rows.withColumn("block", F.pmod("turn", F.lit(blocks)).cast("int")).repartitionById(blocks, F.col("block"))
+    return dealt.sortWithinPartitions("block", "turn", "text").select("block", "toxic", "text").mapInArrow(work, "block int, size long, packed binary")
+
+
+def _round(blocks: DataFrame, model: TextCNN, turn: int, weight: tuple[float, float]) -> None:
+    """One pass over all blocks, each from the model as it is, which then takes their mean: an embedding's over the blocks that changed it."""
+    sent = send_out(blocks.sparkSession, model)
+    columns = [f"v{i}" for i in range(model.width + 1)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, size, packed = (c[i].as_py() for c in batch.columns)
+                own = received(sent)
+                changed = own.learn(pickle.loads(pa.decompress(packed, size, codec="zstd", asbytes=True)), np.random.default_rng([own.seed, turn, block]), weight)
+                flat = np.concatenate([x.ravel() for x in own.dense()])
+                flat = np.pad(flat, (0, -len(flat) % len(columns))).reshape(-1, len(columns))
+                values = np.concatenate([flat, np.column_stack([own.table[changed], own.squares[changed]])])
+                rows = np.concatenate([-1 - np.arange(len(flat)), changed]).astype(np.int32)  # below 0: what isn't an embedding
+                whole = np.rint(values.astype(np.float64) * _FRACTION).astype(np.int64)
+                for at in range(0, len(rows), 1 << 14):
+                    part = slice(at, at + (1 << 14))
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[part]), *[pa.array(c) for c in whole[part].T.copy()]], ["row", *columns])
+
+    learnt = blocks.mapInArrow(work, ", ".join(["row int", *[f"{c} long" for c in columns]]))
+    sums = learnt.groupBy("row").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in columns])
+    means = sums.select("row", *[(F.col(c) / F.col("n") / F.lit(_FRACTION)).cast("float").alias(c) for c in columns]).toPandas().sort_values("row")
+    rows, values = means["row"].to_numpy(), means[columns].to_numpy(np.float32)
+    sent.destroy()
+    model.table[rows[rows >= 0]] = values[rows >= 0, :-1]
+    model.squares[rows[rows >= 0]] = values[rows >= 0, -1]
+    flat, at = values[rows < 0][::-1].ravel(), 0
+    for x in model.dense():
+        x[...] = flat[at : at + x.size].reshape(x.shape)
+        at += x.size
+
+
+def train(docs: DataFrame, labels: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, block_text: int = BLOCK_TEXT, **settings) -> TextCNN:
+    """Fit on all labelled rows that aren't held out, whatever their length.
+
+    One in five of them is kept from fitting; all these set the logit shift and, for each language, the threshold of the
+    best accuracy (drawn to 0.5 where rows are few). Blocks have about rows_per_block rows, and block_text bytes at most on average;
+    there are `epochs` rounds at most, fewer where rows are many. Both labels weigh the same.
+    Rows with a null label are left out, a null text is an empty one, rows of one id count each; labelled twice, a row counts as toxic if either is.
     Without rows of both labels every text gets the share of label 1.
     """
-    marks = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    fit = docs.where(~is_held_out() & F.col("text").isNotNull() & (F.length("text") <= longest))
-    keyed = fit.select("doc_id", F.xxhash64("doc_id").alias("turn")).distinct().join(marks, "doc_id")  # no text moves
-    chosen = None
-    for label in (0, 1):
-        part = keyed.where(F.col("toxic") == label).orderBy("turn", "doc_id").limit(rows_per_label)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = materialise(chosen.select("doc_id", "toxic"), "sample")
+    marks = materialise(labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "marks")  # of known size: Spark moves texts only if these are many
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = fit.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text", lang.alias("lang"))  # at most two times rows_per_label ids
-    first = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("text", "lang")).alias("of"))  # of a repeated id one row reaches the driver
-    sample = first.select("doc_id", "toxic", "of.*").toPandas().sort_values("doc_id")
+    kept_back = F.crc32(F.concat(F.lit("calibrate "), F.col("doc_id").cast("string"))) % 5 == 0
+    of = docs.where(~is_held_out()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(marks, "doc_id")
+    seen = materialise(of.select(F.xxhash64("doc_id").alias("turn"), "toxic", kept_back.alias("back"), "lang", F.octet_length("text").alias("size"), "text"), "labelled")
+    n, n_text = np.zeros((2, 2), np.int64), 0
+    for r in seen.groupBy("back", F.col("toxic") > 0).agg(F.count("*"), F.sum("size")).collect():
+        n[int(r[0]), int(r[1])], n_text = r[2], n_text + r[3]
     model = TextCNN(**settings)
-    if sample["toxic"].nunique() < 2:
+    if not n.sum(0).all():
         model.fit([], [])
-        share = float(sample["toxic"].mean()) if len(sample) else 0.0
+        share = n[:, 1].sum() / n.sum() if n.sum() else 0.0
         model.out[:] = 0
         model.out[-1] = np.log((share + 1e-6) / (1 - share + 1e-6))
+        forget(seen)
         return model
-    kept_back = np.array([zlib.crc32(f"calibrate {i}".encode()) % 5 == 0 for i in sample["doc_id"]])
-    if sample.loc[kept_back, "toxic"].nunique() < 2 or sample.loc[~kept_back, "toxic"].nunique() < 2:
-        kept_back[:] = False
-    fitted, rest = sample[~kept_back], sample[kept_back] if kept_back.any() else sample
-    model.fit(fitted["text"].tolist(), fitted["toxic"].tolist())
-    score = model.scorer()
-    scores = np.clip(np.array([score(t) for t in rest["text"]]), 1e-6, 1 - 1e-6)
-    logits, truth = np.log(scores / (1 - scores)), rest["toxic"].to_numpy()
-    prior = marks.where(~is_held_out()).agg(F.avg("toxic")).first()[0]
-    few = min((truth == 0).sum(), (truth == 1).sum())
-    cut = _best_cut(logits, truth, prior) * few / (few + 20)
-    model.out[-1] -= np.float32(cut)
-    for lang, at in rest.groupby("lang").indices.items():
-        if 0 < truth[at].sum() < len(at):
-            few = min(truth[at].sum(), len(at) - truth[at].sum())
-            own = (_best_cut(logits[at], truth[at], prior) - cut) * few / (few + 20)
-            model.thresholds[lang] = float(1 / (1 + np.exp(-own)))
+    fitted, rest = seen.where("NOT back"), seen.where("back")
+    if not n.all():
+        fitted, rest, n = seen, seen, np.stack([n.sum(0)] * 2)
+    n_fit = int(n[0].sum())
+    model.start(_common_parts(fitted, max(model.min_texts, COMMON_PART * n_fit)))
+    blocks = materialise(_blocks(fitted, model, max(1, -(-n_fit // rows_per_block), -(-n_text // block_text))), "blocks")
+    weight = tuple((n_fit / (2 * n[0])).tolist())
+    rounds = min(model.epochs, max(LEAST_ROUNDS, -(-PASSES // n_fit)))
+    steps = max(1, -(-n_fit // max(1, -(-n_fit // rows_per_block)) // model.batch))
+    for turn in range(rounds):
+        _round(blocks, model, turn, weight)
+        model.step = (turn + 1) * steps
+    model.moments = model.squares = None
+    forget(blocks)
+    _calibrate(model, rest, marks.where(~is_held_out()).agg(F.avg("toxic")).first()[0])
+    forget(seen)
     return model
 
 
-def _best_cut(logits: np.ndarray, truth: np.ndarray, prior: float) -> float:
-    """Middle of the gap between logits that gives the best accuracy where label 1 has the share prior; of equals the nearest to 0."""
-    order = np.argsort(logits)
-    s, t = logits[order], truth[order]
-    below = np.concatenate([[0], np.cumsum(t == 0)]) / max(1, (t == 0).sum())
-    above = 1 - np.concatenate([[0], np.cumsum(t == 1)]) / max(1, (t == 1).sum())
+def _calibrate(model: TextCNN, rest: DataFrame, prior: float) -> None:
+    """Shift the model's logit and set the languages' thresholds by all rows of rest, whose logits are counted in bins."""
+    scored = _scored(rest.select("toxic", "lang", "text"), model, "toxic int, lang string")
+    score = F.least(F.greatest("score", F.lit(1e-6)), F.lit(1 - 1e-6))
+    binned = scored.select("lang", "toxic", F.round(F.log(score / (1 - score)) * _BINS).cast("int").alias("bin"))
+    found = binned.groupBy("lang", "bin").agg(F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("n0"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("n1"))
+    found = found.toPandas()
+    every = found.groupby("bin", as_index=False)[["n0", "n1"]].sum()
+    few = min(every["n0"].sum(), every["n1"].sum())
+    cut = _best_cut(every, prior) * few / (few + 20)
+    model.out[-1] -= np.float32(cut)
+    for lang, own in found.groupby("lang"):
+        few = min(own["n0"].sum(), own["n1"].sum())
+        if few:
+            shift = (_best_cut(own, prior) - cut) * few / (few + 20)
+            model.thresholds[lang] = float(1 / (1 + np.exp(-shift)))
+
+
+def _best_cut(bins: pd.DataFrame, prior: float) -> float:
+    """Middle of the gap between bins of logits that gives the best accuracy where label 1 has the share prior; of equals the nearest to 0."""
+    bins = bins.sort_values("bin")
+    s, n0, n1 = bins["bin"].to_numpy() / _BINS, bins["n0"].to_numpy(), bins["n1"].to_numpy()
+    below = np.concatenate([[0], np.cumsum(n0)]) / max(1, n0.sum())
+    above = 1 - np.concatenate([[0], np.cumsum(n1)]) / max(1, n1.sum())
     gain = (1 - prior) * below + prior * above
     edges = np.concatenate([[s[0] - 1], (s[1:] + s[:-1]) / 2, [s[-1] + 1]])
     best = np.flatnonzero(gain >= gain.max() - 1e-9)
@@ -274,7 +422,7 @@ def _best_cut(logits: np.ndarray, truth: np.ndarray, prior: float) -> float:
 
 
 def _scored(rows: DataFrame, model: TextCNN, schema: str) -> DataFrame:
-    """rows with text -> the same without it and with score; the model is at most a few MB, the sample bounds it."""
+    """rows with text -> the same without it and with score; the model has parts of a share of COMMON_PART or more."""
     sent = send_out(rows.sparkSession, model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,6 +83,47 @@ def test_a_repeated_id_reaches_the_driver_once(spark):
     assert toxicity.toxicity(docs, model).count() == len(rows)
 
 
+def test_all_labelled_rows_are_learnt_from(spark):
+    """A word of 40 toxic texts, 10 of them in each of four blocks, and one that only very long texts have."""
+    rnd = random.Random(8)
+    filler = [f"plain{k}" for k in range(60)]
+    rows, marks = [], []
+    for i in range(1200):
+        text = [rnd.choice(filler) for _ in range(rnd.randrange(5, 30))]
+        bad = i % 10 == 0
+        if bad:
+            text.insert(rnd.randrange(len(text)), "zorkhead" if i % 20 else "grumpface")
+        if i % 20 == 0:
+            text += ["plain1 plain2 plain3"] * 2500
+        rows.append((i, " ".join(text)))
+        marks.append((i, int(bad)))
+    assert all(len(t) > 40_000 for i, t in rows if i % 20 == 0)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, toxicity.train(docs, labels, 200)).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i] == dict(marks)[i] for i in held]) > 0.97
+    assert all(got[i] == 1 for i in held if i % 20 == 0)
+
+
+def test_rounds_over_blocks_take_the_mean(spark):
+    texts, labels = ["bad words here", "fine words here", "bad again", "fine again"] * 8, [1, 0, 1, 0] * 8
+    model = toxicity.TextCNN(min_texts=1).start(toxicity._part_counts(texts)[0])
+    one = toxicity.pickle.dumps(model)
+    rows = spark.createDataFrame([(i, y, t) for i, (t, y) in enumerate(zip(texts, labels))], "turn long, toxic int, text string")
+    toxicity._round(toxicity._blocks(rows, model, 2), model, 0, (1.0, 1.0))
+    found = []
+    for block in (0, 1):
+        own = toxicity.pickle.loads(one)
+        held = sorted((i, t, y) for i, (t, y) in enumerate(zip(texts, labels)) if i % 2 == block)
+        changed = own.learn(own.coded([t for _, t, _ in held], [y for *_, y in held]), np.random.default_rng([own.seed, 0, block]))
+        found.append((own, set(changed.tolist())))
+    assert np.allclose(model.out, (found[0][0].out + found[1][0].out) / 2, atol=1e-6)
+    assert np.allclose(model.kernels, (found[0][0].kernels + found[1][0].kernels) / 2, atol=1e-6)
+    for row in range(len(model.parts)):
+        of = [own.table[row] for own, changed in found if row in changed] or [toxicity.pickle.loads(one).table[row]]
+        assert np.allclose(model.table[row], np.mean(of, 0), atol=1e-6)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
