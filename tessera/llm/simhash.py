@@ -175,6 +175,8 @@ def keep_first(docs: DataFrame, words: int, distance: int, bucket: int = BUCKET)
 
 #: Lanes of 64 bits of a wide fingerprint; keys of a text, and least hashes in a key.
 LANES, KEYS, ROWS = 6, 25, 5
+#: Slots of a shingle set's parities, a power of two: it rules out most pairs under the similarity among texts of up to some 500 shingles.
+PARITIES = 1024
 _ODD = 0x9E3779B97F4A7C15
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 64, (2, KEYS * ROWS, 1), dtype=np.uint64)
 _MIX = _SEEDS[1] | np.uint64(1)
@@ -259,15 +261,22 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, seen long, node long, size long, fp array<long>, keys array<long>")
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of PARITIES slots whether an odd number of the set's shingles falls in it, in words of 64 bits."""
+    slots = np.bincount(shingles.view(np.uint64) >> np.uint64(BITS - PARITIES.bit_length() + 1), minlength=PARITIES) & 1
+    return np.packbits(slots.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of wanted(node, seen): one set for a node, however many rows have its text."""
+    """(node, shingles, odd) of wanted(node, seen): one set and its parities for a node, however many rows have its text."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "shingles": [np.unique(_hashes(_parts(t), words)).view(np.int64) for t in batch["text"]]})
+            sets = [np.unique(_hashes(_parts(t), words)) for t in batch["text"]]
+            yield pd.DataFrame({"node": batch["node"], "shingles": [s.view(np.int64) for s in sets], "odd": [_parities(s) for s in sets]})
 
     rows = docs.select("text", F.xxhash64("text").alias("seen")).join(wanted, "seen").groupBy("node").agg(F.min("text").alias("text"))
-    return rows.mapInPandas(work, "node long, shingles array<long>")
+    return rows.mapInPandas(work, "node long, shingles array<long>, odd array<long>")
 
 
 def _apart(x: str, y: str, lanes: Iterable[int] = range(LANES)) -> Column:
@@ -290,18 +299,34 @@ def _within(x: str, y: str, reach: int) -> Column:
     return found
 
 
+def _few_apart(x: str, y: str, sizes: Column, similarity: float) -> Column:
+    """Whether the parities leave the similarity possible; no pair that has it is ruled out.
+
+    A slot in which two sets differ holds a shingle that only one of them has, and of those a pair of the similarity s
+    has at most a share (1 - s) / (1 + s) of both sizes.
+    """
+    slots = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(PARITIES // BITS)), F.lit(0))
+    return slots <= sizes * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, bucket: int = BUCKET, tile: int = 1024) -> DataFrame:
     """Links (a, b) that connect all nodes of the similarity or more and no others; what they rest on is checked on the two shingle sets.
 
     nodes(node, seen, size, fp, keys). Candidates have a key in common. Each node of a key is first compared with the
-    least one, then with the nearest that isn't connected to it yet, and then with all that still aren't: what is
-    connected needs no comparison, so large groups don't cost all their pairs. Of the keys that two nodes share only the
+    most central one, whose keys have the most nodes: a text that others were made from keeps more of its least hashes
+    than they do. Then it is compared with the nearest that isn't connected to it yet, and then with all that still aren't:
+    what is connected needs no comparison, so large groups don't cost all their pairs. Of the keys that two nodes share only the
     first makes them a candidate. Keys of more than `bucket` nodes are cut into tiles of `tile` by `tile`. Fingerprints
-    only rule out pairs four deviations beyond the similarity.
+    only rule out pairs four deviations beyond the similarity, parities of the sets only pairs that don't have it: what isn't
+    connected is compared inside the join, but few pairs come out of it that are no links.
     """
     keys = nodes.select("node", F.posexplode("keys").alias("turn", "head"))
-    shared = keys.groupBy("turn", "head").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
-    shared = materialise(keys.join(shared, ["turn", "head"]), "shared")
+    sizes = keys.groupBy("turn", "head").agg(F.count("*").alias("n")).where("n > 1")
+    counted = materialise(keys.join(sizes, ["turn", "head"]), "counted")
+    held = counted.groupBy("node").agg(F.sum("n").alias("held"))
+    centres = counted.join(held, "node").groupBy("turn", "head").agg(F.max_by("node", F.struct("held", "node")).alias("centre"))
+    shared = materialise(counted.join(centres, ["turn", "head"]), "shared")
+    forget(counted)
     slim = nodes.select("node", "size", "fp")
     sets = materialise(_sets(docs, shared.select("node").distinct().join(nodes.select("node", "seen"), "node"), words), "sets")
     reach = reach_of(similarity, LANES * BITS)
@@ -320,13 +345,13 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: flo
         """The nodes of every key that parts(node, component) don't connect, with the tiles that they belong to."""
         placed = shared.drop("centre").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
         mixed = placed.groupBy("turn", "head").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("turn", "head")
-        rest = placed.join(mixed, ["turn", "head"]).join(nodes.select("node", "size", "fp", "keys"), "node")
+        rest = placed.join(mixed, ["turn", "head"]).join(nodes.select("node", "size", "fp", "keys"), "node").join(sets.select("node", "odd"), "node")
         tiles = F.when(F.col("n") > bucket, F.ceil(F.col("n") / tile)).otherwise(1).cast("int")
         rest = rest.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         rest = rest.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
         earlier = F.slice("keys", F.lit(1), F.col("turn")).alias("earlier")
-        return materialise(rest.select("turn", "head", "low", "high", "own", "node", "part", "size", "fp", earlier), "rest")
+        return materialise(rest.select("turn", "head", "low", "high", "own", "node", "part", "size", "fp", "odd", earlier), "rest")
 
     def candidates(rest: DataFrame) -> DataFrame:
         """(a, b, apart) of open_nodes(), each pair once: at the first key that it shares, and of one tile in that tile alone."""
@@ -335,7 +360,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: flo
         other = (F.col("x.part") != F.col("y.part")) & (F.col("x.node") < F.col("y.node"))
         first = ~F.exists(F.zip_with("x.earlier", "y.earlier", lambda p, q: p == q), lambda hit: hit)
         once = (F.col("x.own") != F.col("y.own")) | (F.col("x.low") == F.col("x.high"))
-        found = x.join(y, same[0] & same[1] & same[2] & same[3] & other & once & near() & first)
+        alike = near() & _few_apart("x.odd", "y.odd", F.col("x.size") + F.col("y.size"), similarity)
+        found = x.join(y, same[0] & same[1] & same[2] & same[3] & other & once & alike & first)
         return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), _apart("x.fp", "y.fp").alias("apart"))
 
     def as_links(parts: DataFrame) -> DataFrame:

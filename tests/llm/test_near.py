@@ -333,3 +333,52 @@ def test_tiles_lose_no_link_and_candidates_come_once(spark):
         for bucket, tile in ((64, 1024), (0, 3))
     ]
     assert parts[0] == parts[1]
+
+
+def rows_of_tiles(spark, since):
+    """Rows that the joins of open nodes have made in the executions after the first `since`."""
+    store, found = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in map(runs.apply, range(since, runs.size())):
+        nodes, values = store.planGraph(run.executionId()).allNodes(), store.executionMetrics(run.executionId())
+        for node in map(nodes.apply, range(nodes.size())):
+            if "Join" in node.name() and "low" in node.desc():
+                metrics = [m for m in map(node.metrics().apply, range(node.metrics().size())) if m.name() == "number of output rows"]
+                found += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if values.contains(m.accumulatorId()))
+    return found
+
+
+def test_a_large_group_makes_few_candidates(spark):
+    """300 texts made from one by random changes, most of them under the similarity to each other."""
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    shingles, texts = [], []
+    for _ in range(300):
+        copy = list(base)
+        for at in rnd.sample(range(150), rnd.randrange(1, 7)):
+            copy[at] = f"x{rnd.random()}"
+        texts.append(" ".join(copy))
+        shingles.append({tuple(copy[i : i + 5]) for i in range(146)})
+    first = list(range(300))
+    for j in range(300):
+        for i in range(j):
+            if len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j]) >= 0.8 and first[i] != first[j]:
+                a, b = sorted((first[i], first[j]))
+                first = [a if f == b else f for f in first]
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_first_similar(docs).collect()} == set(first) and len(set(first)) > 100
+    assert rows_of_tiles(spark, since) < 3000  # of 44,850 pairs
+
+
+def test_parities_rule_out_no_similar_pair():
+    """The slots that differ are never more than the shingles that one set alone has."""
+    rnd = np.random.default_rng(2)
+    for n in (1, 5, 300, 5000):
+        for share in (0.0, 0.1, 0.5):
+            a = np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[int(n * share) :], rnd.integers(0, 1 << 64, int(n * share), dtype=np.uint64)]))
+            x, y = (simhash._parities(s).view(np.uint64) for s in (a, b))
+            assert len(x) == simhash.PARITIES // 64
+            apart = int(np.bitwise_count(x ^ y).sum())
+            assert apart <= len(np.setxor1d(a, b)) and (share or not apart)
