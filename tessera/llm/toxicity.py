@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,10 +32,14 @@ ROWS_PER_BLOCK, BLOCK_TEXT = 8000, 24 << 20
 COMMON_PART, PASSES, LEAST_ROUNDS = 5e-4, 40_000, 4
 #: Blocks' values are summed as whole numbers of this fraction, in any order to the same sum; bins of one unit of a logit.
 _FRACTION, _BINS = 2.0**32, 256
+#: Words of short texts that are scored at once.
+WORDS_AT_ONCE = 16_384
 #: Lengths in bytes of the affixes that count as parts of a longer word.
 AFFIXES = (5, 7, 9)
 #: What a prefix's hash goes on from.
 _PREFIX = zlib.crc32(b"^")
+#: What each byte makes of an empty remainder.
+_CRC = np.array([zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], np.uint32)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -79,21 +84,18 @@ class TextCNN:
     squares: np.ndarray = field(default=None, repr=False)
     step: int = 0
 
-    def _rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Embedding rows of the words' known parts, and the word each belongs to."""
-        each = [parts_of(w) for w in words]
-        flat = np.array([p for ps in each for p in ps], np.uint32)
-        owner = np.repeat(np.arange(len(words)), [len(ps) for ps in each]) if words else np.zeros(0, int)
-        at = np.minimum(np.searchsorted(self.parts, flat), max(len(self.parts) - 1, 0))
-        known = self.parts[at] == flat if len(self.parts) else np.zeros(len(flat), bool)
-        return at[known], owner[known]
+    def _located(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embedding rows of the known ones of the words' parts, and where each word's begin."""
+        at = np.minimum(np.searchsorted(self.parts, hashes), max(len(self.parts) - 1, 0))
+        known = self.parts[at] == hashes if len(self.parts) else np.zeros(len(hashes), bool)
+        return at[known].astype(np.int32), np.concatenate([[0], np.cumsum(known)])[first].astype(np.int32)
 
     def _embed(self, words: list[bytes]) -> np.ndarray:
-        rows, owner = self._rows(words)
+        rows, first = self._located(*_lexicon_parts(words))
         made = np.zeros((len(words), self.width), np.float32)
-        if len(rows):  # owners are in order
-            begin = np.flatnonzero(np.diff(owner, prepend=-1))
-            made[owner[begin]] = np.add.reduceat(self.table[rows], begin, axis=0)
+        some = np.flatnonzero(np.diff(first))
+        if len(some):
+            made[some] = np.add.reduceat(self.table[rows], first[some], axis=0)
         return made
 
     def _offsets(self) -> list[tuple[int, int, int]]:
@@ -105,35 +107,25 @@ class TextCNN:
                 at += self.filters
         return found
 
-    def _pool(self, projected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Maxima of all filters over a text whose words have the projections, and where they are."""
-        n, pad = len(projected), max(self.spans) - 1
-        padded = np.zeros((projected.shape[1], n + 2 * pad), np.float32)
-        padded[:, pad : pad + n] = projected.T
+    def _pool(self, projected: np.ndarray, sizes: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Maxima of all filters over each of the texts, whose words, `sizes` of them in each, have the projections; with `places` also where they are."""
+        pad = max(self.spans) - 1
+        begin = np.cumsum(sizes + pad) - sizes - pad  # zeros stand before every text and behind the last
+        total_size = int(sizes.sum() + pad * len(sizes))
+        padded = np.zeros((projected.shape[1], total_size + pad), np.float32)
+        padded[:, np.arange(len(projected)) + np.repeat(pad * np.arange(1, len(sizes) + 1), sizes)] = projected.T
         best, where = [], []
         for s, span in enumerate(self.spans):
             total = 0
             for width, shift, at in self._offsets():
                 if width == span:
-                    total = total + padded[at : at + self.filters, shift : n + 2 * pad - span + 1 + shift]
-            peak = total.argmax(1)
-            best.append(total[np.arange(self.filters), peak] + self.bias[s])
-            where.append(peak - pad)
-        return np.concatenate(best), np.concatenate(where)
-
-    def _peaks(self, projected: np.ndarray) -> np.ndarray:
-        """The maxima that _pool() gives, without where they are."""
-        n, pad = len(projected), max(self.spans) - 1
-        padded = np.zeros((n + 2 * pad, projected.shape[1]), np.float32)
-        padded[pad : pad + n] = projected
-        best = []
-        for s, span in enumerate(self.spans):
-            total = 0
-            for width, shift, at in self._offsets():
-                if width == span:
-                    total = total + padded[shift : n + 2 * pad - span + 1 + shift, at : at + self.filters]
-            best.append(total.max(0) + self.bias[s])
-        return np.concatenate(best)
+                    total = total + padded[at : at + self.filters, shift : total_size + shift]
+            peak = np.maximum.reduceat(total, begin, axis=1)
+            best.append(peak.T + self.bias[s])
+            if places:
+                spots = np.where(total == np.repeat(peak, sizes + pad, axis=1), np.arange(total_size), total_size)
+                where.append((np.minimum.reduceat(spots, begin, axis=1) - begin - pad).T)
+        return np.hstack(best), np.hstack(where) if places else None
 
     def start(self, parts: np.ndarray) -> TextCNN:
         """Untrained values for the sorted parts."""
@@ -155,10 +147,8 @@ class TextCNN:
 
     def coded(self, texts: list[str], labels: list[int]) -> tuple:
         """Texts as learn() takes them: the places of their words in a lexicon, the embedding rows of its words and where each word's begin, labels."""
-        lexicon: dict[bytes, int] = {}
-        codes = [np.array([lexicon.setdefault(w, len(lexicon)) for w in words_of(t)], np.int32) for t in texts]
-        rows, owner = self._rows(list(lexicon))
-        return codes, rows.astype(np.int32), np.searchsorted(owner, np.arange(len(lexicon) + 1)).astype(np.int32), np.array(labels, np.float32)
+        codes, hashes, first, y = _worded(texts, labels)
+        return codes, *self._located(hashes, first), y
 
     def fit(self, texts: list[str], labels: list[int]) -> TextCNN:
         found, counts = _part_counts(texts)
@@ -194,29 +184,25 @@ class TextCNN:
             place = np.zeros(len(vectors), np.int32)
             place[used] = np.arange(len(used))
             g_out, g_bias, g_kernel = np.zeros_like(self.out), np.zeros_like(self.bias), np.zeros_like(self.kernels)
+            sizes, codes = np.array([len(coded[i]) for i in chosen]), np.concatenate([coded[i] for i in chosen])
+            pooled, where = self._pool(projected[place[codes]], sizes, places=True)
+            hidden = np.maximum(pooled, 0)
+            chance = 1 / (1 + np.exp(-np.clip(hidden @ self.out[:-1] + self.out[-1], -30, 30)))
+            error = ((chance - y[chosen]) * np.array(weight)[y[chosen].astype(int)] / len(chosen)).astype(np.float32)
+            g_out += np.append(error @ hidden, error.sum())
+            back = error[:, None] * self.out[:-1] * (pooled > 0)
+            g_bias += back.sum(0).reshape(g_bias.shape)
             words, pulls = [], []
-            for i in chosen:
-                pooled, where = self._pool(projected[place[coded[i]]])
-                hidden = np.maximum(pooled, 0)
-                chance = 1 / (1 + np.exp(-np.clip(hidden @ self.out[:-1] + self.out[-1], -30, 30)))
-                error = (chance - y[i]) * weight[int(y[i])] / len(chosen)
-                g_out += error * np.append(hidden, 1).astype(np.float32)
-                back = error * self.out[:-1] * (pooled > 0)
-                for s, span in enumerate(self.spans):
-                    part = slice(s * self.filters, (s + 1) * self.filters)
-                    g_bias[s] += back[part]
-                    for width, shift, col in self._offsets():
-                        if width != span:
-                            continue
-                        spots = where[part] + shift
-                        inside = np.flatnonzero((spots >= 0) & (spots < len(coded[i])))
-                        if not len(inside):
-                            continue
-                        touched = coded[i][spots[inside]]
-                        pull = back[part][inside]
-                        g_kernel[:, col + inside] += (vectors[touched] * pull[:, None]).T
-                        words.append(touched)
-                        pulls.append(pull[:, None] * self.kernels[:, col + inside].T)
+            text_at = np.cumsum(sizes) - sizes
+            for width, shift, col in self._offsets():
+                part = slice(self.spans.index(width) * self.filters, (self.spans.index(width) + 1) * self.filters)
+                spots = where[:, part] + shift
+                text, of = np.nonzero((spots >= 0) & (spots < sizes[:, None]))
+                if len(text):
+                    touched, pull = codes[text_at[text] + spots[text, of]], back[text, part.start + of][:, None]
+                    np.add.at(g_kernel.T, col + of, vectors[touched] * pull)
+                    words.append(touched)
+                    pulls.append(pull * self.kernels[:, col + of].T)
             adam("out", g_out + 1e-4 * self.out)
             adam("bias", g_bias)
             adam("kernels", g_kernel)
@@ -233,28 +219,40 @@ class TextCNN:
         return np.flatnonzero(changed)
 
     def scorer(self):
-        """A function from a text to its score; it remembers the projections of up to 200,000 words."""
+        """A function from texts to their scores; it remembers the projections of up to 200,000 words."""
         memo: dict[bytes, int] = {}
         kept = np.zeros((1024, self.kernels.shape[1]), np.float32)
 
-        def score(text: str | None) -> float:
+        def some(each: list[list[bytes]]) -> np.ndarray:
             nonlocal kept
-            words = words_of(text)
-            new = [w for w in set(words) if w not in memo]
+            present = set().union(*each)
+            new = sorted(present.difference(memo))
             if len(memo) + len(new) > 200_000:
                 memo.clear()
-                new = list(set(words))
+                new = sorted(present)
             if new:
                 start = len(memo)
                 while start + len(new) > len(kept):
                     kept = np.concatenate([kept, np.zeros_like(kept)])
                 kept[start : start + len(new)] = self._embed(new) @ self.kernels
                 memo.update(zip(new, range(start, start + len(new)), strict=True))
-            codes = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-            pooled = np.maximum(self._peaks(kept[codes]), 0)
-            return float(1 / (1 + np.exp(-np.clip(pooled @ self.out[:-1] + self.out[-1], -30, 30))))
+            sizes = np.array([len(words) for words in each])
+            codes = np.fromiter(map(memo.__getitem__, chain.from_iterable(each)), np.int64, sizes.sum())
+            hidden = np.maximum(self._pool(kept[codes], sizes)[0], 0)
+            return 1 / (1 + np.exp(-np.clip((hidden * self.out[:-1]).sum(1) + self.out[-1], -30, 30).astype(np.float64)))  # a text's sum doesn't depend on its neighbours
+
+        def scores(texts: list[str | None]) -> np.ndarray:
+            found, each, n = [], [], 0
+            for text in texts:
+                words = words_of(text)
+                if each and n + len(words) > WORDS_AT_ONCE:
+                    found.append(some(each))
+                    each, n = [], 0
+                each.append(words)
+                n += len(words) + max(self.spans)
+            return np.concatenate([*found, some(each)]) if each else np.zeros(0)
 
-        return score
+        return scores
 
 
 def is_held_out(id_col: str = "doc_id"):
@@ -262,56 +260,134 @@ def is_held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
+def _crc32(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, value: int = 0) -> np.ndarray:
+    """zlib.crc32 of many stretches of the data, byte by byte over all of them."""
+    order = np.argsort(-sizes, kind="stable")
+    starts, falling = starts[order], -sizes[order]
+    now = np.full(len(sizes), value ^ 0xFFFFFFFF, np.uint32)
+    for k in range(int(sizes.max(initial=0))):
+        still = np.searchsorted(falling, -k)  # those of more than k bytes
+        now[:still] = _CRC[(now[:still] ^ data[starts[:still] + k]) & 255] ^ (now[:still] >> 8)
+    found = np.empty_like(now)
+    found[order] = now ^ np.uint32(0xFFFFFFFF)
+    return found
+
+
+def _lexicon_parts(words: Collection[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """parts_of() the words, one word after the other, and where each word's begin."""
+    data, sizes = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+    starts, affixed = np.cumsum(sizes) - sizes, sizes > AFFIXES[0]
+    prefixes = [np.flatnonzero(sizes > k) for k in AFFIXES]
+    first = np.concatenate([[0], np.cumsum(1 + affixed + sum((sizes > k).astype(int) for k in AFFIXES))])
+    parts, most = np.empty(first[-1], np.uint32), 64
+    parts[first[:-1]] = _crc32(data, starts, np.where(sizes > most, 0, sizes))
+    for i in np.flatnonzero(sizes > most):
+        parts[first[i]] = zlib.crc32(data[starts[i] : starts[i] + sizes[i]])
+    for at, (k, long) in enumerate(zip(AFFIXES, prefixes, strict=True), 1):
+        parts[first[long] + at] = _crc32(data, starts[long], np.full(len(long), k), _PREFIX)
+    ends = _crc32(data, (starts + sizes - AFFIXES[0])[affixed], np.full(affixed.sum(), AFFIXES[0])) ^ np.uint32(0xFFFFFFFF)
+    parts[first[1:][affixed] - 1] = _CRC[(ends ^ ord("$")) & 255] ^ (ends >> 8) ^ np.uint32(0xFFFFFFFF)
+    return parts, first.astype(np.int32)
+
+
+def _worded(texts: list[str], labels: list[int]) -> tuple:
+    """A block without a model: the places of the texts' words in a lexicon, the parts of its words and where each word's begin, labels."""
+    each, lexicon = [words_of(t) for t in texts], {}
+    for words in each:
+        new = sorted(set(words).difference(lexicon))
+        lexicon.update(zip(new, range(len(lexicon), len(lexicon) + len(new)), strict=True))
+    codes = [np.fromiter(map(lexicon.__getitem__, words), np.int32, len(words)) for words in each]
+    return codes, *_lexicon_parts(lexicon), np.array(labels, np.float32)
+
+
+def _counted(block: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted parts of a _worded() block, and how many of its texts have each."""
+    codes, hashes, first, _ = block
+    parts, place = np.unique(hashes, return_inverse=True)
+    counts, last = np.zeros(len(parts), np.int64), np.full(len(parts), -1)
+    for words in codes:
+        flat = place[_ranges(first, words)[0]]
+        last[flat] = np.arange(len(flat))
+        counts[flat[last[flat] == np.arange(len(flat))]] += 1
+    return parts, counts
+
+
 def _part_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The sorted parts of the texts' words, and how many texts have each."""
-    memo: dict[bytes, list[int]] = {}
-    present = []
-    for text in texts:
-        words = set(words_of(text))
-        memo.update((w, parts_of(w)) for w in words.difference(memo))
-        flat = {p for w in words for p in memo[w]}
-        present.append(np.fromiter(flat, np.uint32, len(flat)))
-    return np.unique(np.concatenate(present), return_counts=True) if present else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    return _counted(_worded(texts, [0] * len(texts)))
 
 
-def _common_parts(rows: DataFrame, least: float) -> np.ndarray:
-    """Sorted parts that at least so many of the rows' texts have."""
+def _unpacked(size: int, packed: bytes) -> tuple:
+    return pickle.loads(pa.decompress(packed, size, codec="zstd", asbytes=True))
+
+
+def _common_parts(blocks: DataFrame, least: float) -> np.ndarray:
+    """Sorted parts that at least so many of the blocks' texts have."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                parts, counts = _part_counts(batch.column(0).slice(at, 1000).to_pylist())
+            for size, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                parts, counts = _counted(_unpacked(size, packed))
                 for k in range(0, len(parts), 1 << 16):
                     part = slice(k, k + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(parts[part].astype(np.int64)), pa.array(counts[part])], ["part", "n"])
 
-    found = rows.select("text").mapInArrow(work, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = blocks.select("size", "packed").mapInArrow(work, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return np.sort(found.select("part").toPandas()["part"].to_numpy(np.int64)).astype(np.uint32)
 
 
-def _blocks(rows: DataFrame, model: TextCNN, blocks: int) -> DataFrame:
-    """(block, size, packed): the rows, dealt by their ids, as learn() takes them."""
-    sent = send_out(rows.sparkSession, model)
+def _dealt(rows: DataFrame, blocks: int, both: bool) -> DataFrame:
+    """(block, size, packed) of the rows to learn from, and (block, toxic, lang, text) of those kept back; with `both` all rows are either.
+
+    rows(turn, doc_id, back, lang, toxic, text): a row without a text is the label of the documents with its id, which have none
+    themselves. Labels and texts come to their block by one shuffle and meet there in the order of the ids.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, now, held = received(sent), None, []
+        now, held, mark = None, [], (None, None)
+
+        def made(block: list, size: list, packed: list, toxic: list, lang: list, text: list) -> pa.RecordBatch:
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.string()]
+            of = [pa.array(c, k) for c, k in zip((block, size, packed, toxic, lang, text), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(of, ["block", "size", "packed", "toxic", "lang", "text"])
 
-        def made() -> pa.RecordBatch:
-            raw = pickle.dumps(model.coded(*map(list, zip(*held, strict=True))))
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(raw)]), pa.array([pa.compress(raw, codec="zstd", asbytes=True)])], ["block", "size", "packed"])
+        def whole() -> pa.RecordBatch:
+            raw = pickle.dumps(_worded(*map(list, zip(*held, strict=True))))
+            return made([now], [len(raw)], [pa.compress(raw, codec="zstd", asbytes=True)], [None], [None], [None])
 
         for batch in batches:
-            for block, toxic, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            rest = []
+            columns = [batch.column(k) for k in ("block", "doc_id", "back", "lang", "toxic")]
+            texts = batch.column("text")
+            for i, (block, doc, back, lang, toxic) in enumerate(zip(*[c.to_pylist() for c in columns], strict=True)):
+                if toxic is None and mark[0] != doc:
+                    continue  # no label: its text stays in Arrow
+                text = texts[i].as_py()
+                if text is None:
+                    mark = doc, toxic
+                    continue
                 if block != now and held:
-                    yield made()
+                    yield whole()
                     held = []
                 now = block
-                held.append((text, toxic))
+                toxic = mark[1] if toxic is None else toxic
+                if both or not back:
+                    held.append((text, toxic))
+                if both or back:
+                    rest.append((block, None, None, toxic, lang, text))
+            if rest:
+                yield made(*map(list, zip(*rest, strict=True)))
         if held:
-            yield made()
+            yield whole()
 
     dealt = rows.withColumn("block", F.pmod("turn", F.lit(blocks)).cast("int")).repartitionById(blocks, F.col("block"))
-    return dealt.sortWithinPartitions("block", "turn", "text").select("block", "toxic", "text").mapInArrow(work, "block int, size long, packed binary")
+    return dealt.sortWithinPartitions("block", "turn", "doc_id", "text").mapInArrow(work, "block int, size long, packed binary, toxic int, lang string, text string")
+
+
+def _blocks(rows: DataFrame, model: TextCNN, blocks: int) -> DataFrame:
+    """(block, size, packed): rows(turn, toxic, text), dealt by their turn; a block has the parts of all its words, whether or not the model knows them."""
+    rows = rows.withColumn("doc_id", F.col("turn")).withColumn("back", F.lit(False)).withColumn("lang", F.lit(None).cast("string"))
+    return _dealt(rows, blocks, False).select("block", "size", "packed")
 
 
 def _round(blocks: DataFrame, model: TextCNN, turn: int, weight: tuple[float, float]) -> None:
@@ -324,7 +400,8 @@ def _round(blocks: DataFrame, model: TextCNN, turn: int, weight: tuple[float, fl
             for i in range(batch.num_rows):
                 block, size, packed = (c[i].as_py() for c in batch.columns)
                 own = received(sent)
-                changed = own.learn(pickle.loads(pa.decompress(packed, size, codec="zstd", asbytes=True)), np.random.default_rng([own.seed, turn, block]), weight)
+                codes, hashes, first, y = _unpacked(size, packed)
+                changed = own.learn((codes, *own._located(hashes, first), y), np.random.default_rng([own.seed, turn, block]), weight)
                 flat = np.concatenate([x.ravel() for x in own.dense()])
                 flat = np.pad(flat, (0, -len(flat) % len(columns))).reshape(-1, len(columns))
                 values = np.concatenate([flat, np.column_stack([own.table[changed], own.squares[changed]])])
@@ -356,13 +433,13 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_block: int = ROWS_PER_BLO
     Rows with a null label are left out, a null text is an empty one, rows of one id count each; labelled twice, a row counts as toxic if either is.
     Without rows of both labels every text gets the share of label 1.
     """
-    marks = materialise(labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "marks")  # of known size: Spark moves texts only if these are many
+    marks = materialise(labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "marks")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     kept_back = F.crc32(F.concat(F.lit("calibrate "), F.col("doc_id").cast("string"))) % 5 == 0
-    of = docs.where(~is_held_out()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(marks, "doc_id")
-    seen = materialise(of.select(F.xxhash64("doc_id").alias("turn"), "toxic", kept_back.alias("back"), "lang", F.octet_length("text").alias("size"), "text"), "labelled")
+    of = docs.where(~is_held_out() & F.col("doc_id").isNotNull()).select("doc_id", kept_back.alias("back"), lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     n, n_text = np.zeros((2, 2), np.int64), 0
-    for r in seen.groupBy("back", F.col("toxic") > 0).agg(F.count("*"), F.sum("size")).collect():
+    sizes = of.select("doc_id", "back", F.octet_length("text").alias("size")).join(marks, "doc_id")  # no text is moved for it
+    for r in sizes.groupBy("back", F.col("toxic") > 0).agg(F.count("*"), F.sum("size")).collect():
         n[int(r[0]), int(r[1])], n_text = r[2], n_text + r[3]
     model = TextCNN(**settings)
     if not n.sum(0).all():
@@ -370,14 +447,16 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_block: int = ROWS_PER_BLO
         share = n[:, 1].sum() / n.sum() if n.sum() else 0.0
         model.out[:] = 0
         model.out[-1] = np.log((share + 1e-6) / (1 - share + 1e-6))
-        forget(seen)
         return model
-    fitted, rest = seen.where("NOT back"), seen.where("back")
-    if not n.all():
-        fitted, rest, n = seen, seen, np.stack([n.sum(0)] * 2)
+    both = not n.all()
+    if both:
+        n = np.stack([n.sum(0)] * 2)
     n_fit = int(n[0].sum())
-    model.start(_common_parts(fitted, max(model.min_texts, COMMON_PART * n_fit)))
-    blocks = materialise(_blocks(fitted, model, max(1, -(-n_fit // rows_per_block), -(-n_text // block_text))), "blocks")
+    one = marks.where(~is_held_out()).select(F.col("doc_id").cast(of.schema["doc_id"].dataType), F.lit(False).alias("back"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("text"), "toxic")
+    rows = of.withColumn("toxic", F.lit(None).cast("int")).unionByName(one).withColumn("turn", F.xxhash64("doc_id"))
+    seen = materialise(_dealt(rows, max(1, -(-n_fit // rows_per_block), -(-n_text // block_text)), both), "labelled")
+    blocks, rest = seen.where("packed IS NOT NULL").select("block", "size", "packed"), seen.where("text IS NOT NULL").select("toxic", "lang", "text")
+    model.start(_common_parts(blocks, max(model.min_texts, COMMON_PART * n_fit)))
     weight = tuple((n_fit / (2 * n[0])).tolist())
     rounds = min(model.epochs, max(LEAST_ROUNDS, -(-PASSES // n_fit)))
     steps = max(1, -(-n_fit // max(1, -(-n_fit // rows_per_block)) // model.batch))
@@ -385,7 +464,6 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_block: int = ROWS_PER_BLO
         _round(blocks, model, turn, weight)
         model.step = (turn + 1) * steps
     model.moments = model.squares = None
-    forget(blocks)
     _calibrate(model, rest, marks.where(~is_held_out()).agg(F.avg("toxic")).first()[0])
     forget(seen)
     return model
@@ -428,7 +506,7 @@ def _scored(rows: DataFrame, model: TextCNN, schema: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = received(sent).scorer()
         for batch in batches:
-            scores = pa.array([score(t) for t in batch.column("text").to_pylist()], pa.float64())
+            scores = pa.array(score(batch.column("text").to_pylist()), pa.float64())
             yield batch.drop_columns(["text"]).append_column("score", scores)
 
     return rows.mapInArrow(work, f"{schema}, score double")
@@ -447,8 +525,8 @@ def toxicity(docs: DataFrame, model: TextCNN, id_col: str = "doc_id", text_col:
 
     The whole text is scored and nothing else; null counts as empty, which scores like a text of
     unknown words. lang only picks the threshold of `flagged`. Repeated rows are scored each; an
-    empty table gives an empty result; other columns are ignored. Texts are scored one at a time,
-    so memory follows the longest.
+    empty table gives an empty result; other columns are ignored. Texts of a few thousand words are
+    scored together, longer ones one at a time, so memory follows the longest.
     """
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(id_col).alias("held_out"), lang.alias("lang"), F.col(text_col).alias("text"))
@@ -471,7 +549,7 @@ def keep_clean(docs: DataFrame, model: TextCNN) -> DataFrame:
         for batch in batches:
             texts = batch.column(names.index("text")).to_pylist()
             langs = batch.column(names.index("lang")).to_pylist() if "lang" in names else [None] * len(texts)
-            yield batch.filter(pa.array([score(t) < bars.get(l, 0.5) for t, l in zip(texts, langs, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array(score(texts) < np.array([bars.get(l, 0.5) for l in langs], np.float64), pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -351,3 +352,39 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert packing.pack_block([60, 50, 40], [0, 1, 2], [0, 1, 0], 100, 1) == [0, 1, 1]
     assert packing.pack_block([60, 50, 40], [0, 1, 0], [0, 1, 2], 100, 1) == [0, 1, 1]
     assert packing.pack_block([60, 50, 40], [0, 1, 0], [0, 1, 2], 100, 2) == [0, 1, 0]
+
+
+def test_parts_of_a_lexicon():
+    """The parts of many words at once are those of each word."""
+    rnd = random.Random(6)
+    words = [bytes(rnd.randrange(256) for _ in range(rnd.randrange(1, 90))) for _ in range(300)] + [b"a" * n for n in range(1, 13)]
+    parts, first = toxicity._lexicon_parts(words)
+    assert [parts[a:b].tolist() for a, b in zip(first, first[1:])] == [toxicity.parts_of(w) for w in words]
+    assert [len(x) for x in toxicity._lexicon_parts([])] == [0, 1]
+
+
+def test_scores_do_not_depend_on_the_texts_beside():
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choice(["bad", "fine", "goodness", "x"]) for _ in range(rnd.randrange(9))) for _ in range(50)] + ["", None]
+    model = toxicity.TextCNN(epochs=1, min_texts=1).fit(texts[:50], [int("bad" in t) for t in texts[:50]])
+    score = model.scorer()
+    assert np.allclose(score(texts), [score([t])[0] for t in texts], atol=1e-6) and len(score([])) == 0
+
+
+def test_labels_move_no_text_twice(spark):
+    """Labels and texts meet where the blocks are made, however many labels there are: no text is moved for a join."""
+    rows = [(i, "some words" + (" zorkhead" if i % 3 == 0 else "")) for i in range(300)] + [(5, "a second text of one id"), (None, "no id"), (1001, "no label")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+        score = toxicity.train(docs, labels, 100).scorer()
+        store = spark._jsparkSession.sharedState().statusStore()
+        runs = store.executionsList()
+        plans = [runs.apply(i).physicalPlanDescription() for i in range(before, runs.size())]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    moved = {found for plan in plans for found in re.findall(r"\) Exchange\s+Input \[\d+\]: \[([^\]]*\btext#[^\]]*)\]\s+Arguments: (\w+\(\w+)", plan)}
+    assert moved and not any("doc_id" in by for _, by in moved)
+    assert score(["some zorkhead words"])[0] > 0.5 > score(["some words"])[0]
