@@ -333,7 +333,7 @@ def _common_parts(blocks: DataFrame, least: float) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(parts[part].astype(np.int64)), pa.array(counts[part])], ["part", "n"])
 
     found = blocks.select("size", "packed").mapInArrow(work, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.sort(found.select("part").toPandas()["part"].to_numpy(np.int64)).astype(np.uint32)
+    return np.sort(found.select("part").toArrow()["part"].to_numpy()).astype(np.uint32)
 
 
 def _dealt(rows: DataFrame, blocks: int, both: bool) -> DataFrame:
@@ -413,8 +413,8 @@ def _round(blocks: DataFrame, model: TextCNN, turn: int, weight: tuple[float, fl
 
     learnt = blocks.mapInArrow(work, ", ".join(["row int", *[f"{c} long" for c in columns]]))
     sums = learnt.groupBy("row").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in columns])
-    means = sums.select("row", *[(F.col(c) / F.col("n") / F.lit(_FRACTION)).cast("float").alias(c) for c in columns]).toPandas().sort_values("row")
-    rows, values = means["row"].to_numpy(), means[columns].to_numpy(np.float32)
+    means = sums.select("row", *[(F.col(c) / F.col("n") / F.lit(_FRACTION)).cast("float").alias(c) for c in columns]).toArrow().sort_by("row")  # no row becomes an object of the driver
+    rows, values = means["row"].to_numpy(), np.column_stack([means[c].to_numpy() for c in columns])
     sent.destroy()
     model.table[rows[rows >= 0]] = values[rows >= 0, :-1]
     model.squares[rows[rows >= 0]] = values[rows >= 0, -1]
@@ -475,7 +475,7 @@ def _calibrate(model: TextCNN, rest: DataFrame, prior: float) -> None:
     score = F.least(F.greatest("score", F.lit(1e-6)), F.lit(1 - 1e-6))
     binned = scored.select("lang", "toxic", F.round(F.log(score / (1 - score)) * _BINS).cast("int").alias("bin"))
     found = binned.groupBy("lang", "bin").agg(F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("n0"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("n1"))
-    found = found.toPandas()
+    found = found.toArrow().to_pandas()
     every = found.groupby("bin", as_index=False)[["n0", "n1"]].sum()
     few = min(every["n0"].sum(), every["n1"].sum())
     cut = _best_cut(every, prior) * few / (few + 20)

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -125,6 +126,21 @@ def test_rounds_over_blocks_take_the_mean(spark):
         assert np.allclose(model.table[row], np.mean(of, 0), atol=1e-6)
 
 
+def test_a_round_makes_no_objects_of_its_rows(spark):
+    """What the driver gets of a round, a value for each number of the model, takes a few times the model's memory there."""
+    rnd = random.Random(11)
+    texts = [" ".join(f"w{rnd.randrange(20_000)}" for _ in range(100)) for _ in range(800)]
+    model = toxicity.TextCNN(min_texts=1).start(toxicity._part_counts(texts)[0])
+    rows = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(texts)], "turn long, toxic int, text string")
+    blocks, before = toxicity._blocks(rows, model, 2), model.table.copy()
+    tracemalloc.start()
+    toxicity._round(blocks, model, 0, (1.0, 1.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    changed = (model.table != before).any(1).sum()
+    assert changed > 5_000 and peak < 5 * model.table.nbytes + 1_000_000
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
