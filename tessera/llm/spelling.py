@@ -72,7 +72,8 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     a = signed.select("sig", F.col("word").alias("a"), F.col("n").alias("n_a"))
     b = signed.select("sig", F.col("word").alias("b"), F.col("n").alias("n_b"))
     verified = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 1) == 1)
-    return a.join(b, (a["sig"] == b["sig"]) & verified).select("a", "n_a", "b", "n_b").distinct()
+    # Spark takes the exploded side for as small as the words' file and would broadcast 28 rows of each word
+    return a.join(b.hint("merge"), (a["sig"] == b["sig"]) & verified).select("a", "n_a", "b", "n_b").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def roots(forms: DataFrame) -> DataFrame:
     ways = materialise(forms.select("word", F.col("form").alias("root")), "ways")
     while True:
         ahead = ways.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        further = materialise(ways.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("went")), "ways")
+        further = materialise(ways.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("went")), "ways")
         forget(ways)
         ways = further
         if ways.where("went").isEmpty():
@@ -109,7 +110,7 @@ def spelling_variants(
         pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("n_other")))
     best = sides.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n_other")).alias("n"), "other")).alias("best"))
     is_form = -F.col("best.n") >= F.col("n") * ratio
-    told = vocabulary.join(best, "word", "left").select(
+    told = vocabulary.join(best.hint("merge"), "word", "left").select(
         "word", F.when(is_form, F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(is_form, -F.col("best.n")).alias("form_n"),
     )
@@ -117,7 +118,7 @@ def spelling_variants(
     forget(pairs)
     forget(vocabulary)
     ends = roots(told.where("form IS NOT NULL"))
-    return told.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return told.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,13 @@ def test_ways_of_several_forms_end_at_the_root(spark):
     assert got == {**{f"w{k}": "w9" for k in range(9)}, "v": "w9", "u": "t"}
 
 
+def test_words_are_not_sent_to_all_tasks_by_the_size_of_their_file(spark, tmp_path):
+    spark.createDataFrame([(f"abcdefg{chr(97 + i)}", 5) for i in range(20)], "word string, n long").write.parquet(str(tmp_path / "w"))
+    near = spelling.near_words(spark.read.parquet(str(tmp_path / "w")))
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    assert near.count() == 190
+
+
 WORD = st.text("abcdeéß", min_size=6, max_size=9)
 
 
