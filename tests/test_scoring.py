@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tessera.operators import retrieval
+from tessera.operators import retrieval, scoring
+from tessera.plans import answers, grid
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -63,3 +64,17 @@ def test_hits_go_to_the_texts(spark, tmp_path):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and hits.count() == 10
     assert retrieval.search(docs.limit(0), queries, "hybrid_rerank").count() == 0 and retrieval.search(docs, queries.limit(0), "hybrid").count() == 0
+
+
+def test_evidence_goes_to_the_texts(spark, tmp_path):
+    spark.range(200).selectExpr("id AS doc_id", "concat('w', id % 7, ' w', id % 11) AS text").write.parquet(str(tmp_path / "d"))
+    found = answers.evidence(spark.createDataFrame([(1, "w1 w2"), (2, "w3")], "query_id long, query string"), spark.read.parquet(str(tmp_path / "d")))
+    assert "hashpartitioning(doc_id" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 2
+
+
+def test_layers_take_the_words_of_each_form_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 5} w{i % 3}") for i in range(30)], "doc_id long, text string")
+    cases = spark.createDataFrame([(1, "w1", ["w1"], False), (2, "w9", ["w9"], True)], "query_id long, query string, keywords array<string>, out_of_scope boolean")
+    packed = []
+    monkeypatch.setattr(scoring, "_packed", lambda rows, most, id_col, f=scoring._packed: packed.append(id_col) or f(rows, most, id_col))
+    assert grid.layered(docs, cases, docs.where("doc_id < 20")).count() == 5 and packed.count("doc_id") == 2
