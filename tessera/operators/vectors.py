@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import nearest
 from tessera.operators.retrieval import top_k
 from tessera.sources.scratch import written_once
 
@@ -33,7 +34,8 @@ def unit(vector: Column) -> Column:
     """The vector over its length, in doubles; one of zeros stays as it is, so that its cosine with anything is 0."""
     v = F.transform(vector, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    # an array of one length, so that it isn't added up again for each component
+    return F.get(F.transform(F.array(norm), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,24 +57,47 @@ def _fitted(vectors: DataFrame, cells: int, sample: int, seed: int) -> np.ndarra
     return np.array(model.clusterCenters())
 
 
-def _nearest(rows: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
-    """rows(.., v) with near, the n nearest cells and their distances, nearest first."""
-    columns = rows.columns
+def _apart(v: pa.Array, centres: np.ndarray) -> np.ndarray:
+    v = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+    return np.sqrt(np.maximum(0, (v * v).sum(1)[:, None] - 2 * v @ centres.T + (centres * centres).sum(1)))
+
+
+def _nearest(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """rows(doc_id, v) with the nearest cell and how far its centroid is apart."""
     sent = rows.sparkSession.sparkContext.broadcast(centroids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                apart = _apart(batch.column("v"), sent.value)
+                cell = apart.argmin(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(apart[np.arange(len(cell)), cell])], [*batch.schema.names, "cell", "apart"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(work, f"{kinds}, cell int, apart double")
+
+
+def _probed(rows: DataFrame, centroids: np.ndarray, probes: int, radius: np.ndarray | None = None) -> DataFrame:
+    """rows(query_id, v, bar) with cells, a bit for each cell that is searched: the `probes` nearest, or given the cells' radius all
+    others that may hold something as near as bar. Without a bar, and for a zero vector, any may."""
+    sent = rows.sparkSession.sparkContext.broadcast((centroids, radius))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, reach = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            apart = np.sqrt(np.maximum(0, (v * v).sum(1)[:, None] - 2 * v @ centres.T + (centres * centres).sum(1)))
-            order = np.argsort(apart, axis=1, kind="stable")[:, :n]
-            near = [[{"cell": int(c), "apart": float(apart[i, c])} for c in row] for i, row in enumerate(order)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.struct([("cell", pa.int32()), ("apart", pa.float64())])))], [*columns, "near"])
+            apart = _apart(batch.column("v"), centres)
+            cells = np.zeros(apart.shape, bool)
+            np.put_along_axis(cells, np.argsort(apart, axis=1, kind="stable")[:, :probes], True, axis=1)
+            if reach is not None:
+                bar = batch.column("bar").to_numpy(zero_copy_only=False)[:, None].astype(float)
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                cells = ~cells & (np.isnan(bar) | ~v.any(1)[:, None] | (apart - reach - _SLACK <= bar))
+            bits = pa.array([x.tobytes() for x in np.packbits(cells, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("v"), bits], ["query_id", "embedding", "cells"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(work, f"{kinds}, near array<struct<cell:int,apart:double>>")
+    return rows.mapInArrow(work, f"query_id {rows.schema['query_id'].dataType.simpleString()}, embedding array<double>, cells binary")
 
 
 def build_index(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE, seed: int = 7) -> Index:
@@ -85,7 +110,7 @@ def build_index(vectors: DataFrame, cells: int | None = None, sample: int = SAMP
     n = rows.count()
     cells = min(cells or math.isqrt(n), MOST_CELLS, n)
     centroids = _fitted(rows, cells, sample, seed) if n and cells > 1 else np.array([r.v for r in rows.limit(1).collect()])
-    placed = _nearest(rows, centroids, 1).select(F.col("near")[0]["cell"].alias("cell"), F.col("near")[0]["apart"].alias("apart"), "doc_id", "v")
+    placed = _nearest(rows, centroids).select("cell", "apart", "doc_id", "v")
     placed = written_once(placed.withColumn("spread", F.xxhash64("doc_id")), "cells")
     sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("apart").alias("radius"))
     sizes = written_once(sizes.withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("int")), "sizes")
@@ -94,12 +119,11 @@ def build_index(vectors: DataFrame, cells: int | None = None, sample: int = SAMP
     return Index(pieced.select("cell", "piece", "doc_id", "v"), sizes, centroids)
 
 
-def _scored(index: Index, probes: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of all rows in the cells of probes(query_id, qv, cell); queries of a cell travel as one row."""
-    pieces = index.cells.select("cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-    asked = probes.join(F.broadcast(pieces), "cell")  # a row for each piece of a cell
-    hit = index.rows.join(asked, ["cell", "piece"])
-    return hit.select("query_id", "doc_id", F.round(dot(F.col("qv"), F.col("v")), 6).alias("score"))
+def _scored(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score) of what can be among the k best in the cells of asked(query_id, embedding, cells); a task has some
+    pieces of cells and some queries."""
+    rows = index.rows.select("doc_id", F.col("v").alias("embedding"), "cell", "piece")
+    return nearest.scores(rows, asked, k, True, F.xxhash64("cell", "piece"))
 
 
 def ann_topk(index: Index, queries: DataFrame, k: int = 5, probes: int | None = None, least: float = -1.0, surely: bool = False) -> DataFrame:
@@ -114,18 +138,17 @@ def ann_topk(index: Index, queries: DataFrame, k: int = 5, probes: int | None =
         return queries.select("query_id", F.lit(None).cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     probes = min(n, probes or max(LEAST_PROBES, math.ceil(PROBED * n)))
     asked = queries.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("query_id", unit(F.col("embedding")).alias("v"))
-    placed = _nearest(asked, index.centroids, n if surely else probes)
-    own = placed.select("query_id", F.col("v").alias("qv"))
-    first = _scored(index, placed.select("query_id", F.col("v").alias("qv"), F.explode(F.slice("near", 1, probes)).alias("near")).select("query_id", "qv", "near.cell"))
+    asked = written_once(asked, "asked")
+    first = _scored(index, _probed(asked, index.centroids, probes), k)
     if not surely:
         return top_k(first.where(F.col("score") >= least), k).select("query_id", "doc_id", "score", "rank")
     best = written_once(top_k(first, k), "nearest")
     # a hit of score s lies sqrt(1 + |q| |q| - 2 s) away; zero vectors lie nearer to all than that says, so they count as 1
     bar = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score"))) + 1e-3).alias("bar"))
-    rest = placed.select("query_id", (dot(F.col("v"), F.col("v")) == 0).alias("zero"), F.explode(F.slice("near", probes + 1, n)).alias("near"))
-    rest = rest.select("query_id", "zero", "near.*").join(F.broadcast(index.cells.select("cell", "radius")), "cell").join(bar, "query_id", "left")
-    rest = rest.where(F.col("bar").isNull() | F.col("zero") | (F.col("apart") - F.col("radius") - _SLACK <= F.col("bar")))
-    more = _scored(index, rest.select("query_id", "cell").join(own, "query_id"))
+    radius = np.full(n, -math.inf)
+    for r in index.cells.select("cell", "radius").collect():  # a row for each cell
+        radius[r.cell] = r.radius
+    more = _scored(index, _probed(asked.join(bar, "query_id", "left"), index.centroids, probes, radius), k)
     both = best.select("query_id", "doc_id", "score").unionByName(more)
     return top_k(both.where(F.col("score") >= least), k).select("query_id", "doc_id", "score", "rank")
 

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tessera.operators import retrieval, scoring
@@ -78,3 +79,17 @@ def test_layers_take_the_words_of_each_form_once(spark, monkeypatch):
     packed = []
     monkeypatch.setattr(scoring, "_packed", lambda rows, most, id_col, f=scoring._packed: packed.append(id_col) or f(rows, most, id_col))
     assert grid.layered(docs, cases, docs.where("doc_id < 20")).count() == 5 and packed.count("doc_id") == 2
+
+
+def test_best_scores_of_several_blocks():
+    rng = np.random.default_rng(3)
+    blocks = [rng.integers(0, 50, (4, 9)) / 7 for _ in range(5)] + [np.full((4, 9), -1.0), np.full((4, 9), -math.inf)]
+    top, kept = np.full((4, 3), -math.inf), [[] for _ in range(4)]
+    for n, block in enumerate(blocks):
+        for q, d in zip(*scoring.best(block, top), strict=True):
+            kept[q].append((-block[q, d], n * 9 + d))
+    whole = np.concatenate(blocks, axis=1)
+    for q in range(4):
+        want = sorted((-s, d) for d, s in enumerate(whole[q]))[:3]
+        assert sorted(kept[q])[:3] == want and sorted(-top[q]) == [s for s, _ in want]
+    assert len(scoring.best(blocks[-2], top)[0]) == 0
