@@ -93,3 +93,14 @@ def test_best_scores_of_several_blocks():
         want = sorted((-s, d) for d, s in enumerate(whole[q]))[:3]
         assert sorted(kept[q])[:3] == want and sorted(-top[q]) == [s for s, _ in want]
     assert len(scoring.best(blocks[-2], top)[0]) == 0
+
+
+def test_many_hits_are_not_sent_to_all_documents(spark, tmp_path, monkeypatch):
+    spark.range(300).selectExpr("id AS doc_id", "concat('w', id % 7, ' w', id % 11) AS text").write.parquet(str(tmp_path / "d"))
+    docs, queries = spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame([(i, f"w{i % 7} w{i % 5}") for i in range(30)], "query_id long, query string")
+    few = answers.evidence(queries, docs)
+    monkeypatch.setattr(retrieval.sent, "__defaults__", (10,))
+    many = answers.evidence(queries, docs)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (few, many)]
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
