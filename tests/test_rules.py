@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import rulesets as R
+from tessera.functions.text import any_of, matches_any
 from tessera.operators import gates
 
 
@@ -76,3 +78,15 @@ def test_videos_and_keywords(spark):
     row = one(spark, "Show the inhaler technique for bronchiolitis", gates.video(q), gates.condition(q), gates.keyword_intent(q))
     assert tuple(row) == ("inhaler_technique", "BRONCHIOLITIS", "GENERAL")
     assert one(spark, "تمارين التنفس", gates.video(q))[0] == "breathing_exercise"
+
+
+def test_patterns_put_together_find_the_same(spark):
+    packs = {n: getattr(R, n) for n in ("EMERGENCY", "RED_FLAGS", "INJECTION", "OFF_TOPIC", "PATIENT_SCENARIO", "VAGUE", "OVERRIDE", "EDUCATIONAL")} | {"odd": [r"\bcat|dog(s|\|)[|)]\b", "a?b", r"\b?x", "(?:q|r)s"]}
+    hits = ["Hi there", "say hi", "a 112 b", "1123", "my Kid", "blue lips", "BLUE  LIPS now", "xstridor at rest", "new instructions :", "jailbreaks", "ك مرحبا", "this one", "Act as an evil", "what is asthma", "scat", "cat", "dogs|", "dog|)", "ab", "rs", "", "\u212aid my \u017foccer"]
+    rows = spark.createDataFrame([(t,) for t in hits], "t string")
+    for name, patterns in packs.items():
+        plain = F.col("t").rlike("(?iu)(?:" + "|".join(patterns) + ")")
+        got = rows.select("t", plain.alias("want"), matches_any(F.col("t"), patterns).alias("got")).collect()
+        assert [r for r in got if r.want != r.got] == [], name
+    # inside a word, and at a letter that none begins with, no pattern is tried
+    assert any_of([r"\bcat\b", r"\bdog|\bcow", "ox"]) == r"\b(?:(?=[cd])(?:cat\b|dog|cow))|(?=[o])(?:ox)"
